@@ -129,7 +129,7 @@ FROM (SELECT *, floor(q2) AS b2, q2 - floor(q2) AS f2 FROM (
     SELECT *, nc - n_train AS nh, sum(nc - n_train) OVER () AS h_all,
       sum(nc - n_train) OVER () - CAST(ceil(0.5::DOUBLE * sum(nc - n_train) OVER ()) AS BIGINT) AS n_val_all FROM quota)))""",
     "split": """
-SELECT r.* EXCLUDE (h, hd, nc, nt), CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'validation' ELSE 'test' END AS "partition"
+SELECT r.* EXCLUDE (h, nc, nt), CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'validation' ELSE 'test' END AS "partition"
 FROM ranked r JOIN quota2 q ON r.Churn = q.Churn""",
 }
 

@@ -116,16 +116,13 @@ def suggest_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
     """Renames for headers that are no exact match; every target is used at most once."""
     resolved = resolve_headers(catalog, spec)
     header = strip("header")
-    scored = F.array(
-        *[
-            F.struct(
-                (
-                    1 - F.levenshtein(header, F.lit(t)) / F.greatest(F.length(header), F.lit(len(t)), F.lit(1))
-                ).alias("score"),
-                F.lit(t).alias("target"),
-            )
-            for t in spec.columns
-        ]
+    # a lambda over the literal names keeps the generated code small
+    scored = F.transform(
+        F.array(*[F.lit(t) for t in spec.columns]),
+        lambda t: F.struct(
+            (1 - F.levenshtein(header, t) / F.greatest(F.length(header), F.length(t), F.lit(1))).alias("score"),
+            t.alias("target"),
+        ),
     )
     close = F.array_max(scored)
     guessed = (
