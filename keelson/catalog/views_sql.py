@@ -109,9 +109,11 @@ SELECT file, CAST(position AS INTEGER) AS position,
     WHEN '3' THEN lower(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g')) WHEN '4' THEN '  ' || name || ' '
     WHEN '5' THEN regexp_replace(name, '([a-z])([A-Z])', '\\1- \\2', 'g') WHEN '6' THEN name || 'x'
     WHEN '7' THEN 'customer_id' ELSE name END AS header
-FROM (SELECT file, position, name, substr(md5('h|' || file || '|' || position), 1, 1) AS d
+FROM (SELECT file, position, name, substr(md5('h|' || file), CAST(position AS INTEGER) + 1, 1) AS d
   FROM (SELECT 'C' || c_custkey AS file, unnest([{_UP_HEADERS}]) AS name, unnest(range(24)) AS position FROM customer))
 WHERE d <> '0'""",
+    "plog": """SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'batch' ELSE 'single' END AS kind,
+  TRY_CAST(props ->> '$.k' AS INTEGER) AS "count", value / (SELECT max(value) FROM events) AS p, CAST(event_type = 'purchase' AS INTEGER) AS y FROM events""",
     "docs": "SELECT d.doc_id, d.n_chars, d.lang, d.source, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "hashed": "SELECT *, ('0x' || substr(md5('42|' || customerID), 1, 8))::BIGINT AS h, md5('42|' || customerID) AS hd FROM cleaned",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY Churn ORDER BY hd, customerID) AS rk, count(*) OVER (PARTITION BY Churn) AS nc, count(*) OVER () AS nt FROM hashed",

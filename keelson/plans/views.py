@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -222,30 +223,39 @@ def upload(spark: SparkSession, folder: str) -> DataFrame:
 EXTRA_HEADERS = ("Cancel Reason", "exit_date", "notes")
 
 
+def _variants(name: str) -> dict[str, str]:
+    """Spelling of a header by digest digit; other digits leave it as it is."""
+    spaced = re.sub("([a-z])([A-Z])", r"\1- \2", name)
+    snake = re.sub("([a-z])([A-Z])", r"\1_\2", name).lower()
+    return {
+        "1": name.upper(),
+        "2": name.lower(),
+        "3": snake,
+        "4": f"  {name} ",
+        "5": spaced,
+        "6": f"{name}x",
+        "7": "customer_id",
+    }
+
+
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """(file, position, header): spelling variants of the expected columns per file."""
-    names = F.array(*[F.lit(c) for c in (*CUSTOMER.columns, *EXTRA_HEADERS)])
+    names = (*CUSTOMER.columns, *EXTRA_HEADERS)
+    spelled = {f"{i}|{d}": text for i, n in enumerate(names) for d, text in _variants(n).items()}
+    lookup = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv])
     listed = (
         table(spark, folder, "customer")
         .select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("file"))
-        .select("file", F.posexplode(names).alias("position", "name"))
-        .withColumn(
-            "d", F.substring(F.md5(F.concat_ws("|", F.lit("h"), "file", F.col("position").cast("string"))), 1, 1)
-        )
+        .withColumn("hx", hex_digest("h", "file"))
+        .select("file", "hx", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "name"))
     )
-    d, name = F.col("d"), F.col("name")
-    snake = F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2")
-    header = (
-        F.when(d == "1", F.upper(name))
-        .when(d == "2", F.lower(name))
-        .when(d == "3", F.lower(snake))
-        .when(d == "4", F.concat(F.lit("  "), name, F.lit(" ")))
-        .when(d == "5", F.regexp_replace(name, "([a-z])([A-Z])", "$1- $2"))
-        .when(d == "6", F.concat(name, F.lit("x")))
-        .when(d == "7", F.lit("customer_id"))
-        .otherwise(name)
+    digit = F.expr("substring(hx, position + 1, 1)")
+    header = F.coalesce(
+        F.try_element_at(lookup, F.concat_ws("|", F.col("position").cast("string"), digit)), F.col("name")
+    )
+    return listed.where(digit != "0").select(
+        "file", F.col("position").cast("int").alias("position"), header.alias("header")
     )
-    return listed.where(d != "0").select("file", F.col("position").cast("int").alias("position"), header.alias("header"))
 
 
 def retrain_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,3 +263,18 @@ def retrain_docs(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
     return docs.join(labels, "doc_id")
+
+
+def prediction_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events read as a service log: kind of request, rows scored, score and label."""
+    events = table(spark, folder, "events")
+    peak = events.agg(F.max("value")).scalar()
+    kind = F.col("event_type")
+    return events.select(
+        "event_id",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(kind == "error", "error").when(kind == "purchase", "batch").otherwise("single").alias("kind"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("count"),
+        (F.col("value") / peak).alias("p"),
+        (kind == "purchase").cast("int").alias("y"),
+    )
