@@ -10,7 +10,7 @@ gives the same answer for a row wherever and whenever it is computed.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,23 +60,26 @@ class HashOrder:
         return out
 
 
-def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r[0]: r[1] for r in rows}
-
+def fit_order(
+    df: DataFrame, id_col: str, label: str, seed: str, ranks_of: Callable[[dict[str, int]], Mapping[str, Sequence[int]]]
+) -> HashOrder:
+    """Find the digest at each wanted rank; ``ranks_of`` maps class sizes to ranks.
 
-def fit_order(df: DataFrame, id_col: str, label: str, seed: str, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int]) -> HashOrder:
-    """Find the digest at each wanted rank (rank 0 and rank >= size need no search)."""
+    Two scans: the digest histogram, then a sort of the few buckets that hold a
+    wanted rank (about 1/65,536 of a class each).
+    """
     hashed = df.select(
         F.col(label).alias("label"), F.col(id_col).cast("string").alias("key"), hex_digest(seed, id_col).alias("digest")
     ).withColumn("bucket", F.substring("digest", 1, PREFIX))
-    # at most 65,536 buckets for each of two classes
-    counts = hashed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    histogram = hashed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # the histogram has at most 65,536 rows per class; more classes than two are an error
+    counts = histogram.limit(MAX_CLASSES * 16**PREFIX + 1).toPandas()
+    sizes = {k: int(n) for k, n in counts.groupby("label", dropna=False)["n"].sum().items()}
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     wanted: dict[tuple[str, str], dict[int, int]] = {}
     cuts: dict[str, list[Cut | None]] = {}
-    for name, places in ranks.items():
+    for name, places in ranks_of(sizes).items():
         mine = counts[counts["label"] == name].sort_values("bucket")
         total = mine["n"].to_numpy().cumsum()
         cuts[name] = [None] * len(places)
@@ -102,7 +105,7 @@ def fit_order(df: DataFrame, id_col: str, label: str, seed: str, ranks: Mapping[
         by = {(x["label"], x["bucket"], x["r"]): Cut(x["digest"], x["key"]) for x in found}
         for name, bucket, i, rank in pairs:
             cuts[name][i] = by[(name, bucket, rank)]
-    return HashOrder(seed, id_col, label, dict(sizes), cuts)
+    return HashOrder(seed, id_col, label, sizes, cuts)
 
 
 def largest_remainder(total: int, sizes: Mapping[str, int]) -> dict[str, int]:
@@ -120,14 +123,16 @@ def fit_split(df: DataFrame, spec: RoleSpec, *, seed: int = 42, holdout: float =
     """Two-stage quotas: hold out ceil(n*holdout), of which ceil(h*test_share) is test."""
     if not (0 < holdout < 1 and 0 < test_share < 1):
         raise ValueError("split proportions must lie between 0 and 1")
-    sizes = class_sizes(df, spec.target_col)
-    n = sum(sizes.values())
-    train = largest_remainder(n - math.ceil(n * holdout), sizes)
-    rest = {k: sizes[k] - train[k] for k in sizes}
-    held = sum(rest.values())
-    validation = largest_remainder(held - math.ceil(held * test_share), rest)
-    ranks = {k: (train[k], train[k] + validation[k]) for k in sizes}
-    return fit_order(df, spec.id_col, spec.target_col, str(seed), ranks, sizes)
+
+    def ranks(sizes: dict[str, int]) -> dict[str, tuple[int, int]]:
+        n = sum(sizes.values())
+        train = largest_remainder(n - math.ceil(n * holdout), sizes)
+        rest = {k: sizes[k] - train[k] for k in sizes}
+        held = sum(rest.values())
+        validation = largest_remainder(held - math.ceil(held * test_share), rest)
+        return {k: (train[k], train[k] + validation[k]) for k in sizes}
+
+    return fit_order(df, spec.id_col, spec.target_col, str(seed), ranks)
 
 
 def assign_partition(df: DataFrame, order: HashOrder, name: str = "partition") -> DataFrame:
@@ -150,17 +155,17 @@ def fold_edges(n: int, k: int) -> list[int]:
 
 def assign_folds(df: DataFrame, spec: RoleSpec, k: int = 5, seed: str = "cv", name: str = "fold") -> DataFrame:
     """Stratified folds 0..k-1 of equal size within each class."""
-    sizes = class_sizes(df, spec.target_col)
-    ranks = {c: fold_edges(n, k) for c, n in sizes.items()}
-    order = fit_order(df, spec.id_col, spec.target_col, seed, ranks, sizes)
+    order = fit_order(
+        df, spec.id_col, spec.target_col, seed, lambda sizes: {c: fold_edges(n, k) for c, n in sizes.items()}
+    )
     return df.withColumn(name, order.position())
 
 
 def undersample(df: DataFrame, spec: RoleSpec, seed: int = 42) -> DataFrame:
     """Keep the minority class and as many majority rows, the first in hash order."""
-    sizes = class_sizes(df, spec.target_col)
-    least = min(sizes.values())
-    order = fit_order(df, spec.id_col, spec.target_col, str(seed), {c: (least,) for c in sizes}, sizes)
+    order = fit_order(
+        df, spec.id_col, spec.target_col, str(seed), lambda sizes: {c: (min(sizes.values()),) for c in sizes}
+    )
     return df.where(order.position() == 0)
 
 

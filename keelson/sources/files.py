@@ -77,7 +77,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).option("quoteAll", False).csv(path)
+    """CSV with header; white-space cells are kept as they are."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, **keep).csv(path)
     return path
 
 
