@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("policy", "cleaning", "compat", "profiling", "split", "metrics", "drift", "files", "prep")
+MODULES = ("policy", "cleaning", "compat", "profiling", "split", "metrics", "drift", "files", "prep", "model")
 
 
 def load():
