@@ -6,19 +6,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from keelson.catalog.registry import query
-from keelson.catalog.split_queries import parted
+from keelson.catalog.split_queries import parted as lazily_parted
 from keelson.catalog.views_sql import CATEGORICAL, NUMERIC, long_form
 from keelson.operators import prep
 from keelson.plans import views
 from keelson.roles import CUSTOMER, CUSTOMER_LEVELS, RoleSpec
+from keelson.session import durable
 
 TRAIN = "(SELECT * FROM split WHERE \"partition\" = 'train')"
 NUM = long_form(TRAIN, NUMERIC, "DOUBLE")
 CAT = long_form(TRAIN, CATEGORICAL)
 
 
+def parted(spark, sf):
+    """The split table, written once: a fit reads it several times."""
+    return durable(lazily_parted(spark, sf))
+
+
 def train(spark, sf):
-    return parted(spark, sf).where("partition = 'train'")
+    return lazily_parted(spark, sf).where("partition = 'train'")
 
 
 @query("fit_median", f"SELECT feature, round(quantile_cont(value, 0.5), 6) AS median FROM ({NUM}) GROUP BY 1")

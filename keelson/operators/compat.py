@@ -113,26 +113,29 @@ def claim_headers(resolved: DataFrame) -> DataFrame:
 
 
 def suggest_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
-    """Renames for headers that are no exact match; every target is used at most once."""
-    resolved = resolve_headers(catalog, spec)
-    header = strip("header")
-    # a lambda over the literal names keeps the generated code small
+    """Renames for headers that are no exact match; every target is used at most once.
+
+    All text work is done once per distinct header: uploads repeat the same few
+    texts, so that table is tiny next to the catalogue it is joined back to.
+    """
+    texts = catalog.groupBy(F.col("header").alias("k")).agg(F.max("header").alias("header"))
+    text = strip("header")
     scored = F.transform(
         F.array(*[F.lit(t) for t in spec.columns]),
         lambda t: F.struct(
-            (1 - F.levenshtein(header, t) / F.greatest(F.length(header), F.length(t), F.lit(1))).alias("score"),
+            (1 - F.levenshtein(text, t) / F.greatest(F.length(text), F.length(t), F.lit(1))).alias("score"),
             t.alias("target"),
         ),
     )
-    close = F.array_max(scored)
-    guessed = (
-        resolved.where(F.col("target").isNull())
-        .withColumn("close", close)
-        .where(F.col("close.score") >= MATCH_CUTOFF)
-        .select("file", "position", "header", F.col("close.target").alias("target"), F.lit(3).alias("priority"))
-    )
-    known = resolved.where(F.col("target").isNotNull()).select("file", "position", "header", "target", "priority")
-    return claim_headers(known.unionByName(guessed)).where("priority > 0")
+    resolved = resolve_headers(texts, spec).withColumn("close", F.array_max(scored))
+    near = F.col("close.score") >= MATCH_CUTOFF
+    matched = resolved.select(
+        "k",
+        F.coalesce("target", F.when(near, F.col("close.target"))).alias("target"),
+        F.coalesce("priority", F.when(near, 3)).alias("priority"),
+    ).where(F.col("priority").isNotNull())
+    found = catalog.join(matched, F.col("header") == F.col("k")).select("file", "position", "header", "target", "priority")
+    return claim_headers(found).where("priority > 0")
 
 
 def suggest_for(columns: Iterable[str], spec: RoleSpec = CUSTOMER) -> dict[str, str]:
@@ -201,7 +204,11 @@ def detect_key(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(names)],
         *[F.count_if(is_blank(c)).alias(f"blanks_{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(c, 0.02).alias(f"distinct_{i}") for i, c in enumerate(names)],
+        # sketches with a standard error below 2 percent; the limit is 10 percent away
+        *[
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 12)).alias(f"distinct_{i}")
+            for i, c in enumerate(names)
+        ],
     ).first()
     rows, chosen = [], None
     order = [c for c in KEY_ALIASES if c in names] + [c for c in names if c not in KEY_ALIASES]

@@ -20,7 +20,7 @@ from keelson.roles import RoleSpec
 from keelson.session import durable
 
 NEIGHBOURS = 5  # fixed value
-FIRST_REACH = 16
+FIRST_REACH = 64
 
 
 def minority(df: DataFrame, spec: RoleSpec) -> tuple[str, dict[str, int]]:
@@ -66,9 +66,9 @@ def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -
     answer, todo, reach = None, ranked.select("r"), FIRST_REACH
     while True:
         a = ranked.join(todo, "r", "left_semi")
-        # every unfinished row asks for the rows at rank offsets -reach..reach
-        asked = a.select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off")).where("off <> 0")
-        asked = asked.withColumn("want", F.col("r") + F.col("off"))
+        # every unfinished row asks for the rows up to ``reach`` ranks away
+        span = F.sequence(F.greatest(F.col("r") - reach, F.lit(1)), F.least(F.col("r") + reach, F.lit(n)))
+        asked = a.select("*", F.explode(span).alias("want")).where("want <> r")
         pairs = (
             asked.alias("a")
             .join(ranked.alias("b"), F.col("a.want") == F.col("b.r"))
@@ -96,12 +96,12 @@ def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -
         gap_high = F.when(above > n, F.lit(float("inf"))).otherwise(F.col("high_v") - F.col("v"))
         margin = F.least(gap_low, gap_high)
         done = (F.col("got") >= k) & (F.col("far") <= margin * margin)
-        marked = durable(bounds.select("r", done.alias("done")))
-        finished = durable(found.join(marked.where("done"), "r", "left_semi"))
+        round_ = durable(found.join(bounds.select("r", done.alias("done")), "r"))
+        finished = round_.where("done")
         answer = finished if answer is None else answer.unionByName(finished)
-        todo = marked.where("NOT done").select("r")
-        if todo.isEmpty() or reach >= n:
-            return answer.drop("r")
+        todo = round_.where("NOT done AND nearest = 1").select("r")
+        if reach >= n or todo.isEmpty():
+            return answer.select(spec.id_col, "neighbour", "distance2", "nearest")
         reach *= 4
 
 
