@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from keelson.session import durable
 
 
-def range_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,13 +30,13 @@ def running_totals(
     """Add inclusive running sums of ``measures`` along ``order`` within ``keys``.
 
     ``df`` must hold one row per (keys, order); the offsets table has at most
-    (number of ranges) x (number of key values met in each range) rows.
+    (number of ranges) x (number of key values met in each range) rows.  The
+    number of ranges is left to the session, so adaptive execution merges
+    neighbouring ranges of small inputs.
     """
     direction = F.col(order).desc() if descending else F.col(order).asc()
     ranged = durable(
-        df.repartitionByRange(range_count(df), *[F.col(k) for k in keys], direction).withColumn(
-            "_range", F.spark_partition_id()
-        )
+        df.repartitionByRange(*[F.col(k) for k in keys], direction).withColumn("_range", F.spark_partition_id())
     )
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

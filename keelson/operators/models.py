@@ -159,8 +159,9 @@ def run_parallel(jobs: Sequence[Callable[[], Any]], threads: int) -> list[Any]:
     """Submit independent Spark jobs from a few driver threads, results in order."""
     if threads <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
+    session = SparkSession.getActiveSession()
     with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(session)(lambda job: job()), jobs)
 
 
 # ------------------------------------------------------------------ calibration

@@ -16,7 +16,6 @@ from keelson.functions.scalars import (
     parse_number,
     recommended_action,
     risk_band,
-    strip,
 )
 from keelson.operators.cleaning import ChargeRules
 from keelson.roles import Dependency, RoleSpec
@@ -50,6 +49,7 @@ def service_notes(df: DataFrame, spec: RoleSpec) -> DataFrame:
 
 
 def _note(rule: Dependency) -> Column:
+    # fixed value: the wording of a repair note
     shown = "Multiple Lines" if rule.child == "MultipleLines" else rule.child
     text = f"{shown} was set to '{rule.sentinel}' because {rule.parent_label} is {rule.value}."
     return F.struct(F.lit(rule.child).alias("field"), F.lit(text).alias("note"))
@@ -229,6 +229,3 @@ def level_options(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def blank_or_null(name: str) -> Column:
     return F.col(name).isNull() | is_blank(name)
 
-
-def text_key(name: str) -> Column:
-    return strip(name)

@@ -6,6 +6,7 @@ Usage: python tests/harness.py [--sf DIR] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -84,11 +85,13 @@ def main(argv):
     if argv[:1] == ["--sf"]:
         folder, argv = argv[1], argv[2:]
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": os.environ.get("CHECK_PARTITIONS", "8"), "spark.driver.memory": "8g", "spark.ui.enabled": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    if argv == ["--sql-only"]:
+        argv = list(oracles)
     names = [n for n in queries if not argv or n in argv or any(a.endswith("*") and n.startswith(a[:-1]) for a in argv)]
     bad = 0
     for name in names:
