@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from keelson.roles import RoleSpec
+from pyspark.sql import types as T
 
 # fixed values: accepted spelling of a decimal number, white space, policy texts
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -103,9 +102,14 @@ def right_closed_band(c: Column | str, edges: Sequence[float], labels: Sequence[
     return band
 
 
-def numeric_value(spec: RoleSpec, name: str) -> Column:
-    return parse_number(name) if name in spec.numeric else col(name)
+def value_of(df: DataFrame, name: str) -> Column:
+    """Double value of a column: a plain cast for numbers, parsing only for text."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return parse_number(name)
 
 
-def rounded(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
+def blank_of(df: DataFrame, name: str) -> Column:
+    """:func:`is_blank`, which no number can be."""
+    return F.lit(False) if isinstance(df.schema[name].dataType, T.NumericType) else is_blank(name)

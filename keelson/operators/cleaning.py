@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.scalars import TARGET_SPELLINGS, is_blank, parse_number, spelled_target, strip
+from keelson.functions.scalars import TARGET_SPELLINGS, blank_of, spelled_target, strip, value_of
 from keelson.roles import RoleSpec
 
 AUDIT_ACTION = "imputed_zero_for_new_customer"  # fixed value
@@ -26,10 +26,10 @@ class ChargeRules:
     blank_with_tenure: Column
 
     @classmethod
-    def of(cls, spec: RoleSpec) -> ChargeRules:
-        blank = is_blank(spec.charge_col)
-        number = parse_number(spec.charge_col)
-        at_zero = F.coalesce(parse_number(spec.tenure_col) == 0, F.lit(False))
+    def of(cls, df: DataFrame, spec: RoleSpec) -> ChargeRules:
+        blank = blank_of(df, spec.charge_col)
+        number = value_of(df, spec.charge_col)
+        at_zero = F.coalesce(value_of(df, spec.tenure_col) == 0, F.lit(False))
         return cls(
             blank=blank,
             number=number,
@@ -47,7 +47,7 @@ class ChargeRules:
 
 def charge_violations(df: DataFrame, spec: RoleSpec) -> DataFrame:
     return df.select(
-        spec.id_col, spec.tenure_col, spec.charge_col, ChargeRules.of(spec).code().alias("code")
+        spec.id_col, spec.tenure_col, spec.charge_col, ChargeRules.of(df, spec).code().alias("code")
     ).where(F.col("code").isNotNull())
 
 
@@ -60,12 +60,12 @@ def clean_charges(df: DataFrame, spec: RoleSpec, *, strict: bool = False) -> Dat
         first = charge_violations(df, spec).head(1)
         if first:
             raise ValueError(f"{spec.charge_col} cannot be cleaned, for example {first[0].asDict()}")
-    return df.withColumn(spec.charge_col, ChargeRules.of(spec).cleaned())
+    return df.withColumn(spec.charge_col, ChargeRules.of(df, spec).cleaned())
 
 
 def cleaning_audit(df: DataFrame, spec: RoleSpec, carried: str = "MonthlyCharges") -> DataFrame:
     """One row per imputed record."""
-    return df.where(ChargeRules.of(spec).imputed).select(
+    return df.where(ChargeRules.of(df, spec).imputed).select(
         spec.id_col,
         spec.tenure_col,
         carried,
@@ -117,7 +117,7 @@ def cleaning_invariants(raw: DataFrame, cleaned: DataFrame, spec: RoleSpec) -> D
 
 def cleaning_summary(df: DataFrame, spec: RoleSpec) -> DataFrame:
     width = len(df.columns)
-    rules = ChargeRules.of(spec)
+    rules = ChargeRules.of(df, spec)
     return df.agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count(F.when(rules.code().isNull(), 1)).alias("rows_after"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.ranked import unpivot
-from keelson.functions.scalars import is_blank, parse_number, strip
+from keelson.functions.scalars import blank_of, is_blank, strip, value_of
 from keelson.operators.policy import blank_or_null
 from keelson.roles import CUSTOMER, RoleSpec
 
@@ -203,7 +203,7 @@ def detect_key(df: DataFrame) -> DataFrame:
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(names)],
-        *[F.count_if(is_blank(c)).alias(f"blanks_{i}") for i, c in enumerate(names)],
+        *[F.count_if(blank_of(df, c)).alias(f"blanks_{i}") for i, c in enumerate(names)],
         # sketches with a standard error below 2 percent; the limit is 10 percent away
         *[
             F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 12)).alias(f"distinct_{i}")
@@ -236,13 +236,13 @@ def key_quality(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _numeric_issues(spec: RoleSpec, strict: bool) -> dict[str, dict[str, Column]]:
+def _numeric_issues(df: DataFrame, spec: RoleSpec, strict: bool) -> dict[str, dict[str, Column]]:
     issues = {}
     for name in spec.numeric:
-        value = parse_number(name)
+        value = value_of(df, name)
         bad = value.isNull()
         if name == spec.charge_col and not strict:
-            bad = bad & ~(is_blank(name) & F.coalesce(parse_number(spec.tenure_col) == 0, F.lit(False)))
+            bad = bad & ~(blank_of(df, name) & F.coalesce(value_of(df, spec.tenure_col) == 0, F.lit(False)))
         low, high = spec.ranges.get(name, (None, None))
         flag = (low, high) == (0, 1)
         issues[name] = {
@@ -255,7 +255,7 @@ def _numeric_issues(spec: RoleSpec, strict: bool) -> dict[str, dict[str, Column]
 
 def numeric_quality(df: DataFrame, spec: RoleSpec, *, strict: bool = False) -> DataFrame:
     """Per numeric column: unparsable, outside 0/1, negative; one aggregate pass."""
-    issues = _numeric_issues(spec, strict)
+    issues = _numeric_issues(df, spec, strict)
     wide = df.agg(*[F.count_if(c).alias(f"{n}|{k}") for n, by in issues.items() for k, c in by.items()])
     rows = F.array(
         *[
@@ -266,12 +266,12 @@ def numeric_quality(df: DataFrame, spec: RoleSpec, *, strict: bool = False) -> D
     return wide.select(F.inline(rows))
 
 
-def _blank_charge(spec: RoleSpec) -> Column:
-    return blank_or_null(spec.charge_col) & ~F.coalesce(parse_number(spec.tenure_col) == 0, F.lit(False))
+def _blank_charge(df: DataFrame, spec: RoleSpec) -> Column:
+    return blank_or_null(spec.charge_col) & ~F.coalesce(value_of(df, spec.tenure_col) == 0, F.lit(False))
 
 
 def blank_charge_quality(df: DataFrame, spec: RoleSpec) -> DataFrame:
-    return df.agg(F.count_if(_blank_charge(spec)).alias("blank_with_tenure"))
+    return df.agg(F.count_if(_blank_charge(df, spec)).alias("blank_with_tenure"))
 
 
 def _invalid_level(spec: RoleSpec, name: str) -> Column:
@@ -341,7 +341,7 @@ def compatibility(df: DataFrame, spec: RoleSpec, key: str, *, strict: bool = Fal
         for name in ("numeric_issues", "range_issues", "blank_charges", "blank_categories", "invalid_columns", "service_issues"):
             cells = cells.withColumn(name, F.lit(0).cast("long"))
     else:
-        issues = _numeric_issues(spec, strict)
+        issues = _numeric_issues(df, spec, strict)
         invalid = sum(
             (F.max(_invalid_level(spec, c).cast("long")) for c in spec.categorical), F.lit(0).cast("long")
         )
@@ -351,7 +351,7 @@ def compatibility(df: DataFrame, spec: RoleSpec, key: str, *, strict: bool = Fal
             sum(
                 (F.count_if(by["not_binary"] | by["negative"]) for by in issues.values()), F.lit(0)
             ).alias("range_issues"),
-            F.count_if(_blank_charge(spec)).alias("blank_charges"),
+            F.count_if(_blank_charge(df, spec)).alias("blank_charges"),
             sum((F.count_if(blank_or_null(c)) for c in spec.categorical), F.lit(0)).alias("blank_categories"),
             F.coalesce(invalid, F.lit(0)).cast("long").alias("invalid_columns"),
             sum((F.count_if(_service_issue(r)) for r in spec.dependencies), F.lit(0)).alias("service_issues"),

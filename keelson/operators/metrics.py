@@ -132,18 +132,24 @@ def threshold_counts(df: DataFrame, p: str, y: str, thresholds: Sequence[float])
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos"))
     )
     values = F.array(*[F.lit(t) for t in thresholds])
-    spine = df.sparkSession.range(len(thresholds)).select(
+    spine = df.sparkSession.range(-1, len(thresholds)).select(
         F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos")
     )
-    passed = by_k.where("k > 0").select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "n", "pos")
-    total = by_k.agg(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos"))).scalar()
+    # every row counts for entry -1, so that entry holds the totals
+    passed = by_k.select(F.explode(F.sequence(F.lit(-1), F.col("k") - 1)).alias("i"), "n", "pos")
+    everything = Window.partitionBy()  # one row per threshold
     return (
         passed.unionByName(spine)
         .groupBy("i")
         .agg(F.sum("n").alias("predicted"), F.sum("pos").alias("hits"))
         .withColumns(
-            {"threshold": F.get(values, F.col("i")), "rows": total.getField("n"), "positives": total.getField("pos")}
+            {
+                "threshold": F.get(values, F.col("i")),
+                "rows": F.max("predicted").over(everything),
+                "positives": F.max("hits").over(everything),
+            }
         )
+        .where("i >= 0")
     )
 
 

@@ -13,9 +13,9 @@ from keelson.functions.scalars import (
     decision_flag,
     decision_label,
     is_blank,
-    parse_number,
     recommended_action,
     risk_band,
+    value_of,
 )
 from keelson.operators.cleaning import ChargeRules
 from keelson.roles import Dependency, RoleSpec
@@ -63,13 +63,13 @@ def prepare_features(df: DataFrame, spec: RoleSpec) -> DataFrame:
     spec_missing = [c for c in spec.features if c not in df.columns]
     if spec_missing:
         raise ValueError(f"missing required feature columns: {spec_missing}")
-    rules = ChargeRules.of(spec)
+    rules = ChargeRules.of(df, spec)
     problem = F.when(F.col(spec.charge_col).isNull(), f"{spec.charge_col}:missing")
     problem = problem.when(rules.blank_with_tenure, f"{spec.charge_col}:blank")
     problem = problem.when(rules.not_numeric, f"{spec.charge_col}:number")
     typed: dict[str, Column] = {}
     for name in spec.numeric:
-        value = parse_number(name)
+        value = value_of(df, name)
         if name == spec.charge_col:
             typed[name] = rules.cleaned()
         elif name in spec.integral:
@@ -109,9 +109,9 @@ def violations(df: DataFrame, spec: RoleSpec, *, mode: str = "reject") -> DataFr
     ``mode='fix'`` leaves the service rules out, as those are repaired instead.
     """
     found: list[Column] = []
-    charges = ChargeRules.of(spec)
+    charges = ChargeRules.of(df, spec)
     for name in spec.numeric:
-        value, raw = parse_number(name), F.col(name).cast("string")
+        value, raw = value_of(df, name), F.col(name).cast("string")
         if name == spec.charge_col:
             found.append(F.when(raw.isNull(), f"{name}:missing"))
             found.append(F.when(raw.isNotNull() & charges.not_numeric, f"{name}:number"))

@@ -19,7 +19,7 @@ from keelson.functions.ranked import (
     unpivot,
     value_counts,
 )
-from keelson.functions.scalars import is_blank, parse_number, right_closed_band
+from keelson.functions.scalars import blank_of, right_closed_band, value_of
 from keelson.roles import RoleSpec
 
 # fixed values: tenure bands and their names
@@ -81,7 +81,7 @@ def missing_profile(df: DataFrame, digits: int = 6) -> DataFrame:
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)],
-        *[F.count_if(is_blank(c)).alias(f"b_{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(blank_of(df, c)).alias(f"b_{i}") for i, c in enumerate(df.columns)],
     )
     long = inline(
         wide,
@@ -149,7 +149,7 @@ def suspicious(df: DataFrame, spec: RoleSpec) -> DataFrame:
     ).scalar()
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(parse_number(charge).isNull()).alias("bad"),
+        F.count_if(value_of(df, charge).isNull()).alias("bad"),
         *[F.count_if(F.col(c) == s).alias(f"s_{i}") for i, (c, s) in enumerate(rules)],
     ).withColumn("repeated", repeated)
 
@@ -171,7 +171,7 @@ def data_dictionary(df: DataFrame, spec: RoleSpec) -> DataFrame:
     """column, dtype, distinct values, missing (with blanks), role note."""
     kinds = dict(df.dtypes)
     missing = df.agg(
-        *[F.count_if(F.col(c).isNull() | is_blank(c)).alias(f"m_{i}") for i, c in enumerate(df.columns)]
+        *[F.count_if(F.col(c).isNull() | blank_of(df, c)).alias(f"m_{i}") for i, c in enumerate(df.columns)]
     )
     missing_rows = inline(
         missing,
@@ -307,7 +307,7 @@ def before_after(raw: DataFrame, cleaned: DataFrame, spec: RoleSpec) -> DataFram
     from keelson.operators.cleaning import validate_cleaned
 
     kinds = dict(raw.dtypes), dict(cleaned.dtypes)
-    bad = raw.agg(F.count_if(parse_number(spec.charge_col).isNull())).scalar()
+    bad = raw.agg(F.count_if(value_of(raw, spec.charge_col).isNull())).scalar()
     checks = validate_cleaned(cleaned, spec).withColumn("bad", bad)
     metrics = {
         "Rows": F.col("row_count"),
