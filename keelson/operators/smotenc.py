@@ -3,15 +3,18 @@
 Distance: Euclidean over the numbers, plus the squared mismatch penalty for each
 differing category (the median of the minority deviations).  Any single numeric
 column bounds that distance from below, so rows are ranked along the column of
-largest spread and compared with a window of ranks; a row is finished once its
-k-th distance is not larger than its gap to the window's ends, and only
-unfinished rows go on with a window four times as wide.  The join key is the
-rank, which is unique, so no key is hot and no group is paired with itself.
+largest spread and cut into blocks of equal size.  A block is compared with the
+blocks around it, block pair by block pair, each of them a small matrix in a
+task; a row is finished once its k-th distance is not larger than its gap to the
+ends of the blocks seen, and only unfinished rows go on with a wider window.
+Blocks are cut by rank, so copies and dense regions make no block larger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.ranked import running_totals
@@ -20,7 +23,8 @@ from keelson.roles import RoleSpec
 from keelson.session import durable
 
 NEIGHBOURS = 5  # fixed value
-FIRST_REACH = 64
+BLOCK = 256
+FIRST_REACH = 2  # blocks on either side
 
 
 def minority(df: DataFrame, spec: RoleSpec) -> tuple[str, dict[str, int]]:
@@ -44,65 +48,100 @@ def _ranked(points: DataFrame, spec: RoleSpec, axis: str) -> DataFrame:
     return running_totals(keyed, [], "place", ["one"], prefix="rank_").withColumnRenamed("rank_one", "r").drop("one", "place")
 
 
-def _distance(spec: RoleSpec, penalty: float) -> Column:
-    total = F.lit(0.0)
+def _pair_distances(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float) -> np.ndarray:
+    """Squared distances between the rows of two blocks; a row is no neighbour of itself."""
+    total = np.zeros((len(left), len(right)))
     for c in spec.numeric:
-        gap = F.col(f"a.{c}").cast("double") - F.col(f"b.{c}").cast("double")
-        total = total + gap * gap
+        gap = left[c].to_numpy(float)[:, None] - right[c].to_numpy(float)[None]
+        total += gap * gap
     for c in spec.categorical:
-        differs = ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-        total = total + differs.cast("double") * F.lit(penalty * penalty)
+        codes, _ = pd.factorize(pd.concat([left[c], right[c]]), use_na_sentinel=True)
+        total += (codes[: len(left), None] != codes[None, len(left) :]) * (penalty * penalty)
+    total[left["r"].to_numpy()[:, None] == right["r"].to_numpy()[None]] = np.inf
     return total
 
 
+def _closest(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float, k: int) -> pd.DataFrame:
+    """The k nearest rows of one block for every row of another."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"r": [], "neighbour_r": [], "distance2": []})
+    right = right.sort_values("r")
+    distance = _pair_distances(left, right, spec, penalty)
+    best = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(right))]
+    found = pd.DataFrame(
+        {
+            "r": np.repeat(left["r"].to_numpy(), best.shape[1]),
+            "neighbour_r": right["r"].to_numpy()[best.ravel()],
+            "distance2": np.take_along_axis(distance, best, axis=1).ravel(),
+        }
+    )
+    return found[np.isfinite(found["distance2"])]
+
+
 def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -> DataFrame:
     """(id, neighbour, distance2, nearest): the k nearest other rows, exactly."""
     penalty, axis = mismatch_penalty(points, spec)
-    columns = [spec.id_col, *spec.features]
-    ranked = durable(_ranked(points.select(*columns), spec, axis))
+    block = F.floor((F.col("r") - 1) / BLOCK).cast("long")
+    ranked = durable(
+        _ranked(points.select(spec.id_col, *spec.features), spec, axis)
+        .withColumns({c: F.col(c).cast("double") for c in spec.numeric})
+        .withColumn("block", block)
+    )
     n = ranked.count()
+    blocks = (n + BLOCK - 1) // BLOCK
     k = min(k, n - 1)
-    edge = ranked.select(F.col("r").alias("edge_r"), F.col(axis).cast("double").alias("edge_v"))
+    edge = ranked.select("r", F.col(axis).alias("edge"))
+    sides = ranked.select("r", "block", *spec.features)
     answer, todo, reach = None, ranked.select("r"), FIRST_REACH
+
+    def closest(both: pd.DataFrame) -> pd.DataFrame:
+        asks = both["asks"].to_numpy(bool)
+        return _closest(both[asks], both[~asks], spec, penalty, k)
+
     while True:
-        a = ranked.join(todo, "r", "left_semi")
-        # every unfinished row asks for the rows up to ``reach`` ranks away
-        span = F.sequence(F.greatest(F.col("r") - reach, F.lit(1)), F.least(F.col("r") + reach, F.lit(n)))
-        asked = a.select("*", F.explode(span).alias("want")).where("want <> r")
+        around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))
+        mine = sides.join(todo, "r", "left_semi").withColumn("a", F.col("block")).withColumn("b", F.explode(around))
+        busy = mine.select(F.col("a").alias("_a")).distinct()
+        theirs = (
+            sides.withColumn("b", F.col("block"))
+            .withColumn("a", F.explode(around))
+            .join(busy, F.col("a") == F.col("_a"), "left_semi")
+        )
         pairs = (
-            asked.alias("a")
-            .join(ranked.alias("b"), F.col("a.want") == F.col("b.r"))
-            .select(
-                F.col("a.r").alias("r"),
-                F.col(f"a.{spec.id_col}").alias(spec.id_col),
-                F.col(f"b.{spec.id_col}").alias("neighbour"),
-                _distance(spec, penalty).alias("distance2"),
-            )
+            mine.withColumn("asks", F.lit(True))
+            .unionByName(theirs.withColumn("asks", F.lit(False)))
+            .drop("block")
+            .groupBy("a", "b")  # at most two blocks of rows per group
+            .applyInPandas(closest, "r long, neighbour_r long, distance2 double")
         )
-        order = Window.partitionBy("r").orderBy("distance2", "neighbour")
+        order = Window.partitionBy("r").orderBy("distance2", "neighbour_r")
         found = pairs.withColumn("nearest", F.row_number().over(order)).where(F.col("nearest") <= k)
         kth = found.groupBy("r").agg(F.max("distance2").alias("far"), F.count(F.lit(1)).alias("got"))
-        own = a.select("r", F.col(axis).cast("double").alias("v"))
-        below, above = F.col("r") - reach, F.col("r") + reach
-        low = edge.select(F.col("edge_r").alias("low_r"), F.col("edge_v").alias("low_v"))
-        high = edge.select(F.col("edge_r").alias("high_r"), F.col("edge_v").alias("high_v"))
+        # first and last rank that the compared blocks cover
+        first, last = (F.col("block") - reach) * BLOCK + 1, (F.col("block") + reach + 1) * BLOCK
+        own = ranked.join(todo, "r", "left_semi").select(
+            "r", F.col(axis).alias("v"), first.alias("low_r"), last.alias("high_r")
+        )
         bounds = (
-            own.join(low, below == F.col("low_r"), "left")
-            .join(high, above == F.col("high_r"), "left")
+            own.join(edge.withColumnsRenamed({"r": "low_r", "edge": "low_v"}), "low_r", "left")
+            .join(edge.withColumnsRenamed({"r": "high_r", "edge": "high_v"}), "high_r", "left")
             .join(kth, "r")
         )
         # an end that lies outside the table leaves nothing unseen on that side
-        gap_low = F.when(below < 1, F.lit(float("inf"))).otherwise(F.col("v") - F.col("low_v"))
-        gap_high = F.when(above > n, F.lit(float("inf"))).otherwise(F.col("high_v") - F.col("v"))
+        gap_low = F.when(F.col("low_r") <= 1, F.lit(float("inf"))).otherwise(F.col("v") - F.col("low_v"))
+        gap_high = F.when(F.col("high_r") >= n, F.lit(float("inf"))).otherwise(F.col("high_v") - F.col("v"))
         margin = F.least(gap_low, gap_high)
         done = (F.col("got") >= k) & (F.col("far") <= margin * margin)
         round_ = durable(found.join(bounds.select("r", done.alias("done")), "r"))
         finished = round_.where("done")
         answer = finished if answer is None else answer.unionByName(finished)
         todo = round_.where("NOT done AND nearest = 1").select("r")
-        if reach >= n or todo.isEmpty():
-            return answer.select(spec.id_col, "neighbour", "distance2", "nearest")
+        if reach >= blocks or todo.isEmpty():
+            break
         reach *= 4
+    ids = ranked.select("r", spec.id_col)
+    named = ids.withColumnsRenamed({"r": "neighbour_r", spec.id_col: "neighbour"})
+    return answer.join(ids, "r").join(named, "neighbour_r").select(spec.id_col, "neighbour", "distance2", "nearest")
 
 
 def _mode_of_neighbours(values: DataFrame, spec: RoleSpec) -> DataFrame:

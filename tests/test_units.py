@@ -476,7 +476,9 @@ def test_shap_is_additive_and_matches_brute_force(spark, parted):
             assert math.isclose(phi, parts.loc[key, "contributions"][f], abs_tol=1e-9)
 
 
-def test_smotenc_neighbours_match_brute_force(spark):
+@pytest.mark.parametrize("block", [16, 256])
+def test_smotenc_neighbours_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(smotenc, "BLOCK", block)  # small blocks need several rounds
     rng = np.random.default_rng(2)
     n = 260
     pdf = pd.DataFrame({"id": [f"m{i}" for i in range(n)], "tenure": rng.integers(0, 9, n).astype(float), "spend": np.where(rng.random(n) < 0.34, 50.0, rng.normal(50, 9, n)), "plan": rng.choice(["a", "b"], n)})
