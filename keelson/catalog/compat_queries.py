@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from keelson.catalog.registry import query
 from keelson.catalog.views_sql import CATEGORICAL, COLUMNS, NUMERIC, number

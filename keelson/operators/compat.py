@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.ranked import unpivot
-from keelson.functions.scalars import blank_of, is_blank, strip, value_of
+from keelson.functions.scalars import blank_of, strip, value_of
 from keelson.operators.policy import blank_or_null
 from keelson.roles import CUSTOMER, RoleSpec
 
