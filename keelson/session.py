@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +29,23 @@ def build_session(app: str = "keelson", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    name = f"keelson-{context.applicationId}.zip"
+    if any(str(f).endswith(name) for f in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    # the driver serves the file as long as it lives, so its folder goes at exit only
+    folder = tempfile.mkdtemp(prefix="keelson-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / name
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; taken from ``spark.checkpoint.dir``.
 
