@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import counts, interleave, quality
+from keelson.llm import counts, interleave, packing, quality, wavelet
 from keelson.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+@query("op2_packing")
+def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query("op4_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(load(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
@@ -42,3 +48,9 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def stratified_interleave(spark: SparkSession, folder: str) -> DataFrame:
     dealt = interleave.interleave(load(spark, folder, "documents"), shards=40)
     return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op10_wavelet_shards")
+def wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
+    files = wavelet.write_shards(load(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return wavelet.read_shards(files)
