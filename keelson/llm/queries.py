@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import counts, interleave, packing, quality, wavelet
+from keelson.llm import counts, interleave, packing, quality, toxicity, urls, wavelet
 from keelson.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+# the rules of the URL query: host, path prefix, allowed
+RULES = [
+    urls.Rule("org", "/", True),
+    urls.Rule("example.org", "/es/", False),
+    urls.Rule("example.org", "/en/1", False),
+    urls.Rule("com", "/fr/", True),
+    urls.Rule("com", "/de/", False),
+]
+
+
+@query("op1_url_filters")
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages, labels = load(spark, folder, "pages"), load(spark, folder, "labels")
+    return urls.judge_urls(pages, RULES, urls.fit(urls.seed_labels(pages, labels)))
+
+
 @query("op2_packing")
 def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
@@ -37,6 +53,18 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(load(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out()))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
