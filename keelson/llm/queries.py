@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import counts, interleave, packing, quality, toxicity, urls, wavelet
+from keelson.llm import counts, interleave, neardup, packing, quality, toxicity, urls, wavelet
 from keelson.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op3_near_duplicates")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, folder, "documents"), neardup.Settings(words=4))
+
+
 @query("op4_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(load(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
