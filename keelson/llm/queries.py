@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import counts, interleave, neardup, packing, quality, toxicity, urls, wavelet
+from keelson.llm import counts, decontaminate, interleave, licenses, neardup, packing, quality, toxicity, urls, wavelet
 from keelson.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op6_decontamination")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
@@ -77,6 +82,11 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(docs, path, quality.fit_bands(docs, labels, path))
 
 
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, folder, "documents"))
+
+
 @query("op9_interleave")
 def stratified_interleave(spark: SparkSession, folder: str) -> DataFrame:
     dealt = interleave.interleave(load(spark, folder, "documents"), shards=40)
