@@ -208,12 +208,14 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, settings)
-            item_type = pa.array([name for name, _ in shared.value] or [0]).type
+            item_type = pa.array([name for name, _ in shared.value]).type
             for batch in batches:
                 out = []
                 for row, text in enumerate(batch.column(1).to_pylist()):
                     out += [(row, index.ids[i], a, b, e, 1 - e / len(index.words[i])) for i, a, b, e in index.search(text)]
-                at, *rest = list(zip(*out)) or [()] * 6
+                if not out:
+                    continue
+                at, *rest = zip(*out)
                 kinds = [item_type, pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))],
@@ -233,4 +235,4 @@ def drop_leaked(
     leaks = stored(leaks, "leaks")
     if leaks.count() <= broadcast_ids:
         leaks = F.broadcast(leaks)
-    return docs.join(leaks, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(leaks, docs[id_col] == leaks["_gone"], "left_anti")

@@ -242,4 +242,4 @@ def keep_first(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     dropped = stored(judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct(), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
