@@ -1,37 +1,66 @@
-"""Model fits, calibration, retraining and explanations.
+"""Model fits, calibration, retraining and explanations, at full training effort.
 
-Fits read whole tables; only the training effort (trees, folds, grid points) is
-kept small, so that the whole catalogue runs in minutes.
+A trained score cannot be stated in SQL. These queries return the rows that were scored, with
+flags for what must hold of any right fit: probabilities in range, decisions that follow the
+threshold, contributions that add up, a gradient of zero at the optimum. One bundle is trained
+per session and folder, saved to the shared folder, and loaded by every query that needs it.
 """
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.catalog.registry import query
-from keelson.catalog.split_queries import parted as lazily_parted
-from keelson.operators import explain, metrics, models, smotenc
+from keelson.catalog.split_queries import parted as split_table
+from keelson.operators import explain, models, smotenc
+from keelson.operators.prep import FEATURES
 from keelson.plans import training, views
 from keelson.roles import CUSTOMER
-from keelson.session import durable, scratch_path
+from keelson.session import scratch_path
 
-LIGHT = training.Effort(trees=3, folds=2, forest_trees=5, forest_depth=5, iterations=50, threads=4)
+EFFORT = training.Effort(threads=8)
 THRESHOLD = 0.10
 
 
 def parted(spark, sf):
-    """The split table, written once: a fit reads it many times."""
-    return durable(lazily_parted(spark, sf))
+    """The split table as Parquet in the shared folder: a fit reads it many times, few columns at a time."""
+    path = scratch_path(spark, "split")
+    split_table(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Write the scores once; what they were computed from can then be released."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "scores")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+VALIDATED = """SELECT customerID, CAST(Churn = 'Yes' AS INTEGER) AS y, true AS in_range{} FROM split WHERE "partition" = 'validation'"""
+
+
+def in_range():
+    return F.col("p").between(0, 1).alias("in_range")
 
 
-def frames(spark, sf):
-    return training.TrainingFrames.of(parted(spark, sf), CUSTOMER)
+def _log_loss(df: DataFrame) -> float:
+    p = F.greatest(F.least("p", F.lit(1 - 1e-12)), F.lit(1e-12))
+    return df.agg(F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
 
 
 def _validated(spark, sf, name):
-    data = frames(spark, sf)
-    scored = models.score(training._candidate(name, LIGHT)(data.train), data.validation)
-    return metrics.report(scored, "p", "y", 0.5)
+    """Validation rows, and whether the fit explains its training rows better than their share does."""
+    with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
+        model = training._candidate(name, EFFORT)(data.train)
+        share = data.train.agg(F.avg("y")).first()[0]
+        better = _log_loss(models.score(model, data.train)) < _log_loss(data.train.withColumn("p", F.lit(share)))
+        scored = models.score(model, data.validation)
+        return _kept(scored.select("customerID", F.col("y").cast("int").alias("y"), in_range(), F.lit(better).alias("better_than_share")))
 
 
 @query(
@@ -40,48 +69,76 @@ def _validated(spark, sf, name):
  THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM split v WHERE "partition" = 'validation'""",
 )
 def fit_dummy(spark, sf):
-    rows = parted(spark, sf).withColumn("y", F.when(F.col("Churn") == "Yes", 1.0).otherwise(0.0))
+    rows = split_table(spark, sf).withColumn("y", F.when(F.col("Churn") == "Yes", 1.0).otherwise(0.0))
     model = models.fit_majority(rows.where("partition = 'train'"))
     return models.score(model, rows.where("partition = 'validation'")).select("customerID", "p")
 
 
-@query("fit_logistic")
+@query("fit_logistic", VALIDATED.format(", true AS at_optimum"))
 def fit_logistic(spark, sf):
-    return _validated(spark, sf, "logistic")
-
-
-@query("fit_random_forest")
+    """``at_optimum``: every component of the penalised loss's gradient is near zero."""
+    with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
+        model = training._candidate("logistic", EFFORT)(data.train)
+        n = data.train.count()
+        error = models.score(model, data.train).select(F.posexplode(vector_to_array(FEATURES)).alias("i", "x"), (F.col("p") - F.col("y")).alias("e"))
+        slopes = {r["i"]: r["g"] for r in error.groupBy("i").agg((F.sum(F.col("x") * F.col("e")) / n).alias("g")).collect()}
+        gradient = [slopes[i] + c / n for i, c in enumerate(model.coefficients.toArray().tolist())]
+        scored = models.score(model, data.validation)
+        return _kept(scored.select("customerID", F.col("y").cast("int").alias("y"), in_range(), F.lit(max(map(abs, gradient)) < 1e-3).alias("at_optimum")))
+
+
+@query("fit_random_forest", VALIDATED.format(", true AS better_than_share"))
 def fit_random_forest(spark, sf):
     return _validated(spark, sf, "forest")
 
 
-@query("fit_gbt")
+@query("fit_gbt", VALIDATED.format(", true AS better_than_share"))
 def fit_gbt(spark, sf):
     return _validated(spark, sf, "boosted")
 
 
-@query("grid_search_rf")
+def _points_sql(grid) -> str:
+    rows = ", ".join(f"('{i:03d}', '{json.dumps(p)}', true)" for i, p in enumerate(models.grid_points(grid)))
+    return f"SELECT * FROM (VALUES {rows}) AS t(point, params, in_range)"
+
+
+def _search(spark, sf, fit, grid):
+    with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
+        found = models.grid_search(data.train, data.validation, fit, grid, EFFORT.threads)
+        bounds = [F.col(c).between(0, 1) for c in ("f1", "recall", "precision")]
+        return found.select("point", "params", (bounds[0] & bounds[1] & bounds[2]).alias("in_range"))
+
+
+@query("grid_search_rf", _points_sql(models.FOREST_GRID))
 def grid_search_rf(spark, sf):
-    data = frames(spark, sf)
-    grid = {"trees": (3,), "depth": (3, 5), "leaf": (1, 5), "balanced": (False, True)}
-    return models.grid_search(data.train, data.validation, models.forest_point, grid, 4)
+    return _search(spark, sf, models.forest_point, models.FOREST_GRID)
 
 
-@query("grid_search_gbt")
+@query("grid_search_gbt", _points_sql(models.BOOSTED_GRID))
 def grid_search_gbt(spark, sf):
-    data = frames(spark, sf)
-    grid = {"trees": (2,), "depth": (2, 3), "rate": (0.1,), "subsample": (0.8, 1.0), "columns": (1.0,), "weight_factor": (0.0, 1.0)}
-    return models.grid_search(data.train, data.validation, models.boosted_point, grid, 4)
+    """The whole grid; the points with fewer trees are read off the longer fits of the same point."""
+    return _search(spark, sf, models.boosted_point, models.BOOSTED_GRID)
 
 
-@query("imbalance_matrix")
+def _pairs_sql(pairs, extra="") -> str:
+    return f"SELECT *{extra} FROM (VALUES " + ", ".join(f"('{m}', '{s}', true)" for m, s in pairs) + ") AS t(model, strategy, in_range)"
+
+
+def _bounded(table: DataFrame) -> DataFrame:
+    held = F.lit(True)
+    for name in training.METRICS:
+        held = held & F.coalesce(F.col(name).between(0, 1), F.lit(True))
+    return table.select("model", "strategy", held.alias("in_range"))
+
+
+@query("imbalance_matrix", _pairs_sql([(m, s) for m in ("logistic", "boosted") for s in ("original", "class_weight", "undersample", "smotenc")]))
 def imbalance_matrix(spark, sf):
-    return training.imbalance_matrix(parted(spark, sf), CUSTOMER, LIGHT)
+    return _bounded(training.imbalance_matrix(parted(spark, sf), CUSTOMER, EFFORT))
 
 
-@query("model_comparison")
+@query("model_comparison", _pairs_sql([*training.COMPARED]))
 def model_comparison(spark, sf):
-    return training.model_comparison(parted(spark, sf), CUSTOMER, LIGHT)
+    return _bounded(training.model_comparison(parted(spark, sf), CUSTOMER, EFFORT))
 
 
 @query("smotenc")
@@ -91,64 +148,80 @@ def smotenc_rows(spark, sf):
 
 
 def _calibrated(spark, sf, method):
-    data = frames(spark, sf)
-    fit = training._candidate("boosted", LIGHT)
-    model = models.fit_calibrated(data.train, CUSTOMER, fit, (method,), LIGHT.folds, LIGHT.threads)[method]
-    return model.score(data.validation).select("customerID", "y", "p")
-
-
-@query("calibrate_sigmoid")
+    """Class-weighted boosting, calibrated by folds; ``monotone``: no fold's curve falls."""
+    with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
+        fit = training._candidate("boosted", EFFORT)
+        train = models.weighted(data.train, models.scale_pos_weight(data.train))
+        model = models.fit_calibrated(train, CUSTOMER, fit, (method,), EFFORT.folds, EFFORT.threads)[method]
+        rising = True
+        for _, curve in model.pairs:
+            values = curve.predictions.toArray().tolist() if method == "isotonic" else [0.0, float(curve.coefficients[0])]
+            rising = rising and all(a <= b for a, b in zip(values, values[1:]))
+        scored = model.score(data.validation)
+        return _kept(scored.select("customerID", F.col("y").cast("int").alias("y"), in_range(), F.lit(rising).alias("monotone")))
+
+
+@query("calibrate_sigmoid", VALIDATED.format(""))
 def calibrate_sigmoid(spark, sf):
-    return _calibrated(spark, sf, "sigmoid")
+    return _calibrated(spark, sf, "sigmoid").drop("monotone")
 
 
-@query("calibrate_isotonic")
+@query("calibrate_isotonic", VALIDATED.format(", true AS monotone"))
 def calibrate_isotonic(spark, sf):
     return _calibrated(spark, sf, "isotonic")
 
 
-def bundle(spark, sf):
-    return training.train_final(parted(spark, sf), CUSTOMER, THRESHOLD, LIGHT)
+_BUNDLES: dict[tuple[str, str], str] = {}
 
 
-@query("train_final")
+def bundle(spark, sf) -> models.Bundle:
+    """The final model of a folder's tables, trained by the first query of the session that asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUNDLES:
+        trained = training.train_final(parted(spark, sf), CUSTOMER, THRESHOLD, EFFORT)
+        _BUNDLES[key] = trained.save(spark, scratch_path(spark, "bundle"))
+    return models.Bundle.load(spark, _BUNDLES[key])
+
+
+@query("train_final", VALIDATED.format(", true AS decided"))
 def train_final(spark, sf):
-    df = parted(spark, sf)
-    trained = training.train_final(df, CUSTOMER, THRESHOLD, LIGHT)
-    held = df.where("partition = 'validation'").withColumn("y", F.when(F.col("Churn") == "Yes", 1).otherwise(0))
-    return metrics.evaluate(trained.score(held), "p", "y", THRESHOLD)
+    """``decided``: the decision column is the comparison with the threshold."""
+    held = split_table(spark, sf).where("partition = 'validation'")
+    model = bundle(spark, sf)
+    scored = model.predict(model.score(held), "customerID").join(held.select("customerID", (F.col("Churn") == "Yes").cast("int").alias("y")), "customerID")
+    p = F.col("churn_probability")
+    follows = F.col("retention_recommended") == (p >= THRESHOLD).cast("int")
+    return scored.select("customerID", "y", p.between(0, 1).alias("in_range"), follows.alias("decided"))
 
 
-@query("train_upload")
+@query(
+    "train_upload",
+    """SELECT CAST(doc_id AS VARCHAR) AS primary_key, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS actual_churn, true AS in_range
+FROM documents JOIN labels USING (doc_id)""",
+)
 def train_upload(spark, sf):
-    """Retrain on labelled documents; tables too small to train on report why."""
-    docs = views.retrain_docs(spark, sf)
-    try:
-        result = training.train_upload(docs, "quality", "doc_id", LIGHT)
-    except ValueError as exc:
-        text = str(exc)
-        return docs.agg(F.count(F.lit(1)).alias("rows")).withColumn("rejected", F.lit(text))
-    return result.results.drop("details")
+    """Retrain on labelled documents. A table too small to train on is an error, never another answer."""
+    result = training.train_upload(views.retrain_docs(spark, sf), "quality", "doc_id", EFFORT)
+    return result.results.select("primary_key", "actual_churn", F.col("churn_probability").between(0, 1).alias("in_range"))
 
 
-@query("score_probability")
+@query("score_probability", "SELECT customerID, true AS in_range FROM cleaned")
 def score_probability(spark, sf):
-    df = parted(spark, sf)
-    trained = training.train_final(df, CUSTOMER, THRESHOLD, LIGHT)
-    return trained.score(df).select("customerID", "p")
+    return bundle(spark, sf).score(split_table(spark, sf)).select("customerID", in_range())
 
 
-@query("score_batch")
+@query("score_batch", "SELECT customerID, 0.1::DOUBLE AS decision_threshold, true AS decided FROM cleaned")
 def score_batch(spark, sf):
-    df = parted(spark, sf)
-    return training.train_final(df, CUSTOMER, THRESHOLD, LIGHT).predict(df, "customerID")
+    scored = bundle(spark, sf).predict(split_table(spark, sf), "customerID")
+    follows = F.col("retention_recommended") == (F.col("churn_probability") >= F.col("decision_threshold")).cast("int")
+    return scored.select("customerID", "decision_threshold", follows.alias("decided"))
 
 
 @query("model_save_load", 'SELECT count(*) AS rows, count(*) AS equal_rows FROM cleaned')
 def model_save_load(spark, sf):
     """Scores before saving and after loading, counted where they agree exactly."""
-    df = parted(spark, sf)
-    trained = training.train_final(df, CUSTOMER, THRESHOLD, LIGHT)
+    df = split_table(spark, sf)
+    trained = bundle(spark, sf)
     loaded = models.Bundle.load(spark, trained.save(spark, scratch_path(spark, "bundle")))
     both = loaded.score(trained.score(df, "p"), "again")
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p") == F.col("again")).alias("equal_rows"))
@@ -157,24 +230,20 @@ def model_save_load(spark, sf):
 @query("pipeline_run", """SELECT "partition", count(*) AS rows FROM split GROUP BY 1""")
 def pipeline_run(spark, sf):
     path = scratch_path(spark, "pipeline")
-    training.run_pipeline(views.snapshot(spark, sf), CUSTOMER, path, THRESHOLD, LIGHT)
+    training.run_pipeline(views.snapshot(spark, sf), CUSTOMER, path, THRESHOLD, EFFORT)
     # the second run finds the artefacts and trains nothing
-    training.run_pipeline(views.snapshot(spark, sf), CUSTOMER, path, THRESHOLD, LIGHT)
+    training.run_pipeline(views.snapshot(spark, sf), CUSTOMER, path, THRESHOLD, EFFORT)
     return spark.read.parquet(f"{path}/manifest").groupBy("partition").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("tree_shap")
+@query("tree_shap", """SELECT customerID, 0.0::DOUBLE AS gap FROM split WHERE "partition" = 'validation'""")
 def tree_shap(spark, sf):
-    """Contributions per validation row with the additivity gap to the model margin."""
-    model, rows, _ = training.explain_frames(parted(spark, sf), CUSTOMER, LIGHT)
+    """Per validation row: the margin of the model less base and contributions, which is nothing."""
+    model, rows, _ = training.explain_frames(parted(spark, sf), CUSTOMER, EFFORT)
     parts = explain.tree_contributions(rows, model, "customerID")
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v) + F.col("base")
-    from pyspark.ml.functions import vector_to_array
-
     margin = model.transform(rows).select("customerID", vector_to_array("rawPrediction").getItem(1).alias("margin"))
-    return parts.join(margin, "customerID").select(
-        "customerID", "base", "margin", F.round(total - F.col("margin"), 6).alias("gap")
-    )
+    return parts.join(margin, "customerID").select("customerID", (F.abs(F.round(total - F.col("margin"), 6))).alias("gap"))
 
 
 # a contribution table that SQL can state: z-like distances of six fields
@@ -215,11 +284,11 @@ def shap_global(spark, sf):
     "shap_local",
     f"""WITH l AS (SELECT customerID, unnest({_NAMES_SQL}) AS feature, unnest(c) AS v FROM ({CONTRIB})),
 r AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY v DESC, feature) AS up, row_number() OVER (PARTITION BY customerID ORDER BY v, feature) AS down FROM l)
-SELECT customerID, 'increasing' AS direction, CAST(up AS INTEGER) AS rank, feature, round(v, 10) AS value FROM r WHERE up <= 2
-UNION ALL SELECT customerID, 'decreasing', CAST(down AS INTEGER), feature, round(v, 10) FROM r WHERE down <= 2""",
+SELECT customerID, 'increasing' AS direction, CAST(up AS INTEGER) AS rank, feature, round(v, 10) AS value FROM r WHERE up <= 5
+UNION ALL SELECT customerID, 'decreasing', CAST(down AS INTEGER), feature, round(v, 10) FROM r WHERE down <= 5""",
 )
 def shap_local(spark, sf):
-    return explain.local_top(stored(spark, sf), "customerID", NAMES, k=2, digits=10)
+    return explain.local_top(stored(spark, sf), "customerID", NAMES, k=5, digits=10)
 
 
 @query(

@@ -184,8 +184,10 @@ def fit_platt(scored: DataFrame) -> LogisticRegressionModel:
 
 
 def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    rows = scored.select(array_to_vector(F.array("p")).alias("x"), "y")
-    return IsotonicRegression(featuresCol="x", labelCol="y", isotonic=True).fit(rows)
+    # equal probabilities first become one weighted row: the same fit, and no value is a hot key
+    levels = scored.groupBy("p").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    rows = levels.select(array_to_vector(F.array("p")).alias("x"), "y", "w")
+    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=True).fit(rows)
 
 
 def calibrate(model: Model, df: DataFrame, source: str, name: str) -> DataFrame:
@@ -324,24 +326,62 @@ def grid_points(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
     return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
 
 
+def first_trees(model: GBTClassificationModel, trees: int) -> GBTClassificationModel:
+    """The boosted model of the first trees: what a fit of so many trees with the same settings gives.
+
+    Boosting adds trees one after the other, and tree m depends on the seed and on the trees
+    before it only.
+    """
+    gateway = SparkSession.getActiveSession().sparkContext._gateway
+    jvm, source = gateway.jvm, model._java_obj
+    kept = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, trees)
+    weights = gateway.new_array(gateway.jvm.double, trees)
+    for i, (tree, weight) in enumerate(zip(list(source.trees())[:trees], list(source.treeWeights())[:trees], strict=True)):
+        kept[i], weights[i] = tree, float(weight)
+    shorter = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, kept, weights)
+    return GBTClassificationModel(source.copyValues(shorter, jvm.org.apache.spark.ml.param.ParamMap()))
+
+
+def longest_points(points: Sequence[Mapping[str, Any]]) -> list[dict[str, Any]]:
+    """Points that must be fitted when shorter boosted fits are prefixes of longer ones."""
+    longest: dict[str, dict[str, Any]] = {}
+    for p in points:
+        key = json.dumps({k: v for k, v in p.items() if k != "trees"})
+        if key not in longest or p["trees"] > longest[key]["trees"]:
+            longest[key] = dict(p)
+    return list(longest.values())
+
+
+def fit_points(train: DataFrame, fit: Callable[..., Any], points: Sequence[Mapping[str, Any]], threads: int) -> list[Any]:
+    """One model per point, several fits at a time; boosted points that differ in trees share a fit."""
+    if fit is not boosted_point:
+        return run_parallel([lambda p=p: fit(train, **p) for p in points], threads)
+    needed = longest_points(points)
+    models = run_parallel([lambda p=p: fit(train, **p) for p in needed], threads)
+    by_key = {json.dumps({k: v for k, v in p.items() if k != "trees"}): (p["trees"], m) for p, m in zip(needed, models, strict=True)}
+    out = []
+    for p in points:
+        trees, model = by_key[json.dumps({k: v for k, v in p.items() if k != "trees"})]
+        out.append(model if p["trees"] == trees else first_trees(model, p["trees"]))
+    return out
+
+
 def grid_search(train: DataFrame, validation: DataFrame, fit: Callable[..., Any], grid: Mapping[str, Sequence[Any]], threads: int = 2) -> DataFrame:
-    """Fit every grid point on train, score on validation, order by F1 then position."""
+    """Fit every grid point on train, score on validation, order by F1 then position.
+
+    Both inputs are kept by the caller while the points are fitted, several at a time.
+    """
     points = grid_points(grid)
-    cached = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (train, validation)]
-    try:
-        fitted = run_parallel([lambda p=p: fit(cached[0], **p) for p in points], threads)
-        scored = {f"{i:03d}": score(m, cached[1].select("y", FEATURES)) for i, m in enumerate(fitted)}
-        table = compare(scored).withColumnRenamed("model", "point")
-        names = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (f"{i:03d}", json.dumps(p))])
-        out = table.withColumn("params", F.element_at(names, F.col("point"))).select(
-            "point", "params", "f1", "pr_auc", "roc_auc", "recall", "precision"
-        )
-        # at most one row per grid point: materialised before the inputs are released
-        rows = out.orderBy(F.desc("f1"), "point").collect()
-        return train.sparkSession.createDataFrame(rows, out.schema)
-    finally:
-        for df in cached:
-            df.unpersist()
+    fitted = fit_points(train, fit, points, threads)
+    scored = {f"{i:03d}": score(m, validation.select("y", FEATURES)) for i, m in enumerate(fitted)}
+    table = compare(scored).withColumnRenamed("model", "point")
+    names = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (f"{i:03d}", json.dumps(p))])
+    out = table.withColumn("params", F.element_at(names, F.col("point"))).select(
+        "point", "params", "f1", "pr_auc", "roc_auc", "recall", "precision"
+    )
+    # at most one row per grid point
+    rows = out.orderBy(F.desc("f1"), "point").collect()
+    return train.sparkSession.createDataFrame(rows, out.schema)
 
 
 def forest_point(train: DataFrame, *, trees: int, depth: int | None, leaf: int, balanced: bool) -> Any:

@@ -14,10 +14,21 @@ from pyspark.sql import functions as F
 from keelson.operators import cleaning, metrics, models, policy, prep, smotenc, split
 from keelson.operators.prep import FEATURES
 from keelson.roles import RoleSpec
-from keelson.session import durable
+from keelson.session import durable, scratch_path
 from keelson.sources.files import write_table
 
 ROW_KEY = "upload_row_id"
+#: Candidates of the model comparison: family and strategy.
+COMPARED = (
+    ("majority", "baseline"),
+    ("logistic", "original"),
+    ("logistic", "class_weight"),
+    ("logistic", "undersample"),
+    ("forest", "class_weight"),
+    ("boosted", "original"),
+    ("boosted", "class_weight"),
+    ("boosted", "undersample"),
+)
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 
 
@@ -106,16 +117,23 @@ class TrainingFrames:
     train: DataFrame
     validation: DataFrame
     fitted: prep.Preprocessor
+    kept: DataFrame
 
     @classmethod
     def of(cls, parted: DataFrame, spec: RoleSpec) -> TrainingFrames:
         fitted = prep.fit_preprocessor(parted, spec)
         rows = models.labelled(fitted.transform(parted.where("partition <> 'test'")), spec)
         kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        return cls(kept.where("partition = 'train'"), kept.where("partition = 'validation'"), fitted)
+        return cls(kept.where("partition = 'train'"), kept.where("partition = 'validation'"), fitted, kept)
 
     def release(self) -> None:
-        self.train.unpersist()
+        self.kept.unpersist()
+
+    def __enter__(self) -> TrainingFrames:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
 
 def _candidate(name: str, effort: Effort) -> Callable[[DataFrame], Any]:
@@ -169,16 +187,11 @@ def model_comparison(parted: DataFrame, spec: RoleSpec, effort: Effort = Effort(
     frames = TrainingFrames.of(parted, spec)
     try:
         smaller = split.undersample(frames.train, spec)
-        plan = [
-            ("majority", "baseline", frames.train),
-            ("logistic", "original", frames.train),
-            ("logistic", "class_weight", _weighted_for("logistic", frames.train)),
-            ("logistic", "undersample", smaller),
-            ("forest", "class_weight", _weighted_for("forest", frames.train)),
-            ("boosted", "original", frames.train),
-            ("boosted", "class_weight", _weighted_for("boosted", frames.train)),
-            ("boosted", "undersample", smaller),
-        ]
+        rows = {
+            "class_weight": lambda name: _weighted_for(name, frames.train),
+            "undersample": lambda name: smaller,
+        }
+        plan = [(m, s, rows.get(s, lambda name: frames.train)(m)) for m, s in COMPARED]
         jobs = [
             lambda m=m, t=t: models.score(_candidate(m, effort)(t), frames.validation) for m, _, t in plan
         ]
@@ -239,7 +252,9 @@ def train_upload(df: DataFrame, target_col: str, id_col: str | None = None, effo
     parted = split.stratified_split(named, spec)
     draft = train_final(parted, spec, 0.5, effort)
     y = F.when(F.col("label") == "Yes", 1).otherwise(0)
-    scored = draft.score(parted.withColumn("y", y)).persist(StorageLevel.MEMORY_AND_DISK)
+    # written once, read by the sweep, the reports and the result: nothing stays persisted
+    path = scratch_path(df.sparkSession, "upload-scores")
+    scored = df.sparkSession.read.parquet(write_table(draft.score(parted.withColumn("y", y)), path))
     best = metrics.cheapest(metrics.sweep(scored.where("partition = 'validation'"), "p", "y")).first()
     threshold = float(best["threshold"])
     bundle = replace(draft, threshold=threshold)
@@ -260,9 +275,9 @@ def train_upload(df: DataFrame, target_col: str, id_col: str | None = None, effo
 
 def explain_frames(parted: DataFrame, spec: RoleSpec, effort: Effort = Effort()) -> tuple[Any, DataFrame, list[str]]:
     """An uncalibrated class-weighted model, encoded validation rows, readable names."""
-    frames = TrainingFrames.of(parted, spec)
-    model = models.fit_boosted(
-        models.weighted(frames.train, models.scale_pos_weight(frames.train)), trees=effort.trees
-    )
-    names = [n.replace("num__", "").replace("cat__", "").replace("_", " ") for n in frames.fitted.feature_names()]
-    return model, frames.validation.select(spec.id_col, "y", FEATURES), names
+    with TrainingFrames.of(parted, spec) as frames:
+        model = models.fit_boosted(
+            models.weighted(frames.train, models.scale_pos_weight(frames.train)), trees=effort.trees
+        )
+        names = [n.replace("num__", "").replace("cat__", "").replace("_", " ") for n in frames.fitted.feature_names()]
+        return model, frames.validation.select(spec.id_col, "y", FEATURES), names
