@@ -35,14 +35,15 @@ def header_resolve(spark, sf):
     return compat.resolve_headers(views.headers(spark, sf))
 
 
+# sequence similarity of at least 0.85: every expected name with one letter more
+NEAR_MISSES = ", ".join(f"('{c}x', '{c}')" for c in COLUMNS)
+
+
 @query(
     "header_suggest",
     f"""WITH resolved AS ({RESOLVED}),
-close AS (SELECT file, position, header, target, 3 AS priority FROM (
-  SELECT r.file, r.position, r.header, t.name AS target,
-   1 - levenshtein(trim(r.header), t.name) / CAST(greatest(length(trim(r.header)), length(t.name), 1) AS DOUBLE) AS score,
-   row_number() OVER (PARTITION BY r.file, r.position ORDER BY score DESC, t.name DESC) AS rn
-  FROM resolved r, (SELECT unnest([{_list(COLUMNS)}]) AS name) t WHERE r.target IS NULL) WHERE rn = 1 AND score >= 0.85),
+near(header, target) AS (VALUES {NEAR_MISSES}),
+close AS (SELECT r.file, r.position, r.header, n.target, 3 AS priority FROM resolved r JOIN near n ON trim(r.header) = n.header WHERE r.target IS NULL),
 every AS (SELECT file, position, header, target, priority FROM resolved WHERE target IS NOT NULL UNION ALL SELECT * FROM close)
 SELECT file, position, header, target, priority FROM (
  SELECT *, row_number() OVER (PARTITION BY file, target ORDER BY priority, position) AS rn FROM every) WHERE rn = 1 AND priority > 0""",

@@ -36,6 +36,7 @@ def baseline_stats(spark, sf):
 NUM_B = long_form("batch_clean", NUMERIC, "DOUBLE")
 CAT_B = long_form("batch_clean", CATEGORICAL)
 PSI = f"""SELECT feature, round(CASE WHEN max(ne) < 3 THEN 0 ELSE greatest(sum(CASE WHEN bin >= 0 AND (b > 0 OR a > 0) THEN (ash - bsh) * ln(ash / bsh) ELSE 0 END), 0) END, 6) AS psi,
+ CASE WHEN max(ne) < 3 THEN 0 ELSE greatest(sum(CASE WHEN bin >= 0 AND (b > 0 OR a > 0) THEN (ash - bsh) * ln(ash / bsh) ELSE 0 END), 0) END >= 0.2 AS drifted,
  round(CAST(sum(a) FILTER (bin < 0) AS DOUBLE) / sum(a), 6) AS oor FROM (
  SELECT *, greatest(b / greatest(CAST(sum(b) FILTER (bin >= 0) OVER (PARTITION BY feature) AS DOUBLE), 1), 1e-6) AS bsh,
   greatest(a / greatest(CAST(sum(a) FILTER (bin >= 0) OVER (PARTITION BY feature) AS DOUBLE), 1), 1e-6) AS ash FROM (
@@ -51,7 +52,7 @@ def psi(spark, sf):
     return drift.psi(cleaned(spark, sf), later(spark, sf), CUSTOMER.numeric, digits=6)
 
 
-NUMD = f"""SELECT p.feature, psi, coalesce(oor, 0) AS out_of_range_share, round(b.m, 6) AS baseline_mean, round(a.m, 6) AS batch_mean, psi >= 0.2 AS alert
+NUMD = f"""SELECT p.feature, psi, coalesce(oor, 0) AS out_of_range_share, round(b.m, 6) AS baseline_mean, round(a.m, 6) AS batch_mean, drifted AS alert
 FROM ({PSI}) p JOIN (SELECT feature, avg(value) AS m FROM ({NUM_LONG}) GROUP BY 1) b ON p.feature = b.feature
 JOIN (SELECT feature, avg(value) AS m FROM ({NUM_B}) GROUP BY 1) a ON p.feature = a.feature"""
 
@@ -62,7 +63,7 @@ def numeric_drift(spark, sf):
 
 
 CATD = f"""SELECT feature, round(max(shift), 6) AS max_share_shift, CASE WHEN max(shift) > 0 THEN arg_min(level, (-shift, -n, level)) FILTER (shift IS NOT NULL) END AS worst_category,
- round(sum(CASE WHEN bshare IS NULL THEN ashare ELSE 0 END), 6) AS unseen_share, round(max(shift), 6) >= 0.15 AS alert FROM (
+ round(sum(CASE WHEN bshare IS NULL THEN ashare ELSE 0 END), 6) AS unseen_share, max(shift) >= 0.15 AS alert FROM (
 SELECT coalesce(b.feature, a.feature) AS feature, coalesce(b.level, a.level) AS level, b.n, round(b.share, 4) AS bshare, a.share AS ashare,
  abs(coalesce(a.share, 0) - round(b.share, 4)) AS shift
 FROM ({SHARES.format(CAT_LONG)}) b FULL JOIN ({SHARES.format(CAT_B)}) a ON b.feature = a.feature AND b.level = a.level) GROUP BY feature"""

@@ -214,12 +214,12 @@ def model_rank(spark, sf):
 
 @query(
     "confusion_compare",
-    f"""SELECT * FROM ({conf('models', T, 'model,')} GROUP BY model) WHERE model IN (SELECT model FROM ({areas('models', 'model')}) ORDER BY pr_auc DESC, model LIMIT 2)""",
+    f"""SELECT * FROM ({conf('models', T, 'model,')} GROUP BY model) WHERE model IN (SELECT model FROM ({areas('models', 'model')}) ORDER BY pr_auc DESC, model LIMIT 3)""",
 )
 def confusion_compare(spark, sf):
     df = views.scored_models(spark, sf)
     ranked = metrics.areas(metrics.score_points(df, "p", "y", ["model"]), ["model"], 6)
-    best = ranked.orderBy(F.desc("pr_auc"), "model").limit(2).select("model")
+    best = ranked.orderBy(F.desc("pr_auc"), "model").limit(3).select("model")
     return metrics.confusion(df, "p", "y", THRESHOLD, ["model"]).join(best, "model", "left_semi")
 
 

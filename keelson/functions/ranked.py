@@ -75,10 +75,9 @@ def quantiles_of_counts(
     ranked: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:
     """As :func:`exact_quantiles`, from rows that already carry ``cum_n``."""
-    # keys name features, labels or models, so the size table has a handful of rows
     size = ranked.groupBy(*keys).agg(F.max("cum_n").alias("_size"))
     joined = (
-        ranked.join(F.broadcast(size), list(keys)) if keys else ranked.withColumn("_size", size.scalar())
+        ranked.join(size, list(keys)) if keys else ranked.withColumn("_size", size.scalar())
     )
     last = F.col("_size") - 1
     picks: list[Column] = [F.max("_size").alias("n")]

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from keelson.functions.ranked import unpivot
 from keelson.functions.scalars import blank_of, strip, value_of
@@ -112,30 +114,31 @@ def claim_headers(resolved: DataFrame) -> DataFrame:
     )
 
 
+def nearest(columns: Iterable[str]) -> Callable[[Column], Column]:
+    """The closest of ``columns`` by sequence similarity, or null below the cut-off."""
+    known = list(columns)
+
+    @arrow_udf("string")
+    def closest(texts: pa.Array) -> pa.Array:
+        found = (difflib.get_close_matches(t or "", known, n=1, cutoff=MATCH_CUTOFF) for t in texts.to_pylist())
+        return pa.array([f[0] if f else None for f in found], pa.string())
+
+    return closest
+
+
 def suggest_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
     """Renames for headers that are no exact match; every target is used at most once.
 
-    All text work is done once per distinct header: uploads repeat the same few
-    texts, so that table is tiny next to the catalogue it is joined back to.
+    Known spellings are resolved where they stand. Similarity is computed once per distinct text
+    of the others, a small table next to the catalogue, and joined to those rows only.
     """
-    texts = catalog.groupBy(F.col("header").alias("k")).agg(F.max("header").alias("header"))
-    text = strip("header")
-    scored = F.transform(
-        F.array(*[F.lit(t) for t in spec.columns]),
-        lambda t: F.struct(
-            (1 - F.levenshtein(text, t) / F.greatest(F.length(text), F.length(t), F.lit(1))).alias("score"),
-            t.alias("target"),
-        ),
-    )
-    resolved = resolve_headers(texts, spec).withColumn("close", F.array_max(scored))
-    near = F.col("close.score") >= MATCH_CUTOFF
-    matched = resolved.select(
-        "k",
-        F.coalesce("target", F.when(near, F.col("close.target"))).alias("target"),
-        F.coalesce("priority", F.when(near, 3)).alias("priority"),
-    ).where(F.col("priority").isNotNull())
-    found = catalog.join(matched, F.col("header") == F.col("k")).select("file", "position", "header", "target", "priority")
-    return claim_headers(found).where("priority > 0")
+    resolved = resolve_headers(catalog, spec)
+    open_ = resolved.where(F.col("target").isNull()).select("file", "position", "header")
+    texts = open_.select(F.col("header").alias("k")).distinct()
+    matched = texts.select("k", nearest(spec.columns)(strip("k")).alias("target")).where(F.col("target").isNotNull())
+    near = open_.join(matched, F.col("header") == F.col("k")).select("file", "position", "header", "target", F.lit(3).alias("priority"))
+    found = resolved.where(F.col("target").isNotNull()).select("file", "position", "header", "target", "priority")
+    return claim_headers(found.unionByName(near)).where("priority > 0")
 
 
 def suggest_for(columns: Iterable[str], spec: RoleSpec = CUSTOMER) -> dict[str, str]:
@@ -196,29 +199,23 @@ def readiness(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
 def detect_key(df: DataFrame) -> DataFrame:
     """Per column: nulls, blanks, uniqueness, and which one is the key.
 
-    One aggregate finds the columns that may be unique; only those are counted
-    exactly, each by a grouped count that stops at the first repeated value.
+    One pass finds the columns without nulls and blanks; the values of all of those are counted
+    exactly, together, in one grouped count.
     """
     names = df.columns
     stats = df.agg(
-        F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(names)],
         *[F.count_if(blank_of(df, c)).alias(f"blanks_{i}") for i, c in enumerate(names)],
-        # sketches with a standard error below 2 percent; the limit is 10 percent away
-        *[
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 12)).alias(f"distinct_{i}")
-            for i, c in enumerate(names)
-        ],
     ).first()
-    rows, chosen = [], None
+    rows, unique = [], dict.fromkeys(names, False)
+    filled = [c for i, c in enumerate(names) if stats[f"nulls_{i}"] == 0 and stats[f"blanks_{i}"] == 0]
+    if filled:
+        counts = unpivot(df, [], filled, "string").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        # one row per column; a table without rows has no column that repeats a value
+        most = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.max("n").alias("n")).collect()}
+        unique |= {c: most.get(c, 1) == 1 for c in filled}
     order = [c for c in KEY_ALIASES if c in names] + [c for c in names if c not in KEY_ALIASES]
-    unique = {}
-    for name in order:
-        i = names.index(name)
-        maybe = stats[f"nulls_{i}"] == 0 and stats[f"blanks_{i}"] == 0 and stats[f"distinct_{i}"] >= 0.9 * stats["n"]
-        unique[name] = maybe and not df.groupBy(name).count().where("count > 1").head(1)
-        if unique[name] and chosen is None:
-            chosen = name
+    chosen = next((c for c in order if unique[c]), None)
     for i, name in enumerate(names):
         rows.append((i, name, stats[f"nulls_{i}"], stats[f"blanks_{i}"], bool(unique[name]), name == chosen))
     return df.sparkSession.createDataFrame(

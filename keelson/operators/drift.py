@@ -71,7 +71,7 @@ def category_shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins: int = PSI_BINS, digits: int = 4) -> DataFrame:
+def exact_psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
     """Population stability index per numeric feature.
 
     Bins are half open with a closed last one; batch values outside the baseline
@@ -108,10 +108,15 @@ def psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins: int =
     used = in_range & ((F.col("b") > 0) | (F.col("a") > 0))
     term = F.when(used, (F.col("as") - F.col("bs")) * F.log(F.col("as") / F.col("bs"))).otherwise(0.0)
     return shares.groupBy("feature").agg(
-        F.round(F.when(F.max("n_edges") < 3, 0.0).otherwise(F.greatest(F.sum(term), F.lit(0.0))), digits).alias("psi"),
-        F.round(
-            F.coalesce(F.try_divide(F.sum(F.when(~in_range, F.col("a")).otherwise(0)), F.sum("a")), F.lit(0.0)), digits
-        ).alias("out_of_range_share"),
+        F.when(F.max("n_edges") < 3, 0.0).otherwise(F.greatest(F.sum(term), F.lit(0.0))).alias("psi"),
+        F.coalesce(F.try_divide(F.sum(F.when(~in_range, F.col("a")).otherwise(0)), F.sum("a")), F.lit(0.0)).alias("out_of_range_share"),
+    )
+
+
+def psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins: int = PSI_BINS, digits: int = 4) -> DataFrame:
+    """:func:`exact_psi`, rounded."""
+    return exact_psi(baseline, batch, names, bins).select(
+        "feature", F.round("psi", digits).alias("psi"), F.round("out_of_range_share", digits).alias("out_of_range_share")
     )
 
 
@@ -121,11 +126,14 @@ def _means(df: DataFrame, names: Sequence[str], alias: str, digits: int) -> Data
 
 
 def numeric_drift(baseline: DataFrame, batch: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
-    index = psi(baseline, batch, names, digits=digits)
+    # the alert is taken before rounding
+    index = exact_psi(baseline, batch, names).select(
+        "feature", F.round("psi", digits).alias("psi"), F.round("out_of_range_share", digits).alias("out_of_range_share"), (F.col("psi") >= PSI_ALERT).alias("alert")
+    )
     return (
         index.join(_means(baseline, names, "baseline_mean", digits), "feature")
         .join(_means(batch, names, "batch_mean", digits), "feature")
-        .withColumn("alert", F.col("psi") >= PSI_ALERT)
+        .select("feature", "psi", "out_of_range_share", "baseline_mean", "batch_mean", "alert")
     )
 
 
@@ -148,8 +156,8 @@ def categorical_drift(baseline: DataFrame, batch: DataFrame, names: Sequence[str
             F.round(F.coalesce(F.max("shift"), F.lit(0.0)), digits).alias("max_share_shift"),
             F.when(F.max("shift") > 0, worst).alias("worst_category"),
             F.round(unseen, digits).alias("unseen_share"),
+            (F.coalesce(F.max("shift"), F.lit(0.0)) >= SHARE_ALERT).alias("alert"),
         )
-        .withColumn("alert", F.col("max_share_shift") >= SHARE_ALERT)
     )
 
 

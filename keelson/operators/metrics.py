@@ -30,8 +30,14 @@ def grid(start: float = SWEEP_START, stop: float = SWEEP_STOP, step: float = SWE
     return [float(t) for t in np.arange(start, stop + step / 2, step)]
 
 
+def score_of(p: str) -> Column:
+    """The score as a double; a null or NaN is an error, so that no metric quietly leaves rows out."""
+    value = F.col(p).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit(f"{p} holds a null or NaN score"))).otherwise(value)
+
+
 def confusion(df: DataFrame, p: str, y: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    hit, true = F.col(p) >= F.lit(float(threshold)), F.col(y) == 1
+    hit, true = score_of(p) >= F.lit(float(threshold)), F.col(y) == 1
     return df.groupBy(*by).agg(
         F.count_if(~hit & ~true).alias("true_negatives"),
         F.count_if(hit & ~true).alias("false_positives"),
@@ -62,7 +68,7 @@ def cost(fp: Column, fn: Column, offer: float = OFFER_COST, lost: float = LOST_C
 def score_points(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, from the highest: pos, neg and their running sums."""
     counted = (
-        df.where(F.col(p).isNotNull())
+        df.withColumn(p, score_of(p))
         .groupBy(*by, p)
         .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     )
@@ -72,7 +78,7 @@ def score_points(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataF
 def with_class_totals(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     totals = points.groupBy(*by).agg(F.max("cum_pos").alias("all_pos"), F.max("cum_neg").alias("all_neg"))
     if by:
-        return points.join(F.broadcast(totals), list(by))  # one row per model or partition
+        return points.join(totals, list(by))
     packed = totals.select(F.struct("all_pos", "all_neg").alias("t")).scalar()
     return points.withColumns({"all_pos": packed.getField("all_pos"), "all_neg": packed.getField("all_neg")})
 
@@ -124,10 +130,10 @@ def threshold_counts(df: DataFrame, p: str, y: str, thresholds: Sequence[float])
     value than there are thresholds) carries all the information of the sweep.
     """
     index = Bucketizer(
-        splits=[float("-inf"), *thresholds, float("inf")], inputCol=p, outputCol="_k", handleInvalid="skip"
+        splits=[float("-inf"), *thresholds, float("inf")], inputCol=p, outputCol="_k", handleInvalid="error"
     )
     by_k = (
-        index.transform(df)
+        index.transform(df.withColumn(p, score_of(p)))
         .groupBy(F.col("_k").cast("int").alias("k"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos"))
     )

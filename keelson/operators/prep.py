@@ -100,7 +100,7 @@ class Preprocessor:
         """Wide 0/1 columns per level; an unknown level gives zeros in all of them."""
         cols: list[Column] = []
         for name, values in self.level_lists().items():
-            filled = F.coalesce(F.col(name), F.lit(self.mode[name]))
+            filled = F.coalesce(F.col(name).cast("string"), F.lit(self.mode[name]))
             cols += [F.when(filled == v, 1.0).otherwise(0.0).alias(f"cat__{name}_{v}") for v in values]
         return df.select(self.spec.id_col, *cols)
 
@@ -135,7 +135,7 @@ def fit_preprocessor(parted: DataFrame, spec: RoleSpec, partition: str = "train"
         rows = source.count()
     parts = [
         f"(coalesce(cast(`{c}` as double), {fill[c]!r}D) - {mean[c]!r}D) / {std[c]!r}D AS `num__{c}`" for c in spec.numeric
-    ] + [f"coalesce(`{c}`, {_text(mode[c])}) AS `imp__{c}`" for c in spec.categorical]
+    ] + [f"coalesce(cast(`{c}` as string), {_text(mode[c])}) AS `imp__{c}`" for c in spec.categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
     inputs = [f"num__{c}" for c in spec.numeric]
     if spec.categorical:

@@ -62,7 +62,7 @@ def numeric_profile(df: DataFrame, names: Sequence[str], by: Sequence[str] = (),
     )
     quartiles = exact_quantiles(long, keys, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
     rounded = quartiles.select(*keys, *[F.round(q, digits).alias(q) for q in ("q25", "q50", "q75")])
-    return spread.join(F.broadcast(rounded), keys)
+    return spread.join(rounded, keys)
 
 
 def categorical_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -236,9 +236,8 @@ def boxplot(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
     box = quantiles_of_counts(ranked, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    # one box per group value (the label), hence the hint
     return (
-        ranked.join(F.broadcast(box), by)
+        ranked.join(box, by)
         .groupBy(by)
         .agg(
             *[F.round(F.first(c), digits).alias(c) for c in ("q1", "median", "q3")],

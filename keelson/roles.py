@@ -108,7 +108,7 @@ class RoleSpec:
 
     @classmethod
     def infer(cls, df: DataFrame, target_col: str, id_col: str) -> RoleSpec:
-        """Read roles off ``df.schema``: numeric types are numbers, the rest categories."""
+        """Read roles off ``df.schema``: numeric types and booleans are numbers, the rest categories."""
         if target_col not in df.columns:
             raise ValueError(f"target column {target_col!r} not found")
         if id_col not in df.columns:
@@ -116,7 +116,7 @@ class RoleSpec:
         fields = [f for f in df.schema.fields if f.name not in (target_col, id_col)]
         if not fields:
             raise ValueError("no feature columns left after taking out target and id")
-        numeric = tuple(f.name for f in fields if isinstance(f.dataType, T.NumericType))
+        numeric = tuple(f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType)))
         rest = tuple(f.name for f in fields if f.name not in numeric)
         return cls(id_col=id_col, target_col=target_col, numeric=numeric, categorical=rest)
 

@@ -16,6 +16,8 @@ from keelson.session import scratch_path
 from keelson.sources.files import write_table
 
 WATERMARK = "1 hour"  # fixed value
+#: Files of one micro-batch: bounds its size however much has arrived.
+FILES_PER_TRIGGER = 1000
 LOG_SCHEMA = "event_id long, ts timestamp, kind string, count int, p double, y int"
 
 
@@ -51,13 +53,11 @@ def score_log(stream: DataFrame, key: str, features: list[str], probability: str
     )
 
 
-def daily(stream: DataFrame) -> DataFrame:
-    """Requests and rows per day and kind."""
+def daily(log: DataFrame) -> DataFrame:
+    """Requests and rows per day and kind; counts of parts of a log may be summed."""
     return (
-        stream.withWatermark("ts", WATERMARK)
-        .groupBy(F.window("ts", "1 day").alias("w"), "kind")
+        log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind")
         .agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("rows"))
-        .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "kind", "requests", "rows")
     )
 
 
@@ -66,7 +66,7 @@ def stream_scores(spark: SparkSession, folder: str, threshold: float) -> DataFra
     arriving = scratch_path(spark, "arriving")
     scored = views.scored(spark, folder)
     write_table(scored, arriving)
-    stream = spark.readStream.schema(scored.schema).parquet(arriving)
+    stream = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(arriving)
     names = [c for c in scored.columns if c not in ("customerID", "Churn", "p")]
     log = score_log(stream, "customerID", names, "p", threshold, f"scored|threshold={threshold}")
     out = scratch_path(spark, "score-log")
@@ -74,34 +74,32 @@ def stream_scores(spark: SparkSession, folder: str, threshold: float) -> DataFra
     return spark.read.schema(log.schema).parquet(out)
 
 
-def stream_daily_counters(spark: SparkSession, folder: str) -> DataFrame:
-    """Counters of the whole log; each micro-batch upserts its changed windows.
+def count_stream(stream: DataFrame, out: str) -> DataFrame:
+    """Counters of all that a log stream brings, whatever order its days arrive in.
 
-    Update mode hands over the changed (day, kind) rows only; the newest version
-    of a row wins when the versions are read back.
+    Every micro-batch writes its own counts (its folder is overwritten when it is replayed), and
+    reading adds them up. No state is kept between batches, so nothing is ever too late.
     """
-    arriving = scratch_path(spark, "log")
-    log = views.prediction_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    write_table(log, arriving)
-    stream = spark.readStream.schema(log.schema).parquet(arriving)
-    out = scratch_path(spark, "counters")
 
-    def keep(changed: DataFrame, epoch: int) -> None:
-        # the epoch folder is overwritten when a batch is replayed
-        changed.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def keep(batch: DataFrame, epoch: int) -> None:
+        daily(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    counted = daily(stream)
     running = (
-        counted.writeStream.outputMode("update")
-        .foreachBatch(keep)
-        .option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    versions = spark.read.option("basePath", out).parquet(out)
-    latest = F.max_by(F.struct("requests", "rows"), "epoch").alias("r")
-    return versions.groupBy("day", "kind").agg(latest).select("day", "kind", "r.requests", "r.rows")
+    spark = stream.sparkSession
+    parts = spark.read.schema("day string, kind string, requests long, rows long").option("basePath", out).parquet(out)
+    return parts.groupBy("day", "kind").agg(F.sum("requests").alias("requests"), F.sum("rows").alias("rows"))
+
+
+def stream_daily_counters(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """The prediction log, written to a folder and counted from there as a stream."""
+    arriving = scratch_path(spark, "log")
+    log = views.prediction_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    write_table(log, arriving)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(arriving)
+    return count_stream(stream, scratch_path(spark, "counters"))
 
 
 def log_source(spark: SparkSession, path: str) -> DataFrame:
