@@ -4,15 +4,45 @@ import pytest
 from harness import compare
 
 import __spark_entry__ as entry
+from keelson.catalog import load, model_queries
+from keelson.operators import models
+from keelson.plans import training
+from keelson.roles import CUSTOMER
 
-# these train models; the catalogue test covers them at a larger scale
-SLOW = {"model_save_load", "pipeline_run"}
-ORACLES = entry.oracle_sql()
+# minutes each at full effort; test_grid_points_share_fits covers their search on a smaller grid
+SLOW = {"grid_search_rf", "grid_search_gbt"}
+ORACLES = load()[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
-def test_query_matches_sql(name, spark, duck, small):
+@pytest.fixture
+def brief(monkeypatch):
+    """Few trees and folds: what the flags of a model query state holds of any fit."""
+    monkeypatch.setattr(model_queries, "EFFORT", training.Effort(trees=6, folds=2, forest_trees=5, forest_depth=4, threads=4))
+    monkeypatch.setattr(model_queries, "_BUNDLES", {})
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW - {"train_upload"}))
+def test_query_matches_sql(name, spark, duck, small, brief):
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert compare(entry.queries()[name](spark, small), duck, ORACLES[name]) is None
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held
+
+
+def test_upload_too_small_to_train_on_is_an_error(spark, small, brief):
+    with pytest.raises(ValueError, match="too_few_rows"):
+        entry.queries()["train_upload"](spark, small)
+
+
+def test_grid_points_share_fits(spark, small):
+    grid = {"trees": (3, 6), "depth": (2, 3), "rate": (0.1,), "subsample": (0.8,), "columns": (0.8,), "weight_factor": (0.0, 1.2)}
+    points = models.grid_points(grid)
+    assert len(models.longest_points(points)) == len(points) / 2
+    with training.TrainingFrames.of(model_queries.parted(spark, small), CUSTOMER) as data:
+        shared = models.fit_points(data.train, models.boosted_point, points, 4)
+        for point, model in list(zip(points, shared))[:2]:
+            alone = models.boosted_point(data.train, **point)
+            both = models.score(alone, models.score(model, data.validation, "q")).collect()
+            assert both and all(r["p"] == r["q"] for r in both)
 
 
 def test_entry_returns_rows(spark):
@@ -22,4 +52,4 @@ def test_entry_returns_rows(spark):
 
 
 def test_keys_agree():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
