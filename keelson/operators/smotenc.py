@@ -160,6 +160,8 @@ def synthesize(df: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS, seed: int = 4
     from a digest, which makes the result repeatable.
     """
     label, sizes = minority(df, spec)
+    if sizes[label] <= k:
+        raise ValueError(f"the minority class has {sizes[label]} rows; {k} neighbours need more than {k}")
     wanted = max(sizes.values()) - sizes[label]
     points = df.where(F.col(spec.target_col) == label)
     near = nearest_neighbours(points, spec, k)

@@ -629,3 +629,11 @@ def test_frames_are_released(spark):
         frames.train.count()
         assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 1
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_minority_must_be_larger_than_the_neighbourhood(spark):
+    rows = [(f"r{i}", float(i), "Yes" if i < 5 else "No") for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double, label string")
+    spec = RoleSpec(id_col="k", target_col="label", numeric=("v",), categorical=())
+    with pytest.raises(ValueError, match="5 neighbours need more"):
+        smotenc.synthesize(df, spec)
