@@ -2,7 +2,7 @@
 
 Both encoders cut a text where no merge can reach across, look the parts up in a
 bounded cache and encode only parts that are not there. The caches belong to the
-Python worker and are emptied when full, so memory does not grow with the input.
+Python worker, and their size does not grow with the input.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Parts held by one cache: about 200 MB of a worker's memory.
-CACHE_PARTS = 800_000
+#: Parts held by one generation of a cache; two generations take about 80 MB of a worker's memory.
+CACHE_PARTS = 200_000
 #: Longer parts go to the library and are not cached.
 LONG_PART = 160
 
@@ -53,7 +53,29 @@ def word_ranks(vocab: dict[str, int], special: set[int]) -> dict[bytes, int]:
     return ranks
 
 
-class WordVocab(dict):
+class Recent(dict):
+    """A bounded cache of two generations: a full one grows old, what is asked for again moves to the new one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._old: dict[bytes, bytes] = {}
+
+    def code(self, part: bytes) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, part: bytes) -> bytes:
+        coded = self._old.get(part)
+        if coded is None:
+            coded = self.code(part)
+        if len(part) <= LONG_PART:
+            if len(self) >= CACHE_PARTS:
+                self._old = dict(self)
+                self.clear()
+            self[part] = coded
+        return coded
+
+
+class WordVocab(Recent):
     """Ids of a word-end BPE vocabulary (a ``tokenizers`` file), without added special tokens.
 
     The file drops white space and lower-cases character by character, so text between
@@ -92,21 +114,14 @@ class WordVocab(dict):
     def _by_library(self, part: str) -> bytes:
         return array(self._code, self.library.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, part: bytes) -> bytes:
+    def code(self, part: bytes) -> bytes:
         text = part.decode("utf-8", "replace")
-        if len(part) > LONG_PART:
+        if len(part) > LONG_PART or not _PLAIN.fullmatch(text) or self._special.search(text):
             return self._by_library(text)
-        if _PLAIN.fullmatch(text) and not self._special.search(text):
-            ids: list[int] = []
-            for piece in _PIECES.findall(text.lower()):
-                ids += self._merge(piece.encode() + b"\xff")
-            coded = array(self._code, ids).tobytes()
-        else:
-            coded = self._by_library(text)
-        if len(self) >= CACHE_PARTS:
-            self.clear()
-        self[part] = coded
-        return coded
+        ids: list[int] = []
+        for piece in _PIECES.findall(text.lower()):
+            ids += self._merge(piece.encode() + b"\xff")
+        return array(self._code, ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_part:
@@ -114,7 +129,7 @@ class WordVocab(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-class PieceVocab(dict):
+class PieceVocab(Recent):
     """Ids of a sentencepiece vocabulary whose pieces hold the space mark only in front.
 
     Then no merge reaches over a single space, and the words of a text are encoded one
@@ -136,16 +151,10 @@ class PieceVocab(dict):
         alone = [p[1:].encode() for p in pieces if p[:1] == self.MARK and self.MARK not in p[1:] and len(p) > 1]
         coded = self.library.encode([a.decode() for a in alone], num_threads=1)
         self.whole = {a: array("H", ids).tobytes() for a, ids in zip(alone, coded) if len(ids) == 1}
-        self.update(self.whole)
 
-    def __missing__(self, word: bytes) -> bytes:
-        coded = array("H", self.library.encode(word.decode("utf-8", "replace"))).tobytes()
-        if len(word) <= LONG_PART:
-            if len(self) >= CACHE_PARTS:
-                self.clear()
-                self.update(self.whole)
-            self[word] = coded
-        return coded
+    def code(self, word: bytes) -> bytes:
+        coded = self.whole.get(word)
+        return array("H", self.library.encode(word.decode("utf-8", "replace"))).tobytes() if coded is None else coded
 
     def separable(self, text: bytes) -> bool:
         return self.by_word and not (b"  " in text or text[:1] == b" " or text[-1:] == b" " or b"\xe2\x96\x81" in text)
