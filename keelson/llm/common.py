@@ -30,9 +30,25 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: columnar, prunable, survives lost executors."""
+#: Rows of two or three numbers that may be broadcast: 48 MB at 24 bytes each.
+BROADCAST_ROWS = 2_000_000
+#: Rows of a small table that one task writes at most.
+SMALL_PART_ROWS = 250_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has so few (narrow) rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder as Parquet and read back: columnar, prunable, survives lost executors.
+
+    ``rows``, where the number is known to be bounded by it, keeps small tables in few tasks and files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/keelson-{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // SMALL_PART_ROWS))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import stored, text_bytes
+from keelson.llm.common import small, stored, text_bytes
 from keelson.llm.shingles import FOLD, Members, mix, randoms, shingle_hashes, word_hashes
 
 RUN = 3
@@ -228,11 +228,10 @@ def find_leaks(
 
 
 def drop_leaked(
-    docs: DataFrame, items: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000
+    docs: DataFrame, items: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` whose id holds no leaked passage, all columns unchanged; rows with a null id stay."""
     leaks = find_leaks(docs, items, settings, id_col, text_col).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct()
     leaks = stored(leaks, "leaks")
-    if leaks.count() <= broadcast_ids:
-        leaks = F.broadcast(leaks)
+    leaks = small(leaks, leaks.count())
     return docs.join(leaks, docs[id_col] == leaks["_gone"], "left_anti")

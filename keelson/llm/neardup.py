@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import stored, text_bytes
+from keelson.llm.common import small, stored, text_bytes
 from keelson.llm.graph import components
 from keelson.llm.shingles import batch_words, mix, randoms, shingle_set
 
@@ -28,15 +28,16 @@ from keelson.llm.shingles import batch_words, mix, randoms, shingle_set
 class Settings:
     """Words of a shingle, similarity in percent, bands and rows of the signature.
 
-    40 bands of 5 miss a pair at a similarity of 0.8 once in eight million
-    ((1 - 0.8^5)^40); ``most_flips`` lets through a sketch estimate five deviations low.
+    46 bands of 7 miss a pair at a similarity of 0.8 twice in a hundred thousand
+    ((1 - 0.8^7)^46) and bring one at 0.4 together in 7 of a hundred cases; ``most_flips``
+    lets through a sketch estimate almost five deviations low.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 5
-    most_flips: int = 128
+    bands: int = 46
+    rows: int = 7
+    most_flips: int = 150
 
     @property
     def samples(self) -> int:
@@ -44,10 +45,8 @@ class Settings:
 
 
 SKETCH_LONGS = 8
-#: Pairs left inside buckets, per posting, that are compared all at once.
-PAIRS_PER_POSTING = 4
-#: Candidate ids that may be broadcast to find their texts: 64 MB at 24 bytes each.
-BROADCAST_IDS = 64_000_000 // 24
+#: Pairs still apart inside buckets, per posting, that are compared all at once.
+PAIRS_PER_POSTING = 200
 SIGNATURES = "id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -134,79 +133,105 @@ def _alike(a: str, b: str, s: Settings) -> Column:
 
 
 class _Search:
-    """Links between classes; ``classes`` has set_id, id, n_shingles, bands, sketch."""
+    """Links between classes; ``classes`` has node, set_id, id, n_shingles, bands, sketch."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, s: Settings) -> None:
         self.docs, self.classes, self.s = docs, classes, s
+        self.sketches = classes.select("node", "n_shingles", "sketch")
 
     def postings(self) -> DataFrame:
-        """(key, set_id) of the buckets with more than one class."""
-        all_keys = self.classes.select(F.explode("bands").alias("key"), "set_id")
+        """(key, node) of the buckets with more than one class."""
+        all_keys = self.classes.select(F.explode("bands").alias("key"), "node")
         shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         return stored(all_keys.join(shared, "key"), "postings")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        ids = self.classes.select("set_id", "id").join(wanted, "set_id", "left_semi")
-        ids = stored(ids.select("id").distinct(), "candidates")
-        known = ids.where("id IS NOT NULL")
-        if known.count() <= BROADCAST_IDS:
-            known = F.broadcast(known)
-        texts = self.docs.join(known, "id", "left_semi").union(self.docs.where("id IS NULL"))
-        sets = stored(_sets(texts, self.s.words), "sets")
-        left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+        pairs = stored(pairs, "pairs", 0)
+        n = pairs.count()
+        ends = small(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n)
+        wanted = small(stored(self.classes.select("node", "set_id", "id").join(ends, "node", "left_semi"), "candidates", 2 * n), 2 * n)
+        texts = self.docs.join(wanted.where("id IS NOT NULL").select("id"), "id", "left_semi").union(self.docs.where("id IS NULL"))
+        sets = stored(_sets(texts, self.s.words).join(wanted.select("set_id", "node"), "set_id").select("node", "shingles"), "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         total = F.size("x") + F.size("y") - shared
-        return pairs.join(left, "a").join(right, "b").where(100 * shared >= self.s.percent * total).select("a", "b")
+        both = left.join(small(pairs, n), "a").join(right, "b")
+        return stored(both.where(100 * shared >= self.s.percent * total).select("a", "b"), "links", n)
+
+    def led(self, members: DataFrame) -> DataFrame:
+        """Pairs of each member (key, node, leader) with its best leader, by the sketches."""
+        a, b = self.sketches.alias("a"), self.sketches.alias("b")
+        tried = members.where("node <> leader").select("node", "leader").distinct().alias("t")
+        near = tried.join(a, F.col("a.node") == F.col("t.node")).join(b, F.col("b.node") == F.col("t.leader")).where(_alike("a", "b", self.s))
+        best = near.groupBy(F.col("t.node").alias("a")).agg(F.min(F.struct(_flips("a", "b").alias("flips"), F.col("t.leader").alias("leader"))).alias("best"))
+        return best.select("a", F.col("best.leader").alias("b"))
+
+    def apart(self, members: DataFrame, every: bool) -> DataFrame:
+        """Likely pairs inside buckets, one side outside the bucket's largest component (key, node, component, major).
+
+        All of them, or for each such side the likeliest in each other component.
+        """
+        full = stored(members.join(self.sketches, "node"), "open-postings")
+        a, b = full.where("component <> major").alias("a"), full.alias("b")
+        once = (F.col("b.component") == F.col("b.major")) | (F.col("a.node") < F.col("b.node"))
+        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once
+        met = a.join(b, on & _alike("a", "b", self.s))
+        if every:
+            return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        nearest = F.min(F.struct(_flips("a", "b").alias("flips"), F.col("b.node").alias("node"))).alias("best")
+        best = met.groupBy(F.col("a.node").alias("a"), F.col("b.component").alias("c")).agg(nearest)
+        return best.select("a", F.col("best.node").alias("b"))
 
     def links(self) -> DataFrame:
+        """Pairs (a, b) that connect what the similarity connects.
+
+        First every class meets one member of each of its buckets; then, while buckets hold
+        unlinked components, a class outside a bucket's largest one meets the likeliest member
+        of each other; at last all pairs still unlinked in a bucket are compared. Buckets with
+        too many such pairs go through more rounds with another leader before that.
+        """
         postings = self.postings()
         n_postings = postings.count()
-        sketches = self.classes.select("set_id", "n_shingles", "sketch")
-        confirmed: list[DataFrame] = []
-        turn, moved = 0, True
-        while n_postings:
-            placed = postings.withColumn("component", F.col("set_id"))
-            if confirmed:
-                found = components(reduce(DataFrame.union, confirmed))
-                placed = postings.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-                placed = placed.select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
-            # buckets whose classes are not all linked yet, one row per component first
-            order = F.struct(F.xxhash64("set_id", "key", F.lit(turn)), "set_id", "component")
+        none = postings.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        if not n_postings:
+            return none
+        leaders = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("l")).select("key", F.col("l.node").alias("leader"))
+        confirmed = [none, self.confirm(self.led(postings.join(leaders, "key")))]
+        turn, moved, tried = 1, True, False
+        while True:
+            found, n = components(reduce(DataFrame.union, confirmed))
+            found = small(found.withColumnRenamed("component", "of"), n)
+            placed = postings.join(found, "node", "left").select("key", "node", F.coalesce("of", "node").alias("component"))
+            order = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")
             parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-            open_keys = parts.groupBy("key").agg(
-                F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("linked"), F.min("first").alias("leader"), F.count("*").alias("parts")
-            )
-            open_keys = stored(open_keys.where("parts > 1").select("key", "leader", ((F.col("n") * F.col("n") - F.col("linked")) / 2).alias("apart")), "open")
-            apart = open_keys.agg(F.sum("apart")).first()[0] or 0
-            if not apart:
+            # per bucket: its largest component, a member of it, and how many rows are outside
+            keys = parts.groupBy("key").agg(F.max(F.struct("n", "component", "first")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+            open_keys = stored(
+                keys.where("parts > 1").select(
+                    "key", F.col("most.component").alias("major"), F.col("most.first.node").alias("leader"),
+                    (F.col("n") * (F.col("n") - F.col("most.n"))).alias("work"),
+                ), "open", n_postings,
+            )
+            n_open, work = open_keys.agg(F.count("*"), F.sum("work")).first()
+            if not n_open:
                 break
-            rest = placed.join(open_keys.select("key", F.col("leader.set_id").alias("leader"), F.col("leader.component").alias("of")), "key")
-            last = apart <= PAIRS_PER_POSTING * n_postings or not moved
-            if last:
-                full = stored(rest.select("key", "set_id", "component").join(sketches, "set_id"), "open-postings")
-                a, b = full.alias("a"), full.alias("b")
-                on = (F.col("a.key") == F.col("b.key")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component"))
-                pairs = a.join(b, on & _alike("a", "b", self.s)).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
+            members = placed.join(small(open_keys.drop("work"), n_open), "key")
+            within = work <= PAIRS_PER_POSTING * n_postings or not moved
+            last = within and (tried or not moved)
+            if within:
+                new = self.confirm(self.apart(members, last))
+                tried = True
             else:
-                # each class and its best leader
-                tried = rest.where("component <> of").select("set_id", "leader").distinct()
-                a, b = sketches.alias("a"), sketches.alias("b")
-                near = tried.join(a, F.col("a.set_id") == tried["set_id"]).join(b, F.col("b.set_id") == F.col("leader")).where(_alike("a", "b", self.s))
-                best = near.groupBy(tried["set_id"].alias("a")).agg(F.min(F.struct(_flips("a", "b").alias("flips"), F.col("leader"))).alias("best"))
-                pairs = best.select("a", F.col("best.leader").alias("b"))
-            new = stored(self.confirm(pairs), "links")
+                new = self.confirm(self.led(members.where("component <> major")))
             moved = not new.isEmpty()
             if moved:
                 confirmed.append(new)
-            turn += 1
             if last:
                 break
-        empty = self.classes.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).where("false")
-        return reduce(DataFrame.union, confirmed, empty)
+            turn += 1
+        return reduce(DataFrame.union, confirmed)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,13 +247,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     signed = stored(_signatures(plain, settings), "signatures")
     some = signed.where("n_shingles > 0")
-    classes = stored(
-        some.groupBy("set_id").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch"))), "classes"
-    )
-    found = components(_Search(plain, classes, settings).links()).withColumnRenamed("node", "set_id")
-    joined = classes.select("set_id", "id").join(found, "set_id", "left").select("set_id", "id", F.coalesce("component", "set_id").alias("component"))
+    merged = some.groupBy("set_id").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    classes = stored(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found, n = components(_Search(plain, classes, settings).links())
+    joined = classes.select("set_id", "id", "node").join(small(found, n), "node", "left").select("set_id", "id", F.coalesce("component", "node").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = stored(joined.join(smallest, "component").select("set_id", "component_id"), "named")
+    named = joined.join(smallest, "component").select("set_id", "component_id")
     out = signed.select("id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
@@ -240,6 +264,5 @@ def keep_first(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     """The rows of ``docs`` that are the smallest of their component, all columns unchanged; of repeated rows with one id one stays."""
     judged = near_duplicates(docs, settings, id_col, text_col)
     dropped = stored(judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct(), "dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
+    dropped = small(dropped, dropped.count())
     return docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
