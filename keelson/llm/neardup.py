@@ -140,11 +140,21 @@ class _Search:
         self.sketches = classes.select("node", "n_shingles", "sketch")
 
     def postings(self) -> DataFrame:
-        """(key, node) of the buckets with more than one class."""
+        """(key, node, n) of the buckets with n > 1 classes."""
         all_keys = self.classes.select(F.explode("bands").alias("key"), "node")
-        shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         return stored(all_keys.join(shared, "key"), "postings")
 
+    def leaders(self, postings: DataFrame) -> DataFrame:
+        """(key, leader): of each bucket the member that shares buckets with most others.
+
+        In a group of near copies the text they were made from agrees with most of them in most
+        bands, so it leads, and its copies, which may be too far from each other, all meet it.
+        """
+        known = postings.groupBy("node").agg(F.sum("n").alias("met"))
+        most = F.max(F.struct("met", "node")).alias("l")
+        return postings.join(known, "node").groupBy("key").agg(most).select("key", F.col("l.node").alias("leader"))
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
         pairs = stored(pairs, "pairs", 0)
@@ -171,7 +181,7 @@ class _Search:
     def apart(self, members: DataFrame, every: bool) -> DataFrame:
         """Likely pairs inside buckets, one side outside the bucket's largest component (key, node, component, major).
 
-        All of them, or for each such side the likeliest in each other component.
+        All of them, or for each such side the likeliest.
         """
         full = stored(members.join(self.sketches, "node"), "open-postings")
         a, b = full.where("component <> major").alias("a"), full.alias("b")
@@ -181,15 +191,15 @@ class _Search:
         if every:
             return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
         nearest = F.min(F.struct(_flips("a", "b").alias("flips"), F.col("b.node").alias("node"))).alias("best")
-        best = met.groupBy(F.col("a.node").alias("a"), F.col("b.component").alias("c")).agg(nearest)
+        best = met.groupBy(F.col("a.node").alias("a")).agg(nearest)
         return best.select("a", F.col("best.node").alias("b"))
 
     def links(self) -> DataFrame:
         """Pairs (a, b) that connect what the similarity connects.
 
-        First every class meets one member of each of its buckets; then, while buckets hold
-        unlinked components, a class outside a bucket's largest one meets the likeliest member
-        of each other; at last all pairs still unlinked in a bucket are compared. Buckets with
+        First every class meets the best leader of its buckets; then, while that still links
+        anything, a class outside its bucket's largest component meets the likeliest member of
+        another one; at last all pairs still unlinked in a bucket are compared. Buckets with
         too many such pairs go through more rounds with another leader before that.
         """
         postings = self.postings()
@@ -197,9 +207,8 @@ class _Search:
         none = postings.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
         if not n_postings:
             return none
-        leaders = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("l")).select("key", F.col("l.node").alias("leader"))
-        confirmed = [none, self.confirm(self.led(postings.join(leaders, "key")))]
-        turn, moved, tried = 1, True, False
+        confirmed = [none, self.confirm(self.led(postings.join(self.leaders(postings), "key")))]
+        turn, moved = 1, True
         while True:
             found, n = components(reduce(DataFrame.union, confirmed))
             found = small(found.withColumnRenamed("component", "of"), n)
@@ -219,10 +228,9 @@ class _Search:
                 break
             members = placed.join(small(open_keys.drop("work"), n_open), "key")
             within = work <= PAIRS_PER_POSTING * n_postings or not moved
-            last = within and (tried or not moved)
+            last = not moved
             if within:
                 new = self.confirm(self.apart(members, last))
-                tried = True
             else:
                 new = self.confirm(self.led(members.where("component <> major")))
             moved = not new.isEmpty()
