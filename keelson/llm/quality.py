@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from keelson.llm.common import text_bytes
+from keelson.llm.common import stored, text_bytes
 from keelson.llm.vocab import piece_vocab
 
 
@@ -155,7 +155,9 @@ def fit_bands(
         .orderBy(F.xxhash64(id_col), id_col).limit(sample).drop("_good")
     )
     rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, lang_col).join(F.broadcast(chosen), id_col, "left_semi")
-    judged = rows.select(F.col(lang_col).alias("_lang"), verdict(text_bytes(text_col), _lang(docs, lang_col), path).alias("_v"))
+    # the sample is written before it is measured, and its measures before they are summed up: each text is encoded once
+    rows = stored(rows.select(F.col(lang_col).cast("string").alias("_lang"), text_bytes(text_col).alias("_text")), "quality-sample")
+    judged = stored(rows.select("_lang", verdict(F.col("_text"), F.col("_lang"), path).alias("_v")), "quality-measures")
     cuts = F.array(*(F.lit(q) for q in (0.01, 0.5, 0.99)))
     found = (
         judged.where(~F.col("_v.base_failed") & F.col("_lang").isNotNull())
