@@ -48,7 +48,18 @@ def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-@query("op3_near_duplicates")
+NEAR_DUPLICATES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+ WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM w),
+u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+ HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c ON s.doc_id = c.doc_id"""
+
+
+@query("op3_near_duplicates", NEAR_DUPLICATES_SQL)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, folder, "documents"), neardup.Settings(words=4))
 
@@ -87,7 +98,21 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(load(spark, folder, "documents"))
 
 
-@query("op9_interleave")
+# CRC-32 from its definition: the table of the reflected polynomial, then one step per byte
+INTERLEAVE_SQL = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+ 4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+   lambda x: ((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)::BIGINT)),
+  lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1])) AS text_crc32,
+ coalesce('s' || source, 'n') AS src, md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY digest, doc_id, size, text_crc32) AS rank, count(*) OVER (PARTITION BY src) AS total, count(*) OVER () AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * total), src, digest, doc_id, size, text_crc32) - 1 AS place FROM r),
+s AS (SELECT *, CAST(place * 40 // n AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, shard, CAST(place - (shard * n + 39) // 40 AS BIGINT) AS slot, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+
+@query("op9_interleave", INTERLEAVE_SQL)
 def stratified_interleave(spark: SparkSession, folder: str) -> DataFrame:
     dealt = interleave.interleave(load(spark, folder, "documents"), shards=40)
     return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
