@@ -30,9 +30,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
+    """One row of each group of near copies stays, whatever its id: shingles of five words, similarity 0.8 or more."""
     prepare(spark)
-    return neardup.keep_first(docs, neardup.Settings(words=5))
+    return neardup.keep_first(docs, neardup.Settings(words=5), repeats=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ class Settings:
 SKETCH_LONGS = 8
 #: Pairs still apart inside buckets, per posting, that are compared all at once.
 PAIRS_PER_POSTING = 200
-SIGNATURES = "id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
+SIGNATURES = "id long, key long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
 class Signer:
@@ -78,13 +78,13 @@ class Signer:
 
 
 def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """Per row: id, set size, set digest; bands and sketch where there is a set."""
+    """Per row: id, key, set size, set digest; bands and sketch where there is a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(s)
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
-            for words in batch_words(batch.column(1).to_pylist()):
+            for words in batch_words(batch.column(2).to_pylist()):
                 values = shingle_set(words, s.words)
                 sizes.append(len(values))
                 if len(values):
@@ -97,11 +97,11 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 sketches.append(sketch)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-                ["id", "n_shingles", "set_id", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
+                ["id", "key", "n_shingles", "set_id", "bands", "sketch"],
             )
 
-    return docs.select(F.col("id"), F.col("text")).mapInArrow(run, SIGNATURES)
+    return docs.select("id", "key", "text").mapInArrow(run, SIGNATURES)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -242,6 +242,19 @@ class _Search:
         return reduce(DataFrame.union, confirmed)
 
 
+def _classified(plain: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of ``plain`` (id, text, key): its rows (id, key, n_shingles, set_id), and the classes of equal
+    sets (set_id, id, first, component); ``first`` is the row with the smallest id, nulls last, then key."""
+    signed = stored(_signatures(plain, settings), "signatures")
+    some = signed.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")
+    merged = some.groupBy("set_id").agg(F.min("id").alias("id"), first, *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    classes = stored(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found, n = components(_Search(plain, classes, settings).links())
+    joined = classes.select("set_id", "id", "first", "node").join(small(found, n), "node", "left")
+    return signed.select("id", "key", "n_shingles", "set_id"), joined.select("set_id", "id", "first", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -252,25 +265,39 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     each). A null id is never smallest; rows linked only among null ids have a null component and
     are kept. An empty table gives an empty result; other columns are not read.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    signed = stored(_signatures(plain, settings), "signatures")
-    some = signed.where("n_shingles > 0")
-    merged = some.groupBy("set_id").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
-    classes = stored(merged.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found, n = components(_Search(plain, classes, settings).links())
-    joined = classes.select("set_id", "id", "node").join(small(found, n), "node", "left").select("set_id", "id", F.coalesce("component", "node").alias("component"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), F.lit(0).cast("long").alias("key"))
+    rows, joined = _classified(plain, settings)
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     named = joined.join(smallest, "component").select("set_id", "component_id")
-    out = signed.select("id", "n_shingles", "set_id").join(named, "set_id", "left")
+    out = rows.drop("key").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col(id_col).isNull() & F.col("component_id").isNull())
     )
 
 
-def keep_first(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, all columns unchanged; of repeated rows with one id one stays."""
-    judged = near_duplicates(docs, settings, id_col, text_col)
-    dropped = stored(judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct(), "dropped")
-    dropped = small(dropped, dropped.count())
-    return docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
+def keep_first(
+    docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", repeats: bool = True
+) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, all columns unchanged.
+
+    The first row is the one with the smallest id, nulls last. Every row is judged by its own text,
+    whatever its id, and of rows with null ids one stays as well. With ``repeats`` the rows of the
+    component that have the same id as the first one stay with it; without, exactly one row of each
+    component does. Rows without a set are linked with nothing and stay.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key = f"_{key}"
+    # written once with its key, which holds for all that follows
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    plain = keyed.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), F.col(key).alias("key"))
+    rows, classes = _classified(plain, settings)
+    best = classes.groupBy("component").agg(F.min("first").alias("best"))
+    some = rows.where("n_shingles > 0")
+    stay = best.select("best.key")
+    if repeats:
+        named = classes.join(best, "component").select("set_id", F.col("best.id").alias("least"))
+        stay = stay.union(some.join(named, "set_id").where("id = least").select("key"))
+    gone = stored(some.select("key").join(stay, "key", "left_anti").withColumnRenamed("key", key), "dropped")
+    return keyed.join(small(gone, gone.count()), key, "left_anti").select(*docs.columns)

@@ -451,3 +451,22 @@ def test_odd_sketch_estimates():
         moved = 2 * signer.s.samples * (1 - similarity)
         assert np.mean(flips) == pytest.approx(256 * (1 - np.exp(-2 * moved / 512)), rel=0.08)
         assert max(flips) <= signer.s.most_flips
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    texts = {c: " ".join(f"{c}{k}" for k in range(50)) for c in "abcd"}
+    rows = [
+        (1, texts["a"], "en", "s"), (1, texts["a"], "en", "s"), (None, texts["a"], "en", "s"),  # repeats, and a copy without an id
+        (None, texts["b"], "en", "s"), (None, texts["b"] + " more", "en", "s"), (None, texts["b"], "en", "s"),  # only null ids
+        (2, texts["a"] + " end", "en", "s"), (2, texts["c"], "en", "s"),  # one id: a copy and a clean text
+        (3, texts["d"], "en", "s"), (3, texts["d"] + " tail", "en", "s"), (4, texts["d"], "en", "s"), (5, None, "en", "s"), (5, "", "en", "s"),
+    ]
+    frame = awkward(spark, rows)
+    kept = corpus_pipeline.dedup_stage(spark, frame, "")
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    assert Counter((r["doc_id"], (r["text"] or " ")[0]) for r in got) == Counter([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (5, " "), (5, " ")])
+    both = neardup.keep_first(frame).collect()
+    assert Counter((r["doc_id"], (r["text"] or " ")[0]) for r in both) == Counter([(1, "a"), (1, "a"), (None, "b"), (2, "c"), (3, "d"), (3, "d"), (5, " "), (5, " ")])
