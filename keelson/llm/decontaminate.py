@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from keelson.llm.common import small, stored, text_bytes
 from keelson.llm.shingles import FOLD, Members, mix, randoms, shingle_hashes, word_hashes
@@ -235,3 +237,25 @@ def drop_leaked(
     leaks = stored(leaks, "leaks")
     leaks = small(leaks, leaks.count())
     return docs.join(leaks, docs[id_col] == leaks["_gone"], "left_anti")
+
+
+def _clean(shared: Broadcast, settings: Settings, text: Column) -> Column:
+    """Whether the text holds no passage of the items."""
+
+    @arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(shared.value, settings)
+        for texts in batches:
+            yield pa.array([not index.search(text) for text in texts.to_pylist()], pa.bool_())
+
+    return clean(text)
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no leaked passage, all columns unchanged; each row is judged by its own text, whatever its id."""
+    spark = docs.sparkSession
+    for block in _blocks(spark, items, settings, item_id, item_text):
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block), settings, text_bytes(text_col)))
+    return docs

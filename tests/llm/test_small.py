@@ -453,6 +453,20 @@ def test_odd_sketch_estimates():
         assert max(flips) <= signer.s.most_flips
 
 
+def test_leaks_go_row_by_row(spark, tmp_path):
+    leak, other = PROSE.split(" while ")[0] + " while seven quiet painters", " ".join(f"own{k}" for k in range(60))
+    rows = [(None, f"{other} {leak} {other}", "en", "s"), (None, other, "en", "s"), (1, f"{leak} {other}", "en", "s"), (1, other, "en", "s"), (2, None, "en", "s")]
+    items = spark.createDataFrame([(1, leak), (2, " ".join(f"far{k}" for k in range(30)))], "item_id long, text string")
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    several = decontaminate.Settings(block_bytes=90)
+    for kept in (corpus_pipeline.decontamination_stage(spark, awkward(spark, rows), folder), decontaminate.keep_clean(awkward(spark, rows), items, several)):
+        assert kept.columns == awkward(spark).columns
+        assert rows_of(kept.select("doc_id", "text")) == sorted([(None, other), (1, other), (2, None)], key=str)
+
+
 def test_one_row_of_each_group_stays(spark):
     import corpus_pipeline
 
