@@ -1,8 +1,8 @@
 """Corpus pipeline: quality rules, toxicity, near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given, and returns rows with
-the columns of ``documents``, the last one packed sequences. Models and bands are fitted on
-bounded samples of the labelled documents in ``sf_dir``.
+the columns of ``documents``, the last one packed sequences. Bands are measured on all documents
+called good in ``sf_dir``, the toxicity model is fitted on a bounded sample of its labelled documents.
 """
 
 from __future__ import annotations

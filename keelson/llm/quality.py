@@ -9,7 +9,7 @@ where no language is named, to the script of the text.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from keelson.llm.common import stored, text_bytes
+from keelson.llm.common import small, stored, text_bytes
 from keelson.llm.vocab import piece_vocab
 
 
@@ -54,10 +54,18 @@ RESULT = (
     "chars_per_token:double,byte_share:double,token_entropy:double,base_failed:boolean,kept:boolean>"
 )
 
+MEASURES = RESULT.replace("kept:boolean", "script:string")
+#: Good rows of a language at which its measured band weighs as much as the wide band of its script.
+PRIOR = 100
+
 
 def script_of(text: str) -> str:
     """The script of most letters; ``*`` without any of those known."""
-    counts = [(len(pattern.findall(text)), name) for name, pattern in _SCRIPTS]
+    name, pattern = _SCRIPTS[0]
+    first = len(pattern.findall(text))
+    if 2 * first > len(text):
+        return name
+    counts = [(first, name), *((len(pattern.findall(text)), name) for name, pattern in _SCRIPTS[1:])]
     best = max(counts, key=lambda c: c[0])
     return best[1] if best[0] else "*"
 
@@ -102,7 +110,8 @@ def fertility(text: bytes, n_chars: int, vocab) -> tuple[float, float, float]:
     return n_chars / n, max(odd, 0) / n, entropy / max(float(np.log2(n)), 1.0)
 
 
-def judge(text: bytes, lang: str | None, vocab, bands: dict[str, Band]) -> tuple:
+def measures(text: bytes, vocab) -> tuple:
+    """All measures of ``RESULT`` but the last."""
     words = text.split()
     n = len(words)
     # code points are the bytes that continue none; white space is ASCII here
@@ -111,17 +120,26 @@ def judge(text: bytes, lang: str | None, vocab, bands: dict[str, Band]) -> tuple
     symbols = sum(map(text.count, _SYMBOLS))
     repeated = repeat_words(words)
     failed = n < 50 or 100 * repeated > 50 * n
-    per_token, byte_share, entropy = fertility(text, chars, vocab)
+    return n, word_chars, symbols, duplicate_lines(text), repeated, *fertility(text, chars, vocab), failed
+
+
+def accepts(band: Band, per_token: float, byte_share: float, entropy: float) -> bool:
+    return band.chars_low <= per_token <= band.chars_high and byte_share <= band.byte_high and entropy >= band.entropy_low
+
+
+def judge(text: bytes, lang: str | None, vocab, bands: dict[str, Band]) -> tuple:
+    found = measures(text, vocab)
     band = bands.get(lang) if lang else None
     if band is None:
         band = bands.get(script_of(text.decode("utf-8", "replace")), bands["*"])
-    kept = (
-        not failed
-        and band.chars_low <= per_token <= band.chars_high
-        and byte_share <= band.byte_high
-        and entropy >= band.entropy_low
-    )
-    return n, word_chars, symbols, duplicate_lines(text), repeated, per_token, byte_share, entropy, failed, kept
+    return *found, not found[8] and accepts(band, *found[5:8])
+
+
+def _struct(rows: list[tuple], ddl: str) -> pa.Array:
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [part.split(":") for part in ddl[7:-1].split(",")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def verdict(text: Column, lang: Column, path: str, bands: dict[str, Band] = BANDS) -> Column:
@@ -130,54 +148,69 @@ def verdict(text: Column, lang: Column, path: str, bands: dict[str, Band] = BAND
     @arrow_udf(RESULT)
     def measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
         vocab = piece_vocab(path)
-        rows = [judge(t or b"", l, vocab, bands) for t, l in zip(texts.to_pylist(), langs.to_pylist())]
-        columns = list(zip(*rows)) or [()] * 10
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2
-        names = [part.split(":")[0] for part in RESULT[7:-1].split(",")]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        return _struct([judge(t or b"", l, vocab, bands) for t, l in zip(texts.to_pylist(), langs.to_pylist())], RESULT)
 
     return measure(text, lang)
 
 
-def fit_bands(
-    docs: DataFrame, labels: DataFrame, path: str, sample: int = 20_000, least: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> dict[str, Band]:
-    """Bands per language, measured on documents that ``labels`` calls good (``quality`` = 1).
+def measure_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """(``_id``, ``_lang``, ``_v``) per row, written once, so each text is encoded once: ``_v`` has the measures and the script."""
+
+    @arrow_udf(MEASURES)
+    def measure(texts: pa.Array) -> pa.Array:
+        vocab = piece_vocab(path)
+        return _struct([(*measures(t or b"", vocab), script_of((t or b"").decode("utf-8", "replace"))) for t in texts.to_pylist()], MEASURES)
+
+    return stored(docs.select(F.col(id_col).alias("_id"), _lang(docs, lang_col).alias("_lang"), measure(text_bytes(text_col)).alias("_v")), "quality-measures")
+
+
+def _good(labels: DataFrame, id_col: str) -> DataFrame:
+    """Ids that ``labels`` calls good (``quality`` = 1), each once."""
+    return labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+
+
+def bands_of(measured: DataFrame) -> dict[str, Band]:
+    """Bands per language of the rows of ``measure_rows``, all of them good.
 
-    At most ``sample`` labelled rows are used (those whose digest of the id is smallest, so
-    the choice is the same on every run), and only languages with ``least`` of them. A band
-    begins half the distance from the median to the outer 1 % quantile beyond that quantile:
-    good documents stay inside with room. Languages not measured keep the wide default bands.
+    A band begins half the distance from the median to the outer 1 % quantile beyond that
+    quantile: good documents stay inside with room. It is then drawn to the wide band of the
+    script of most of the language's rows: of n rows the measured band has the weight
+    n / (n + PRIOR), so a language with few rows moves off the script's band row by row and
+    there is no number of rows at which the rules switch. One row per language reaches the driver.
     """
-    chosen = (
-        labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull())
-        .groupBy(id_col).agg(F.lit(1).alias("_good"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(sample).drop("_good")
-    )
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, lang_col).join(F.broadcast(chosen), id_col, "left_semi")
-    # the sample is written before it is measured, and its measures before they are summed up: each text is encoded once
-    rows = stored(rows.select(F.col(lang_col).cast("string").alias("_lang"), text_bytes(text_col).alias("_text")), "quality-sample")
-    judged = stored(rows.select("_lang", verdict(F.col("_text"), F.col("_lang"), path).alias("_v")), "quality-measures")
     cuts = F.array(*(F.lit(q) for q in (0.01, 0.5, 0.99)))
+    scripts = [name for name, _ in _SCRIPTS]
     found = (
-        judged.where(~F.col("_v.base_failed") & F.col("_lang").isNotNull())
+        measured.where(~F.col("_v.base_failed") & F.col("_lang").isNotNull())
         .groupBy("_lang")
         .agg(
             F.count("*").alias("n"),
+            *(F.count_if(F.col("_v.script") == name).alias(name) for name in scripts),
             F.percentile_approx("_v.chars_per_token", cuts, F.lit(10_000)).alias("chars"),
             F.percentile_approx("_v.byte_share", cuts, F.lit(10_000)).alias("bytes"),
             F.percentile_approx("_v.token_entropy", cuts, F.lit(10_000)).alias("entropy"),
         )
-        .where(F.col("n") >= least)
     )
     bands = dict(BANDS)
-    for row in found.collect():  # at most sample / least rows
-        low = lambda q: q[0] - (q[1] - q[0]) / 2
-        high = lambda q: q[2] + (q[2] - q[1]) / 2
-        bands[row["_lang"]] = Band(low(row["chars"]), high(row["chars"]), max(high(row["bytes"]), 0.05), low(row["entropy"]))
+    low = lambda q: q[0] - (q[1] - q[0]) / 2
+    high = lambda q: q[2] + (q[2] - q[1]) / 2
+    for row in found.collect():
+        script = max(scripts, key=lambda name: row[name])
+        wide = BANDS[script if row[script] else "*"]
+        weight = row["n"] / (row["n"] + PRIOR)
+        own = Band(low(row["chars"]), high(row["chars"]), max(high(row["bytes"]), 0.05), low(row["entropy"]))
+        bands[row["_lang"]] = Band(*(weight * x + (1 - weight) * y for x, y in zip(astuple(own), astuple(wide))))
     return bands
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Band]:
+    """Bands per language, measured on all documents that ``labels`` calls good (``bands_of``); the wide default bands for the others."""
+    good = stored(_good(labels, id_col), "quality-good")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = texts.join(small(good, good.count()), "_id", "left_semi")
+    return bands_of(measure_rows(rows, path, "_id", "_text", "_lang"))
+
+
 def _lang(docs: DataFrame, lang_col: str | None) -> Column:
     return F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
 
@@ -199,3 +232,23 @@ def quality_rules(
 def keep_good(docs: DataFrame, path: str, bands: dict[str, Band] = BANDS, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
     return docs.where(verdict(text_bytes(text_col), _lang(docs, lang_col), path, bands)["kept"])
+
+
+def fitted_rules(
+    docs: DataFrame, labels: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang"
+) -> DataFrame:
+    """``quality_rules`` with the bands that ``fit_bands`` measures on the same ``docs``; each text is encoded once for both."""
+    measured = measure_rows(docs, path, id_col, text_col, lang_col)
+    good = _good(labels, id_col)
+    # a null text has no words: it fails the base rule and is in no band
+    bands = bands_of(measured.join(good, "_id", "left_semi"))
+
+    @arrow_udf("boolean")
+    def keeps(langs: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for lang, v in zip(langs.to_pylist(), found.to_pylist()):
+            band = (bands.get(lang) if lang else None) or bands.get(v["script"], bands["*"])
+            out.append(not v["base_failed"] and accepts(band, v["chars_per_token"], v["byte_share"], v["token_entropy"]))
+        return pa.array(out, pa.bool_())
+
+    return measured.select(F.col("_id").alias(id_col), "_v.*", keeps("_lang", "_v").alias("kept")).drop("script")

@@ -90,7 +90,7 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return quality.quality_rules(docs, path, quality.fit_bands(docs, labels, path))
+    return quality.fitted_rules(docs, labels, path)
 
 
 @query("op8_license_scan")

@@ -453,6 +453,23 @@ def test_odd_sketch_estimates():
         assert max(flips) <= signer.s.most_flips
 
 
+def test_bands_use_all_good_rows_and_do_not_jump(spark):
+    rng = random.Random(5)
+    vocabulary = PROSE.split()
+    texts = [" ".join(rng.choices(vocabulary, k=90)) for _ in range(104)]
+    frames = {n: awkward(spark, [(i, t, lang, "s") for i, t in enumerate(texts[:n]) for lang in ("xx",)]) for n in (1, 20, 99, 100, 104)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(104)], "doc_id long, quality int, toxic int")
+    low = {n: quality.fit_bands(frame, labels, PIECES)["xx"].chars_low for n, frame in frames.items()}
+    wide = quality.BANDS["latin"].chars_low
+    # a language with few rows has its own band, near that of its script, and the hundredth row moves it little
+    assert wide < low[1] < low[20] < low[99] and low[1] - wide < 0.1
+    assert abs(low[100] - low[99]) < 0.05
+    rules = {r["doc_id"]: r for r in quality.fitted_rules(frames[99], labels, PIECES).collect()}
+    bands = quality.fit_bands(frames[99], labels, PIECES)
+    assert rules == {r["doc_id"]: r for r in quality.quality_rules(frames[99], PIECES, bands).collect()}
+    assert quality.fitted_rules(empty(spark), labels, PIECES).count() == 0
+
+
 def test_leaks_go_row_by_row(spark, tmp_path):
     leak, other = PROSE.split(" while ")[0] + " while seven quiet painters", " ".join(f"own{k}" for k in range(60))
     rows = [(None, f"{other} {leak} {other}", "en", "s"), (None, other, "en", "s"), (1, f"{leak} {other}", "en", "s"), (1, other, "en", "s"), (2, None, "en", "s")]
