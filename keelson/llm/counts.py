@@ -2,7 +2,7 @@
 
 The vocabulary is asked once, offline, which of its strings it encodes alone as one
 token. A word of the text that is among them counts one without being encoded; only
-the others are merged, each once per worker as long as the bounded cache keeps it.
+the others are merged, each once per worker as long as the bounded table keeps it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ def token_count(text: Column, path: str) -> Column:
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         vocab = piece_vocab(path)
-        # ids take two bytes each
-        return pa.array([len(vocab.encode(t or b"")) // 2 for t in texts.to_pylist()], pa.int64())
+        return pa.array(list(map(len, vocab.encode_all([t or b"" for t in texts.to_pylist()]))), pa.int64())
 
     return count(text)
 

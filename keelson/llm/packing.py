@@ -161,9 +161,9 @@ def pack(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, ids in zip(batch.column(0).to_pylist(), vocab.encode_all(batch.column(1).to_pylist())):
                 names.append(name)
-                coded.append(np.concatenate((np.frombuffer(vocab.encode(text), vocab.dtype), end)))
+                coded.append(np.concatenate((ids, end)))
                 held += len(coded[-1])
                 if len(names) >= BLOCK_DOCS or held >= BLOCK_TOKENS:
                     yield close()

@@ -96,9 +96,9 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def fertility(text: bytes, n_chars: int, vocab) -> tuple[float, float, float]:
+def fertility(text: bytes, ids: np.ndarray, n_chars: int, vocab) -> tuple[float, float, float]:
     """Characters per token, byte-fallback share, entropy as a share of log2(number of tokens)."""
-    ids = np.sort(np.frombuffer(vocab.encode(text), "<u2"))
+    ids = np.sort(ids)
     n = len(ids)
     if not n:
         return 0.0, 0.0, 0.0
@@ -110,8 +110,8 @@ def fertility(text: bytes, n_chars: int, vocab) -> tuple[float, float, float]:
     return n_chars / n, max(odd, 0) / n, entropy / max(float(np.log2(n)), 1.0)
 
 
-def measures(text: bytes, vocab) -> tuple:
-    """All measures of ``RESULT`` but the last."""
+def measures(text: bytes, ids: np.ndarray, vocab) -> tuple:
+    """All measures of ``RESULT`` but the last, of a text and its token ids."""
     words = text.split()
     n = len(words)
     # code points are the bytes that continue none; white space is ASCII here
@@ -120,15 +120,15 @@ def measures(text: bytes, vocab) -> tuple:
     symbols = sum(map(text.count, _SYMBOLS))
     repeated = repeat_words(words)
     failed = n < 50 or 100 * repeated > 50 * n
-    return n, word_chars, symbols, duplicate_lines(text), repeated, *fertility(text, chars, vocab), failed
+    return n, word_chars, symbols, duplicate_lines(text), repeated, *fertility(text, ids, chars, vocab), failed
 
 
 def accepts(band: Band, per_token: float, byte_share: float, entropy: float) -> bool:
     return band.chars_low <= per_token <= band.chars_high and byte_share <= band.byte_high and entropy >= band.entropy_low
 
 
-def judge(text: bytes, lang: str | None, vocab, bands: dict[str, Band]) -> tuple:
-    found = measures(text, vocab)
+def judge(text: bytes, ids: np.ndarray, lang: str | None, vocab, bands: dict[str, Band]) -> tuple:
+    found = measures(text, ids, vocab)
     band = bands.get(lang) if lang else None
     if band is None:
         band = bands.get(script_of(text.decode("utf-8", "replace")), bands["*"])
@@ -148,7 +148,8 @@ def verdict(text: Column, lang: Column, path: str, bands: dict[str, Band] = BAND
     @arrow_udf(RESULT)
     def measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
         vocab = piece_vocab(path)
-        return _struct([judge(t or b"", l, vocab, bands) for t, l in zip(texts.to_pylist(), langs.to_pylist())], RESULT)
+        plain = [t or b"" for t in texts.to_pylist()]
+        return _struct([judge(t, ids, l, vocab, bands) for t, ids, l in zip(plain, vocab.encode_all(plain), langs.to_pylist())], RESULT)
 
     return measure(text, lang)
 
@@ -159,7 +160,8 @@ def measure_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     @arrow_udf(MEASURES)
     def measure(texts: pa.Array) -> pa.Array:
         vocab = piece_vocab(path)
-        return _struct([(*measures(t or b"", vocab), script_of((t or b"").decode("utf-8", "replace"))) for t in texts.to_pylist()], MEASURES)
+        plain = [t or b"" for t in texts.to_pylist()]
+        return _struct([(*measures(t, ids, vocab), script_of(t.decode("utf-8", "replace"))) for t, ids in zip(plain, vocab.encode_all(plain))], MEASURES)
 
     return stored(docs.select(F.col(id_col).alias("_id"), _lang(docs, lang_col).alias("_lang"), measure(text_bytes(text_col)).alias("_v")), "quality-measures")
 

@@ -50,15 +50,21 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 
-def _hash_chunk(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of at most CHUNK bytes."""
+def hash_words(buffer: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (never 0), starts and ends of the runs of bytes not in ``blanks``, of at most CHUNK bytes."""
     letters, powers, inverse = _tables()
-    blank = _space()[buffer]
+    blank = blanks[buffer]
     edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(letters[buffer] * powers[: len(buffer)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes[hashes == 0] = 1
+    return hashes, starts, ends
+
+
+def _hash_chunk(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return hash_words(buffer, _space())
 
 
 def word_hashes(text: bytes, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

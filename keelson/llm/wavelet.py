@@ -194,24 +194,24 @@ def write_shards(
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = word_vocab(path)
-        end = np.array([end_id], vocab.dtype).tobytes()
+        end = np.array([end_id], vocab.dtype)
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(coded), vocab.dtype)
-            content = pack_shard(ids, [len(c) // vocab.dtype.itemsize for c in coded], tokens)
+            content = pack_shard(ids, list(map(len, coded)), np.concatenate(coded))
+            tokens = sum(map(len, coded))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([content], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([content], pa.binary())],
                 ["part", "seq", "n_docs", "n_tokens", "content"],
             )
 
         for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, found in zip(batch.column(0).to_pylist(), vocab.encode_all(batch.column(1).to_pylist())):
                 ids.append(number)
-                coded.append(vocab.encode(text) + end)
-                size += len(coded[-1]) // vocab.dtype.itemsize
+                coded.append(np.concatenate((found, end)))
+                size += len(coded[-1])
                 if size >= shard_tokens:
                     yield close()
                     ids, coded, size, seq = [], [], 0, seq + 1

@@ -75,8 +75,39 @@ def test_every_string_of_the_word_vocabulary_merges_to_itself(words):
         assert parts == [a, b], (k, a, b)
 
 
-def test_caches_stay_bounded(words, pieces, monkeypatch):
-    monkeypatch.setattr(vocab, "CACHE_PARTS", 50)
-    fresh = vocab.WordVocab(WORDS)
-    text = " ".join(f"w{i}" for i in range(400)).encode()
-    assert fresh.encode(text) == words.encode(text) and len(fresh) + len(fresh._old) <= 100
+def test_table_stays_bounded(words, pieces, monkeypatch):
+    monkeypatch.setattr(vocab, "CACHE_BYTES", 4 << 20)
+    monkeypatch.setattr(vocab, "GROUP", 2_000)  # many groups, and long texts cut between words
+    text = " ".join(f"w{i}x{i % 7}" for i in range(90_000)).encode()
+    for fresh, known in ((vocab.WordVocab(WORDS), words), (vocab.PieceVocab(PIECES), pieces)):
+        most = 0
+        first = fresh.table.words
+        for at in range(0, len(text), 40_000):
+            part = text[at : at + 40_000].strip()
+            assert fresh.encode(part) == known.encode(part)
+            most = max(most, fresh.table.nbytes)
+            assert fresh.table.words >= first
+        assert most <= 2 * vocab.CACHE_BYTES
+
+
+def test_texts_encoded_together_equal_single_ones(words, pieces):
+    texts = [t.encode() for t in odd_texts(200)]
+    for coder, plain in ((words, lambda t: words.library.encode(t, add_special_tokens=False).ids), (pieces, pieces.library.encode)):
+        assert [c.tolist() for c in coder.encode_all(texts)] == [plain(t.decode()) for t in texts]
+
+
+def test_one_vocabulary_at_a_time():
+    first = vocab.word_vocab(WORDS)
+    assert vocab.word_vocab(WORDS) is first
+    vocab.piece_vocab(PIECES)
+    assert list(vocab._kept) == [(vocab.PieceVocab, PIECES)]
+    vocab.release()
+    assert not vocab._kept
+
+
+def test_words_of_signs_and_letters(words):
+    rng = random.Random(8)
+    signs = list("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'") + ["’", "é", "ß", "÷", "×", "A", "z", "9"]
+    for _ in range(4000):
+        word = "".join(rng.choice(["abc", "Xy", *signs]) for _ in range(rng.randrange(1, 6)))
+        assert words._code(word.encode()) == words.library.encode(word, add_special_tokens=False).ids, word
