@@ -30,8 +30,8 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-#: Rows of two or three numbers that may be broadcast: 48 MB at 24 bytes each.
-BROADCAST_ROWS = 2_000_000
+#: Rows of two or three numbers that may be broadcast: 5 MB at 24 bytes each.
+BROADCAST_ROWS = 200_000
 #: Rows of a small table that one task writes at most.
 SMALL_PART_ROWS = 250_000
 

@@ -2,9 +2,10 @@
 
 Documents with the same shingle set are one class from the start. Bands of MinHash values
 put classes into buckets. A class is first compared with one member of each bucket (its
-leader), so a large group of near copies joins up in linear work; only what is then still
-apart inside a bucket is compared pair by pair. A candidate is estimated by the odd sketch,
-a bitmap in which every MinHash sample flips one bit, and confirmed on the full sets.
+leader), so a large group of near copies joins up in linear work; of what is then still apart
+inside a bucket, only pairs that can share enough shingles are compared. A candidate is
+estimated by the odd sketch, a bitmap in which every MinHash sample flips one bit, and
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from keelson.llm.common import small, stored, text_bytes
 from keelson.llm.graph import components
 from keelson.llm.shingles import batch_words, mix, randoms, shingle_set
+from keelson.llm.vocab import release
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,11 @@ class Settings:
 
 
 SKETCH_LONGS = 8
-#: Pairs still apart inside buckets, per posting, that are compared all at once.
-PAIRS_PER_POSTING = 200
+#: Classes at most that have a rare shingle.
+RARE = 8
+#: Pairs still apart, per class in open buckets, that are compared all at once, and turns before that in any case.
+PAIRS_PER_CLASS = 4
+TURNS = 3
 SIGNATURES = "id long, key long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -81,6 +86,7 @@ def _signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """Per row: id, key, set size, set digest; bands and sketch where there is a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # no vocabulary is needed here
         signer = Signer(s)
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
@@ -155,20 +161,24 @@ class _Search:
         most = F.max(F.struct("met", "node")).alias("l")
         return postings.join(known, "node").groupBy("key").agg(most).select("key", F.col("l.node").alias("leader"))
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
-        pairs = stored(pairs, "pairs", 0)
-        n = pairs.count()
-        ends = small(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n)
-        wanted = small(stored(self.classes.select("node", "set_id", "id").join(ends, "node", "left_semi"), "candidates", 2 * n), 2 * n)
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(``node``, ``shingles``) of the classes in ``nodes``, from a text of each."""
+        wanted = stored(self.classes.select("node", "set_id", "id").join(nodes, "node", "left_semi"), "candidates")
         texts = self.docs.join(wanted.where("id IS NOT NULL").select("id"), "id", "left_semi").union(self.docs.where("id IS NULL"))
-        sets = stored(_sets(texts, self.s.words).join(wanted.select("set_id", "node"), "set_id").select("node", "shingles"), "sets")
+        return stored(_sets(texts, self.s.words).join(wanted.select("set_id", "node"), "set_id").select("node", "shingles"), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
+        pairs = stored(pairs.select("a", "b"), "pairs")
+        if sets is None:
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+            sets = self.sets(ends.distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         total = F.size("x") + F.size("y") - shared
-        both = left.join(small(pairs, n), "a").join(right, "b")
-        return stored(both.where(100 * shared >= self.s.percent * total).select("a", "b"), "links", n)
+        both = left.join(pairs, "a").join(right, "b")
+        return stored(both.where(100 * shared >= self.s.percent * total).select("a", "b"), "links")
 
     def led(self, members: DataFrame) -> DataFrame:
         """Pairs of each member (key, node, leader) with its best leader, by the sketches."""
@@ -178,67 +188,83 @@ class _Search:
         best = near.groupBy(F.col("t.node").alias("a")).agg(F.min(F.struct(_flips("a", "b").alias("flips"), F.col("t.leader").alias("leader"))).alias("best"))
         return best.select("a", F.col("best.leader").alias("b"))
 
-    def apart(self, members: DataFrame, every: bool) -> DataFrame:
-        """Likely pairs inside buckets, one side outside the bucket's largest component (key, node, component, major).
+    def apart(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, flips): pairs inside buckets that can still link, one side outside the bucket's largest component.
 
-        All of them, or for each such side the likeliest.
+        ``members`` has key, node, component, major. Shingles that few of the members' classes have
+        are rare, the others common. Two classes share at most the smaller of their numbers of common
+        shingles and as many rare ones as an index of the rare shingles says, so copies of one text,
+        each with changes of its own, are told apart without comparing their sets. What this bound
+        and the sketches leave is a pair, in the first bucket that both are in.
         """
-        full = stored(members.join(self.sketches, "node"), "open-postings")
+        each = sets.select("node", F.explode("shingles").alias("shingle"))
+        rare = each.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE).select("shingle")
+        held = stored(each.join(rare, "shingle").select("shingle", "node"), "rare-shingles")
+        own = held.groupBy("node").agg(F.count("*").alias("rare"))
+        buckets = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        known = self.sketches.join(buckets, "node").join(own, "node", "left").withColumn("common", F.col("n_shingles") - F.coalesce("rare", F.lit(0)))
+        known = stored(known.drop("rare"), "open-classes")
+        full = stored(members.join(known, "node"), "open-postings")
         a, b = full.where("component <> major").alias("a"), full.alias("b")
         once = (F.col("b.component") == F.col("b.major")) | (F.col("a.node") < F.col("b.node"))
+        sizes = F.col("a.n_shingles") + F.col("b.n_shingles")
+        # a similarity of s percent needs s / (100 + s) of both sizes in common
+        reach = lambda shared: (100 + self.s.percent) * shared >= self.s.percent * sizes
+        fewer = F.least("a.common", "b.common")
+        first = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
         on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once
-        met = a.join(b, on & _alike("a", "b", self.s))
-        if every:
-            return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        nearest = F.min(F.struct(_flips("a", "b").alias("flips"), F.col("b.node").alias("node"))).alias("best")
-        best = met.groupBy(F.col("a.node").alias("a")).agg(nearest)
-        return best.select("a", F.col("best.node").alias("b"))
+        ends = (F.col("a.node").alias("a"), F.col("b.node").alias("b"), _flips("a", "b").alias("flips"))
+        plain = a.join(b, on & reach(fewer) & _alike("a", "b", self.s) & first).select(*ends)
+        # rare shingles by the classes that have them: runs of one passage make one list
+        lists = held.groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+        lists = stored(lists.groupBy("nodes").agg(F.count("*").alias("n")), "rare-lists")
+        one = lists.select("nodes", "n", F.posexplode("nodes").alias("i", "a"))
+        two = one.select("a", "n", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(RARE))).alias("b"))
+        share = two.groupBy("a", "b").agg(F.sum("n").alias("n")).alias("r")
+        part = members.select("node", "component").distinct()
+        x, y = known.join(part, "node").alias("a"), known.join(part, "node").alias("b")
+        met = share.join(x, F.col("a.node") == F.col("r.a")).join(y, F.col("b.node") == F.col("r.b")).where(
+            (F.col("a.component") != F.col("b.component")) & reach(F.col("r.n") + fewer) & _alike("a", "b", self.s)
+        )
+        return stored(plain.union(met.select(*ends)).distinct(), "apart")
 
     def links(self) -> DataFrame:
         """Pairs (a, b) that connect what the similarity connects.
 
-        First every class meets the best leader of its buckets; then, while that still links
-        anything, a class outside its bucket's largest component meets the likeliest member of
-        another one; at last all pairs still unlinked in a bucket are compared. Buckets with
-        too many such pairs go through more rounds with another leader before that.
+        First every class meets the best leader of its buckets. Buckets that then still hold more
+        than one component are searched for all pairs that can link. While there are many, one pair
+        for each pair of components is tested a turn; then all that still lie in different ones.
         """
         postings = self.postings()
-        n_postings = postings.count()
-        none = postings.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        if not n_postings:
-            return none
-        confirmed = [none, self.confirm(self.led(postings.join(self.leaders(postings), "key")))]
-        turn, moved = 1, True
-        while True:
-            found, n = components(reduce(DataFrame.union, confirmed))
-            found = small(found.withColumnRenamed("component", "of"), n)
-            placed = postings.join(found, "node", "left").select("key", "node", F.coalesce("of", "node").alias("component"))
-            order = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")
-            parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-            # per bucket: its largest component, a member of it, and how many rows are outside
-            keys = parts.groupBy("key").agg(F.max(F.struct("n", "component", "first")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-            open_keys = stored(
-                keys.where("parts > 1").select(
-                    "key", F.col("most.component").alias("major"), F.col("most.first.node").alias("leader"),
-                    (F.col("n") * (F.col("n") - F.col("most.n"))).alias("work"),
-                ), "open", n_postings,
-            )
-            n_open, work = open_keys.agg(F.count("*"), F.sum("work")).first()
-            if not n_open:
-                break
-            members = placed.join(small(open_keys.drop("work"), n_open), "key")
-            within = work <= PAIRS_PER_POSTING * n_postings or not moved
-            last = not moved
-            if within:
-                new = self.confirm(self.apart(members, last))
-            else:
-                new = self.confirm(self.led(members.where("component <> major")))
-            moved = not new.isEmpty()
-            if moved:
-                confirmed.append(new)
-            if last:
+        if postings.isEmpty():
+            return postings.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        confirmed = [self.confirm(self.led(postings.join(self.leaders(postings), "key")))]
+        found, n = components(confirmed[0])
+        placed = postings.join(small(found.withColumnRenamed("component", "of"), n), "node", "left")
+        placed = placed.select("key", "node", F.coalesce("of", "node").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
+        open_keys = stored(keys.where("parts > 1").select("key", F.col("most.component").alias("major")), "open")
+        members = stored(placed.join(open_keys, "key"), "members")
+        if members.isEmpty():
+            return confirmed[0]
+        nodes = members.select("node").distinct()
+        sets = self.sets(nodes)
+        pairs, many = self.apart(members, sets), PAIRS_PER_CLASS * nodes.count()
+        for _ in range(TURNS):
+            if pairs.count() <= many:
                 break
-            turn += 1
+            a, b = (found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab")
+            sided = pairs.join(a, "a", "left").join(b, "b", "left")
+            sided = sided.withColumns({f"c{side}": F.coalesce(f"c{side}", side) for side in "ab"}).where("ca <> cb")
+            likely = sided.groupBy(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).agg(F.min(F.struct("flips", "a", "b")).alias("best"))
+            tested = stored(likely.select("best.a", "best.b"), "tested")
+            confirmed.append(self.confirm(tested, sets))
+            found, _ = components(reduce(DataFrame.union, confirmed))
+            pairs = stored(sided.select("a", "b", "flips").join(tested, ["a", "b"], "left_anti"), "apart")
+        a, b = (found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab")
+        left = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        confirmed.append(self.confirm(left, sets))
         return reduce(DataFrame.union, confirmed)
 
 

@@ -419,9 +419,9 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("pairs_per_posting", [0, 4])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs_per_posting):
-    monkeypatch.setattr(neardup, "PAIRS_PER_POSTING", pairs_per_posting)
+@pytest.mark.parametrize("pairs_per_class", [0, 4])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs_per_class):
+    monkeypatch.setattr(neardup, "PAIRS_PER_CLASS", pairs_per_class)
     rows = near_rows()
     got = rows_of(neardup.near_duplicates(awkward(spark, rows), neardup.Settings(words=4)).select("doc_id", "n_shingles", "component_id"))
     assert got == sorted(brute_components(rows, 4), key=str)
@@ -501,3 +501,44 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter((r["doc_id"], (r["text"] or " ")[0]) for r in got) == Counter([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (5, " "), (5, " ")])
     both = neardup.keep_first(frame).collect()
     assert Counter((r["doc_id"], (r["text"] or " ")[0]) for r in both) == Counter([(1, "a"), (1, "a"), (None, "b"), (2, "c"), (3, "d"), (3, "d"), (5, " "), (5, " ")])
+
+
+def edited_copies(n, seed):
+    """Copies of one text with one to nine words changed, from few and from many other words: most link to no single copy."""
+    rng = random.Random(seed)
+    base = [f"word{i}" for i in range(150)]
+    few = [f"other{i}" for i in range(5)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(1, 10)):
+            words[rng.randrange(150)] = rng.choice(few) if k % 2 else f"own{k}x{rng.random()}"
+        rows.append((k, " ".join(words), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("rare", [1, 8])
+def test_large_group_of_near_copies_against_brute_force(spark, monkeypatch, rare):
+    monkeypatch.setattr(neardup, "RARE", rare)
+    rows = edited_copies(700, 3)
+    sets = []
+    for _, text, _, _ in rows:
+        words = text.split()
+        sets.append(frozenset(zip(*(words[i:] for i in range(4)))))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {k: find(k) for k in range(len(rows))}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4), neardup.Settings(words=4)).collect()}
+    assert got == want and 20 < len(set(want.values())) < 600
