@@ -182,8 +182,10 @@ def _slots(planned: DataFrame, s: Settings) -> DataFrame:
     counts = stored(_drawn(planned, s), "mix-counts")
     placed = _before(counts, ["sid"], "shard", "n", "number")
     placed = _before(placed, ["shard"], "sid", "n", "seat")
-    # at most as many slots as a shard has
-    rows = placed.join(planned, "sid").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # at most as many slots as a shard has; few narrow rows become many, so they are dealt out first
+    tasks = max(planned.sparkSession.sparkContext.defaultParallelism, counts.count() // 1024)
+    dealt = placed.join(planned, "sid").repartition(tasks, "sid", "shard")
+    rows = dealt.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.withColumn("k", F.col("number") + F.col("i")).withColumn("epoch", F.expr("k div blocks"))
     block = _permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("swaps")[F.col("epoch")])
     cut = F.when(F.col("k") == F.col("slots") - 1, F.col("cut")).otherwise(0)

@@ -49,9 +49,6 @@ class Settings:
 SKETCH_LONGS = 8
 #: Classes at most that have a rare shingle.
 RARE = 8
-#: Pairs still apart, per class in open buckets, that are compared all at once, and turns before that in any case.
-PAIRS_PER_CLASS = 4
-TURNS = 3
 SIGNATURES = "id long, key long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -232,8 +229,7 @@ class _Search:
         """Pairs (a, b) that connect what the similarity connects.
 
         First every class meets the best leader of its buckets. Buckets that then still hold more
-        than one component are searched for all pairs that can link. While there are many, one pair
-        for each pair of components is tested a turn; then all that still lie in different ones.
+        than one component are searched for all pairs that can link, and these are compared.
         """
         postings = self.postings()
         if postings.isEmpty():
@@ -248,23 +244,8 @@ class _Search:
         members = stored(placed.join(open_keys, "key"), "members")
         if members.isEmpty():
             return confirmed[0]
-        nodes = members.select("node").distinct()
-        sets = self.sets(nodes)
-        pairs, many = self.apart(members, sets), PAIRS_PER_CLASS * nodes.count()
-        for _ in range(TURNS):
-            if pairs.count() <= many:
-                break
-            a, b = (found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab")
-            sided = pairs.join(a, "a", "left").join(b, "b", "left")
-            sided = sided.withColumns({f"c{side}": F.coalesce(f"c{side}", side) for side in "ab"}).where("ca <> cb")
-            likely = sided.groupBy(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).agg(F.min(F.struct("flips", "a", "b")).alias("best"))
-            tested = stored(likely.select("best.a", "best.b"), "tested")
-            confirmed.append(self.confirm(tested, sets))
-            found, _ = components(reduce(DataFrame.union, confirmed))
-            pairs = stored(sided.select("a", "b", "flips").join(tested, ["a", "b"], "left_anti"), "apart")
-        a, b = (found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab")
-        left = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        confirmed.append(self.confirm(left, sets))
+        sets = self.sets(members.select("node").distinct())
+        confirmed.append(self.confirm(self.apart(members, sets), sets))
         return reduce(DataFrame.union, confirmed)
 
 

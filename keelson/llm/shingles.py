@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes hashed at a time: bounds the arrays, which take about 40 bytes a byte of text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = np.uint64(0xD1342543DE82EF95)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # fixed values: the constants of the published splitmix64 finaliser

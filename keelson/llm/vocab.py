@@ -20,11 +20,11 @@ import numpy as np
 from keelson.llm.shingles import hash_words
 
 #: Bytes of a worker's table of words; a full one begins anew with the whole-token words.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 #: Longer words are not kept.
 LONG_WORD = 160
-#: Bytes of text that are looked up at a time.
-GROUP = 1 << 18
+#: Bytes of text that are looked up at a time, less than are hashed at a time.
+GROUP = 1 << 17
 
 # fixed values: the shape of the word vocabulary's file for which parts between white space are independent
 _WORD_NORMALIZERS = [
@@ -75,6 +75,13 @@ class WordTable:
     def nbytes(self) -> int:
         return self.keys.nbytes + self.at.nbytes + self.n.nbytes + self.ids.nbytes
 
+    def grown(self, words: int) -> int:
+        """Bytes of the table with so many more words."""
+        size = len(self.keys)
+        while 2 * (self.words + words) > size:
+            size *= 2
+        return 14 * size + self.ids.nbytes
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, -1 where there is none."""
         mask = np.uint64(len(self.keys) - 1)
@@ -187,9 +194,10 @@ class Coder:
         total = np.concatenate(([0], np.cumsum(n)))
         ids = table.ids[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
         if len(fresh):
-            table.add(*fresh)
-            if table.nbytes > CACHE_BYTES:
+            if table.grown(len(fresh[0])) > CACHE_BYTES:
                 self._begin()
+            else:
+                table.add(*fresh)
         cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])[:-1])
         return np.split(ids, total[cuts])
 

@@ -419,9 +419,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("pairs_per_class", [0, 4])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, pairs_per_class):
-    monkeypatch.setattr(neardup, "PAIRS_PER_CLASS", pairs_per_class)
+def test_near_duplicates_against_brute_force(spark):
     rows = near_rows()
     got = rows_of(neardup.near_duplicates(awkward(spark, rows), neardup.Settings(words=4)).select("doc_id", "n_shingles", "component_id"))
     assert got == sorted(brute_components(rows, 4), key=str)
