@@ -11,6 +11,12 @@ from keelson.catalog.views_sql import CATEGORICAL, NUMERIC, long_form
 from keelson.operators import cleaning, drift, monitor
 from keelson.plans import views
 from keelson.roles import CUSTOMER
+from keelson.session import scratch_path
+
+
+def stored_baseline(spark, sf) -> drift.Baseline:
+    """The baseline as an artefact in the shared folder, written from the early snapshot and read back."""
+    return drift.Baseline.of(cleaned(spark, sf), CUSTOMER, views.AS_OF).save(scratch_path(spark, "baseline"))
 
 
 def later(spark, sf):
@@ -80,7 +86,7 @@ FROM (SELECT 'numeric' AS kind, feature, psi AS value, alert FROM ({NUMD}) UNION
 
 @query("drift_report", REPORT)
 def drift_report(spark, sf):
-    return drift.drift_report(cleaned(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
+    return drift.drift_report(stored_baseline(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
 
 
 COUNTERS = """SELECT CAST(coalesce(sum("count") FILTER (kind <> 'error' AND "count" > 0), 0) AS BIGINT) AS predictions_total,
@@ -101,7 +107,7 @@ def service_counters(spark, sf):
 FROM ({COUNTERS}) c, (SELECT bool_or(alert) AS a, string_agg(alert_text, '; ' ORDER BY alert_text) AS t FROM ({REPORT})) s""",
 )
 def monitoring_summary(spark, sf):
-    report = drift.drift_report(cleaned(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
+    report = drift.drift_report(stored_baseline(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
     counters = monitor.service_counters(views.prediction_log(spark, sf))
     return monitor.monitoring_summary(counters, drift.drift_status(report))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.ranked import quantiles_of_counts, running_totals, unpivot
@@ -81,19 +82,19 @@ def exact_psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins:
     known = counts.where("base_n > 0").select("feature", "value", F.col("base_n").alias("n"))
     ranked = running_totals(known, ["feature"], "value", ["n"])
     edges = _packed_edges(quantiles_of_counts(ranked, ["feature"], "value", _edge_names(bins)), bins)
-    value, list_ = F.col("value"), F.col("edges")
-    last = F.size(list_) - 2
-    index = F.when(value == F.element_at(list_, -1), last).otherwise(
-        F.size(F.filter(list_, lambda e: e <= value)) - 1
-    )
-    inside = (value >= F.element_at(list_, 1)) & (value <= F.element_at(list_, -1))
     # one edge list per numeric feature
-    binned = (
-        counts.join(F.broadcast(edges), "feature")
-        .withColumn("bin", F.when(inside, index).otherwise(-1))
-        .groupBy("feature", "bin")
-        .agg(F.sum("base_n").alias("b"), F.sum("batch_n").alias("a"), F.first(F.size("edges")).alias("n_edges"))
-    )
+    placed = counts.join(F.broadcast(edges), "feature").withColumn("bin", _bin(F.col("value"), F.col("edges")))
+    return _index(placed.groupBy("feature", "bin").agg(F.sum("base_n").alias("b"), F.sum("batch_n").alias("a"), F.first(F.size("edges")).alias("n_edges")))
+
+
+def _bin(value: Column, edges: Column) -> Column:
+    """Number of the bin from 0, -1 outside the edges; the last bin is closed."""
+    index = F.when(value == F.element_at(edges, -1), F.size(edges) - 2).otherwise(F.size(F.filter(edges, lambda e: e <= value)) - 1)
+    return F.when((value >= F.element_at(edges, 1)) & (value <= F.element_at(edges, -1)), index).otherwise(-1)
+
+
+def _index(binned: DataFrame) -> DataFrame:
+    """The stability index of (feature, bin, b, a, n_edges), baseline and batch counts per bin."""
     feature = Window.partitionBy("feature")  # at most bins + 1 rows
     in_range = F.col("bin") >= 0
     base_all = F.sum(F.when(in_range, F.col("b"))).over(feature)
@@ -113,6 +114,55 @@ def exact_psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins:
     )
 
 
+@dataclass(frozen=True)
+class Baseline:
+    """What later batches are held against, written once: no row of the baseline table is read again.
+
+    ``numeric`` has (version, feature, edges, counts per bin, mean, n), ``categories`` (version,
+    feature, level, n, share): as many rows as there are features and levels.
+    """
+
+    numeric: DataFrame
+    categories: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, spec: RoleSpec, version: str, bins: int = PSI_BINS) -> Baseline:
+        counts = unpivot(df, [], spec.numeric, "double").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        ranked = running_totals(counts, ["feature"], "value", ["n"])
+        edges = _packed_edges(quantiles_of_counts(ranked, ["feature"], "value", _edge_names(bins)), bins)
+        # one edge list per numeric feature
+        placed = ranked.join(F.broadcast(edges), "feature").withColumn("bin", _bin(F.col("value"), F.col("edges")))
+        filled = placed.groupBy("feature", "edges", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("total"))
+        by_bin = F.map_from_entries(F.collect_list(F.struct("bin", "n")))  # at most one entry per bin
+        packed = filled.groupBy("feature", "edges").agg(by_bin.alias("by_bin"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+        places = F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))
+        per_bin = F.transform(places, lambda i: F.coalesce(F.try_element_at("by_bin", i), F.lit(0).cast("long")))
+        label = F.lit(version).alias("version")
+        numeric = packed.select(label, "feature", "edges", per_bin.alias("counts"), "mean", "n")
+        return cls(numeric, category_shares(df, spec.categorical).select(label, "feature", "level", "n", "share"))
+
+    def save(self, path: str) -> Baseline:
+        self.numeric.coalesce(1).write.parquet(f"{path}/numeric")
+        self.categories.coalesce(1).write.parquet(f"{path}/categories")
+        return self.load(self.numeric.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Baseline:
+        return cls(spark.read.parquet(f"{path}/numeric"), spark.read.parquet(f"{path}/categories"))
+
+    def psi(self, batch: DataFrame, names: Sequence[str]) -> DataFrame:
+        """As :func:`exact_psi`; reads the batch only."""
+        edges = self.numeric.select("feature", "edges")
+        values = unpivot(batch, [], names, "double").where("value IS NOT NULL")
+        placed = values.join(F.broadcast(edges), "feature").withColumn("bin", _bin(F.col("value"), F.col("edges")))
+        new = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("a"))
+        old = self.numeric.where(F.col("feature").isin(*names)).select("feature", F.posexplode("counts").alias("bin", "b"))
+        sizes = self.numeric.select("feature", F.size("edges").alias("n_edges"))
+        none = F.lit(0).cast("long")
+        both = old.join(new, ["feature", "bin"], "full").join(F.broadcast(sizes), "feature")
+        return _index(both.select("feature", "bin", F.coalesce("b", none).alias("b"), F.coalesce("a", none).alias("a"), "n_edges"))
+
+
 def psi(baseline: DataFrame, batch: DataFrame, names: Sequence[str], bins: int = PSI_BINS, digits: int = 4) -> DataFrame:
     """:func:`exact_psi`, rounded."""
     return exact_psi(baseline, batch, names, bins).select(
@@ -125,24 +175,30 @@ def _means(df: DataFrame, names: Sequence[str], alias: str, digits: int) -> Data
     return wide.unpivot([], list(names), "feature", alias)
 
 
-def numeric_drift(baseline: DataFrame, batch: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
+def numeric_drift(baseline: DataFrame | Baseline, batch: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
+    """Index, means and alert per number; ``baseline`` is a table or what :class:`Baseline` stored of it."""
+    if isinstance(baseline, Baseline):
+        exact, means = baseline.psi(batch, names), baseline.numeric.select("feature", F.round("mean", digits).alias("baseline_mean"))
+    else:
+        exact, means = exact_psi(baseline, batch, names), _means(baseline, names, "baseline_mean", digits)
     # the alert is taken before rounding
-    index = exact_psi(baseline, batch, names).select(
+    index = exact.select(
         "feature", F.round("psi", digits).alias("psi"), F.round("out_of_range_share", digits).alias("out_of_range_share"), (F.col("psi") >= PSI_ALERT).alias("alert")
     )
     return (
-        index.join(_means(baseline, names, "baseline_mean", digits), "feature")
+        index.join(means, "feature")
         .join(_means(batch, names, "batch_mean", digits), "feature")
         .select("feature", "psi", "out_of_range_share", "baseline_mean", "batch_mean", "alert")
     )
 
 
-def categorical_drift(baseline: DataFrame, batch: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
+def categorical_drift(baseline: DataFrame | Baseline, batch: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
     """Largest share shift over the baseline levels; ties go to the commoner level.
 
     Baseline shares are rounded to 4 digits as they are in a stored baseline.
     """
-    old = category_shares(baseline, names).select("feature", "level", "n", F.round("share", 4).alias("base_share"))
+    known = baseline.categories.where(F.col("feature").isin(*names)) if isinstance(baseline, Baseline) else category_shares(baseline, names)
+    old = known.select("feature", "level", "n", F.round("share", 4).alias("base_share"))
     new = category_shares(batch, names).select("feature", "level", F.col("share").alias("batch_share"))
     joined = old.join(new, ["feature", "level"], "full").withColumn(
         "shift", F.abs(F.coalesce("batch_share", F.lit(0.0)) - F.col("base_share"))
@@ -161,7 +217,7 @@ def categorical_drift(baseline: DataFrame, batch: DataFrame, names: Sequence[str
     )
 
 
-def drift_report(baseline: DataFrame, batch: DataFrame, spec: RoleSpec, source: str, digits: int = 4) -> DataFrame:
+def drift_report(baseline: DataFrame | Baseline, batch: DataFrame, spec: RoleSpec, source: str, digits: int = 4) -> DataFrame:
     """(source, kind, feature, metric value, alert) for every feature of the batch."""
     numeric = numeric_drift(baseline, batch, spec.numeric, digits).select(
         F.lit("numeric").alias("kind"), "feature", F.col("psi").alias("value"), "alert"

@@ -117,6 +117,19 @@ def report(df: DataFrame, p: str, y: str, threshold: float, by: Sequence[str] =
     return joined.withColumn("threshold", F.lit(float(threshold)))
 
 
+def report_counts(counted: DataFrame, by: Sequence[str], threshold: float = 0.5, digits: int = DIGITS) -> DataFrame:
+    """The rates and areas of :func:`report` from distinct scores ``p`` with their counts ``pos`` and ``neg``."""
+    hit, none = F.col("p") >= F.lit(float(threshold)), F.lit(0).cast("long")
+    counts = counted.groupBy(*by).agg(
+        F.sum(F.when(hit, none).otherwise(F.col("neg"))).alias("true_negatives"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(none)).alias("false_positives"),
+        F.sum(F.when(hit, none).otherwise(F.col("pos"))).alias("false_negatives"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(none)).alias("true_positives"),
+    )
+    points = running_totals(counted.withColumn("p", score_of("p")), list(by), "p", ["pos", "neg"], descending=True)
+    return with_rates(counts, digits).join(areas(points, by, digits), list(by))
+
+
 def evaluate(df: DataFrame, p: str, y: str, threshold: float, by: Sequence[str] = (), digits: int = DIGITS, offer: float = OFFER_COST, lost: float = LOST_COST) -> DataFrame:
     """:func:`report` plus the simulated cost."""
     out = report(df, p, y, threshold, by, digits)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from keelson.operators import metrics, split
 from keelson.operators.prep import FEATURES
 from keelson.roles import RoleSpec
+from keelson.session import scratch_path
 
 # ---------------------------------------------------------------- fixed values
 SEED = 42
@@ -64,6 +65,15 @@ def labelled(encoded: DataFrame, spec: RoleSpec) -> DataFrame:
     return encoded.select(*kept, y.alias("y"), FEATURES)
 
 
+#: Training rows that one task reads: a fit is many short jobs, and small tables gain nothing from more tasks.
+ROWS_PER_TASK = 20_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` in as few partitions as its rows need, never more than it has."""
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
 def class_counts(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count_if(F.col("y") == 0).alias("n"), F.count_if(F.col("y") == 1).alias("p")).first()
     return int(row["n"]), int(row["p"])
@@ -369,19 +379,40 @@ def fit_points(train: DataFrame, fit: Callable[..., Any], points: Sequence[Mappi
 def grid_search(train: DataFrame, validation: DataFrame, fit: Callable[..., Any], grid: Mapping[str, Sequence[Any]], threads: int = 2) -> DataFrame:
     """Fit every grid point on train, score on validation, order by F1 then position.
 
-    Both inputs are kept by the caller while the points are fitted, several at a time.
+    Each point is fitted and scored in jobs of its own, several at a time; what is kept of it are its
+    distinct validation scores with their counts of either label, written once. A plan holds one
+    model, and the driver lets go of a model before the next fit of its thread. One pass over the
+    scores of all points, grouped by point, gives the metrics.
     """
+    spark = train.sparkSession
     points = grid_points(grid)
-    fitted = fit_points(train, fit, points, threads)
-    scored = {f"{i:03d}": score(m, validation.select("y", FEATURES)) for i, m in enumerate(fitted)}
-    table = compare(scored).withColumnRenamed("model", "point")
-    names = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (f"{i:03d}", json.dumps(p))])
-    out = table.withColumn("params", F.element_at(names, F.col("point"))).select(
-        "point", "params", "f1", "pr_auc", "roc_auc", "recall", "precision"
-    )
-    # at most one row per grid point
-    rows = out.orderBy(F.desc("f1"), "point").collect()
-    return train.sparkSession.createDataFrame(rows, out.schema)
+    path = scratch_path(spark, "grid-scores")
+    rows = validation.select("y", FEATURES)
+
+    def keep(i: int, model: Any) -> None:
+        scored = score(model, rows).groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+        scored.write.mode("overwrite").parquet(f"{path}/point={i}")
+
+    def one(point: dict[str, Any]) -> None:
+        model = fit(train, **point)
+        for i, other in enumerate(points):
+            if other == point:
+                keep(i, model)
+            elif fit is boosted_point and _but_trees(other) == _but_trees(point):
+                keep(i, first_trees(model, other["trees"]))
+
+    run_parallel([lambda p=p: one(p) for p in (longest_points(points) if fit is boosted_point else points)], threads)
+    found = spark.read.schema("p double, pos long, neg long, point int").option("basePath", path).parquet(path)
+    table = metrics.report_counts(found, ["point"])
+    names = F.create_map(*[F.lit(x) for i, p in enumerate(points) for x in (i, json.dumps(p))])
+    return table.select(
+        F.lpad(F.col("point").cast("string"), 3, "0").alias("point"), F.element_at(names, F.col("point")).alias("params"),
+        "f1", "pr_auc", "roc_auc", "recall", "precision",
+    ).orderBy(F.desc("f1"), "point")
+
+
+def _but_trees(point: Mapping[str, Any]) -> dict[str, Any]:
+    return {k: v for k, v in point.items() if k != "trees"}
 
 
 def forest_point(train: DataFrame, *, trees: int, depth: int | None, leaf: int, balanced: bool) -> Any:

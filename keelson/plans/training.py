@@ -56,7 +56,7 @@ class Effort:
 def train_final(parted: DataFrame, spec: RoleSpec, threshold: float, effort: Effort = Effort(), method: str = "sigmoid") -> models.Bundle:
     """Class-weighted boosted trees, calibrated by folds; only the train partition is read."""
     fitted = prep.fit_preprocessor(parted, spec)
-    train = models.labelled(fitted.transform(parted.where("partition = 'train'")), spec)
+    train = models.sized(models.labelled(fitted.transform(parted.where("partition = 'train'")), spec))
     ratio = models.scale_pos_weight(train)
     calibrated = models.fit_calibrated(
         models.weighted(train, ratio), spec, partial(models.fit_boosted, trees=effort.trees), (method,), effort.folds, effort.threads
@@ -123,7 +123,7 @@ class TrainingFrames:
     def of(cls, parted: DataFrame, spec: RoleSpec) -> TrainingFrames:
         fitted = prep.fit_preprocessor(parted, spec)
         rows = models.labelled(fitted.transform(parted.where("partition <> 'test'")), spec)
-        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = models.sized(rows).persist(StorageLevel.MEMORY_AND_DISK)
         return cls(kept.where("partition = 'train'"), kept.where("partition = 'validation'"), fitted, kept)
 
     def release(self) -> None:

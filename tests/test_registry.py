@@ -45,6 +45,17 @@ def test_grid_points_share_fits(spark, small):
             assert both and all(r["p"] == r["q"] for r in both)
 
 
+def test_grid_search_equals_single_fits(spark, small):
+    """Metrics from the stored distinct scores are those of each model scored on its own."""
+    grid = {"trees": (3, 5), "depth": (2, None), "leaf": (5,), "balanced": (True,)}
+    with training.TrainingFrames.of(model_queries.parted(spark, small), CUSTOMER) as data:
+        found = {r["point"]: r for r in models.grid_search(data.train, data.validation, models.forest_point, grid, 4).collect()}
+        assert len(found) == 4
+        alone = {f"{i:03d}": models.score(models.forest_point(data.train, **p), data.validation) for i, p in enumerate(models.grid_points(grid))}
+        for r in models.compare(alone).collect():
+            assert all(found[r["model"]][c] == r[c] for c in ("f1", "pr_auc", "roc_auc", "recall", "precision"))
+
+
 def test_entry_returns_rows(spark):
     df = entry.entry(spark)
     assert df.count() == 150
