@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def ordered(df: DataFrame, first: str) -> DataFrame:
+    """The columns named in ``first``, then the others."""
+    names = first.split()
+    return df.select(*names, *[c for c in df.columns if c not in names])
+
+
 # the rules of the URL query: host, path prefix, allowed
 RULES = [
     urls.Rule("org", "/", True),
@@ -39,13 +45,13 @@ RULES = [
 @query("op1_url_filters")
 def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages, labels = load(spark, folder, "pages"), load(spark, folder, "labels")
-    return urls.judge_urls(pages, RULES, urls.fit(urls.seed_labels(pages, labels)))
+    return ordered(urls.judge_urls(pages, RULES, urls.fit(urls.seed_labels(pages, labels))), "page_id host path rule verdict")
 
 
 @query("op2_packing")
 def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(load(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return ordered(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "doc_id start length ids_crc32 doc_tokens sequence_id offset")
 
 
 NEAR_DUPLICATES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -90,7 +96,7 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return quality.fitted_rules(docs, labels, path)
+    return ordered(quality.fitted_rules(docs, labels, path), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept")
 
 
 @query("op8_license_scan")
@@ -115,7 +121,8 @@ SELECT doc_id, size, text_crc32, shard, CAST(place - (shard * n + 39) // 40 AS B
 @query("op9_interleave", INTERLEAVE_SQL)
 def stratified_interleave(spark: SparkSession, folder: str) -> DataFrame:
     dealt = interleave.interleave(load(spark, folder, "documents"), shards=40)
-    return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    named = dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return ordered(named, "doc_id size text_crc32 law shard slot grown_shard")
 
 
 @query("op10_wavelet_shards")
