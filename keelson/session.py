@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     current = context.getCheckpointDir()
     if current is None:
-        if named is None and not context.master.startswith("local"):
+        if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keelson-"))
         current = context.getCheckpointDir()
