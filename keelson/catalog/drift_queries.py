@@ -16,31 +16,31 @@ from keelson.session import scratch_path
 
 def stored_baseline(spark, sf) -> drift.Baseline:
     """The baseline as an artefact in the shared folder, written from the early snapshot and read back."""
-    return drift.Baseline.of(cleaned(spark, sf), CUSTOMER, views.AS_OF).save(scratch_path(spark, "baseline"))
+    return drift.Baseline.of(early(spark, sf), CUSTOMER, views.BASELINE_AS_OF).save(scratch_path(spark, "baseline"))
 
 
-def later(spark, sf):
-    return cleaning.clean_charges(views.snapshot(spark, sf, views.BATCH_AS_OF), CUSTOMER)
+def early(spark, sf):
+    return cleaning.clean_charges(views.snapshot(spark, sf, views.BASELINE_AS_OF), CUSTOMER)
 
 
+EARLY_NUM = long_form("baseline_clean", NUMERIC, "DOUBLE")
+EARLY_CAT = long_form("baseline_clean", CATEGORICAL)
 QS = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
 SHARES = "SELECT feature, value AS level, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY feature) AS DOUBLE) AS share FROM ({0}) WHERE value IS NOT NULL GROUP BY feature, value"
 
 
 @query(
     "baseline_stats",
-    f"""WITH q AS (SELECT feature, avg(value) AS mean, quantile_cont(value, {QS}) AS e FROM ({NUM_LONG}) GROUP BY 1)
+    f"""WITH q AS (SELECT feature, avg(value) AS mean, quantile_cont(value, {QS}) AS e FROM ({EARLY_NUM}) GROUP BY 1)
 SELECT 'numeric' AS kind, feature, 'mean' AS name, round(mean, 4) AS value FROM q
 UNION ALL SELECT 'numeric', feature, 'median', round(e[6], 4) FROM q
 UNION ALL SELECT 'numeric', feature, 'e' || lpad(CAST(i AS VARCHAR), 2, '0'), round(e[i + 1], 4) FROM q, (SELECT unnest(range(11)) AS i)
-UNION ALL SELECT 'category', feature, level, round(share, 4) FROM ({SHARES.format(CAT_LONG)})""",
+UNION ALL SELECT 'category', feature, level, round(share, 4) FROM ({SHARES.format(EARLY_CAT)})""",
 )
 def baseline_stats(spark, sf):
-    return drift.baseline_stats(cleaned(spark, sf), CUSTOMER)
+    return drift.baseline_stats(early(spark, sf), CUSTOMER)
 
 
-NUM_B = long_form("batch_clean", NUMERIC, "DOUBLE")
-CAT_B = long_form("batch_clean", CATEGORICAL)
 PSI = f"""SELECT feature, round(CASE WHEN max(ne) < 3 THEN 0 ELSE greatest(sum(CASE WHEN bin >= 0 AND (b > 0 OR a > 0) THEN (ash - bsh) * ln(ash / bsh) ELSE 0 END), 0) END, 6) AS psi,
  CASE WHEN max(ne) < 3 THEN 0 ELSE greatest(sum(CASE WHEN bin >= 0 AND (b > 0 OR a > 0) THEN (ash - bsh) * ln(ash / bsh) ELSE 0 END), 0) END >= 0.2 AS drifted,
  round(CAST(sum(a) FILTER (bin < 0) AS DOUBLE) / sum(a), 6) AS oor FROM (
@@ -48,36 +48,36 @@ PSI = f"""SELECT feature, round(CASE WHEN max(ne) < 3 THEN 0 ELSE greatest(sum(C
   greatest(a / greatest(CAST(sum(a) FILTER (bin >= 0) OVER (PARTITION BY feature) AS DOUBLE), 1), 1e-6) AS ash FROM (
   SELECT v.feature, first(len(edges)) AS ne, CASE WHEN value < edges[1] OR value > edges[-1] THEN -1 WHEN value = edges[-1] THEN len(edges) - 2
     ELSE len(list_filter(edges, lambda e: e <= value)) - 1 END AS bin, sum(b) AS b, sum(a) AS a
-  FROM (SELECT feature, value, 1 AS b, 0 AS a FROM ({NUM_LONG}) UNION ALL SELECT feature, value, 0, 1 FROM ({NUM_B})) v
-  JOIN (SELECT feature, list_sort(list_distinct(quantile_cont(value, {QS}))) AS edges FROM ({NUM_LONG}) GROUP BY 1) q ON v.feature = q.feature
+  FROM (SELECT feature, value, 1 AS b, 0 AS a FROM ({EARLY_NUM}) UNION ALL SELECT feature, value, 0, 1 FROM ({NUM_LONG})) v
+  JOIN (SELECT feature, list_sort(list_distinct(quantile_cont(value, {QS}))) AS edges FROM ({EARLY_NUM}) GROUP BY 1) q ON v.feature = q.feature
   GROUP BY v.feature, bin)) GROUP BY feature"""
 
 
 @query("psi", f"SELECT feature, psi, coalesce(oor, 0) AS out_of_range_share FROM ({PSI})")
 def psi(spark, sf):
-    return drift.psi(cleaned(spark, sf), later(spark, sf), CUSTOMER.numeric, digits=6)
+    return drift.psi(early(spark, sf), cleaned(spark, sf), CUSTOMER.numeric, digits=6)
 
 
 NUMD = f"""SELECT p.feature, psi, coalesce(oor, 0) AS out_of_range_share, round(b.m, 6) AS baseline_mean, round(a.m, 6) AS batch_mean, drifted AS alert
-FROM ({PSI}) p JOIN (SELECT feature, avg(value) AS m FROM ({NUM_LONG}) GROUP BY 1) b ON p.feature = b.feature
-JOIN (SELECT feature, avg(value) AS m FROM ({NUM_B}) GROUP BY 1) a ON p.feature = a.feature"""
+FROM ({PSI}) p JOIN (SELECT feature, avg(value) AS m FROM ({EARLY_NUM}) GROUP BY 1) b ON p.feature = b.feature
+JOIN (SELECT feature, avg(value) AS m FROM ({NUM_LONG}) GROUP BY 1) a ON p.feature = a.feature"""
 
 
 @query("numeric_drift", NUMD)
 def numeric_drift(spark, sf):
-    return drift.numeric_drift(cleaned(spark, sf), later(spark, sf), CUSTOMER.numeric, digits=6)
+    return drift.numeric_drift(early(spark, sf), cleaned(spark, sf), CUSTOMER.numeric, digits=6)
 
 
 CATD = f"""SELECT feature, round(max(shift), 6) AS max_share_shift, CASE WHEN max(shift) > 0 THEN arg_min(level, (-shift, -n, level)) FILTER (shift IS NOT NULL) END AS worst_category,
  round(sum(CASE WHEN bshare IS NULL THEN ashare ELSE 0 END), 6) AS unseen_share, max(shift) >= 0.15 AS alert FROM (
 SELECT coalesce(b.feature, a.feature) AS feature, coalesce(b.level, a.level) AS level, b.n, round(b.share, 4) AS bshare, a.share AS ashare,
  abs(coalesce(a.share, 0) - round(b.share, 4)) AS shift
-FROM ({SHARES.format(CAT_LONG)}) b FULL JOIN ({SHARES.format(CAT_B)}) a ON b.feature = a.feature AND b.level = a.level) GROUP BY feature"""
+FROM ({SHARES.format(EARLY_CAT)}) b FULL JOIN ({SHARES.format(CAT_LONG)}) a ON b.feature = a.feature AND b.level = a.level) GROUP BY feature"""
 
 
 @query("categorical_drift", CATD)
 def categorical_drift(spark, sf):
-    return drift.categorical_drift(cleaned(spark, sf), later(spark, sf), CUSTOMER.categorical, digits=6)
+    return drift.categorical_drift(early(spark, sf), cleaned(spark, sf), CUSTOMER.categorical, digits=6)
 
 
 REPORT = f"""SELECT *, CASE WHEN alert THEN (CASE kind WHEN 'numeric' THEN 'Numeric drift on ' ELSE 'Categorical shift on ' END) || feature END AS alert_text, 'batch_b' AS source
@@ -86,7 +86,7 @@ FROM (SELECT 'numeric' AS kind, feature, psi AS value, alert FROM ({NUMD}) UNION
 
 @query("drift_report", REPORT)
 def drift_report(spark, sf):
-    return drift.drift_report(stored_baseline(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
+    return drift.drift_report(stored_baseline(spark, sf), cleaned(spark, sf), CUSTOMER, "batch_b", digits=6)
 
 
 COUNTERS = """SELECT CAST(coalesce(sum("count") FILTER (kind <> 'error' AND "count" > 0), 0) AS BIGINT) AS predictions_total,
@@ -107,7 +107,7 @@ def service_counters(spark, sf):
 FROM ({COUNTERS}) c, (SELECT bool_or(alert) AS a, string_agg(alert_text, '; ' ORDER BY alert_text) AS t FROM ({REPORT})) s""",
 )
 def monitoring_summary(spark, sf):
-    report = drift.drift_report(stored_baseline(spark, sf), later(spark, sf), CUSTOMER, "batch_b", digits=6)
+    report = drift.drift_report(stored_baseline(spark, sf), cleaned(spark, sf), CUSTOMER, "batch_b", digits=6)
     counters = monitor.service_counters(views.prediction_log(spark, sf))
     return monitor.monitoring_summary(counters, drift.drift_status(report))
 
@@ -169,14 +169,14 @@ def rolling_performance(spark, sf):
 
 @query(
     "ks_drift",
-    f"""WITH u AS (SELECT feature, value, 1 AS b, 0 AS a FROM ({NUM_LONG}) UNION ALL SELECT feature, value, 0, 1 FROM ({NUM_B})),
+    f"""WITH u AS (SELECT feature, value, 1 AS b, 0 AS a FROM ({EARLY_NUM}) UNION ALL SELECT feature, value, 0, 1 FROM ({NUM_LONG})),
 g AS (SELECT feature, value, sum(b) AS b, sum(a) AS a FROM u GROUP BY ALL)
 SELECT feature, round(max(gap), 6) AS ks FROM (SELECT feature, abs(
  sum(b) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) / CAST(sum(b) OVER (PARTITION BY feature) AS DOUBLE)
  - sum(a) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) / CAST(sum(a) OVER (PARTITION BY feature) AS DOUBLE)) AS gap FROM g) GROUP BY 1""",
 )
 def ks_drift(spark, sf):
-    return drift.ks(cleaned(spark, sf), later(spark, sf), CUSTOMER.numeric)
+    return drift.ks(early(spark, sf), cleaned(spark, sf), CUSTOMER.numeric)
 
 
 @query(
@@ -193,11 +193,11 @@ def stream_score_log(spark, sf):
 @query(
     "psi_binary_shares",
     """SELECT feature, CAST(round(max(abs(a - b)), 6) AS DOUBLE) AS max_share_shift FROM (
- SELECT 'SeniorCitizen' AS feature, avg(CAST(SeniorCitizen AS DOUBLE)) AS b, (SELECT avg(CAST(SeniorCitizen AS DOUBLE)) FROM batch_clean) AS a FROM cleaned) GROUP BY 1""",
+ SELECT 'SeniorCitizen' AS feature, avg(CAST(SeniorCitizen AS DOUBLE)) AS b, (SELECT avg(CAST(SeniorCitizen AS DOUBLE)) FROM cleaned) AS a FROM baseline_clean) GROUP BY 1""",
 )
 def psi_binary_shares(spark, sf):
     """0/1 numbers, whose quantile bins collapse, are watched as category shares."""
-    old = drift.category_shares(cleaned(spark, sf), ["SeniorCitizen"]).select("feature", "level", "share")
-    new = drift.category_shares(later(spark, sf), ["SeniorCitizen"]).select("feature", "level", F.col("share").alias("s2"))
+    old = drift.category_shares(early(spark, sf), ["SeniorCitizen"]).select("feature", "level", "share")
+    new = drift.category_shares(cleaned(spark, sf), ["SeniorCitizen"]).select("feature", "level", F.col("share").alias("s2"))
     gap = F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("s2", F.lit(0.0)))
     return old.join(new, ["feature", "level"], "full").groupBy("feature").agg(F.round(F.max(gap), 6).alias("max_share_shift"))

@@ -212,12 +212,11 @@ def rate_by_category(spark, sf):
 @query(
     "rate_by_band",
     f"""SELECT CASE WHEN tenure > -1 AND tenure <= 12 THEN '0-12 mo' WHEN tenure > 12 AND tenure <= 24 THEN '13-24 mo'
- WHEN tenure > 24 AND tenure <= 48 THEN '25-48 mo' WHEN tenure > 48 AND tenure <= 72 THEN '49-72 mo' END AS category, {RATE} FROM batch_clean
+ WHEN tenure > 24 AND tenure <= 48 THEN '25-48 mo' WHEN tenure > 48 AND tenure <= 72 THEN '49-72 mo' END AS category, {RATE} FROM cleaned
 GROUP BY 1 HAVING category IS NOT NULL""",
 )
 def rate_by_band(spark, sf):
-    later = cleaning.clean_charges(views.snapshot(spark, sf, views.BATCH_AS_OF), CUSTOMER)
-    return profiling.rate_by(later, profiling.tenure_band("tenure"), CUSTOMER)
+    return profiling.rate_by(cleaned(spark, sf), profiling.tenure_band("tenure"), CUSTOMER)
 
 
 RATES = f"SELECT feature, value AS category, {RATE} FROM ({long_form('cleaned', CATEGORICAL, 'VARCHAR', 'Churn')}) GROUP BY ALL"

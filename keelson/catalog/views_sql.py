@@ -78,12 +78,12 @@ def long_form(source: str, names: list[str], kind: str = "VARCHAR", keep: str =
 _UP_HEADERS = ", ".join(f"'{c}'" for c in [*COLUMNS, "Cancel Reason", "exit_date", "notes"])
 
 VIEWS: dict[str, str] = {
-    "snapshot_base": _base("1997-01-01", "1998-01-01"),
+    "snapshot_base": _base("2000-08-02", "2001-08-02"),
     "snapshot": _shaped("snapshot_base"),
-    "batch_base": _base("2000-08-01", "2001-08-01"),
-    "batch_b": _shaped("batch_base"),
+    "baseline_base": _base("1997-01-01", "1998-01-01"),
+    "baseline_b": _shaped("baseline_base"),
     "cleaned": "SELECT * REPLACE (CASE WHEN trim(TotalCharges) = '' AND tenure = 0 THEN 0.0::DOUBLE ELSE CAST(trim(TotalCharges) AS DOUBLE) END AS TotalCharges) FROM snapshot",
-    "batch_clean": "SELECT * REPLACE (CASE WHEN trim(TotalCharges) = '' AND tenure = 0 THEN 0.0::DOUBLE ELSE CAST(trim(TotalCharges) AS DOUBLE) END AS TotalCharges) FROM batch_b",
+    "baseline_clean": "SELECT * REPLACE (CASE WHEN trim(TotalCharges) = '' AND tenure = 0 THEN 0.0::DOUBLE ELSE CAST(trim(TotalCharges) AS DOUBLE) END AS TotalCharges) FROM baseline_b",
     "scored": f"SELECT *, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS y, {_score('p', '0.35')} AS p FROM snapshot",
     "models": " UNION ALL ".join(
         f"SELECT customerID, Churn, '{n}' AS model, {_score(s, w)} AS p, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS y FROM snapshot"

@@ -18,8 +18,10 @@ from keelson.functions.scalars import hex_digest, hex_number
 from keelson.roles import CUSTOMER, NO_INTERNET, NO_PHONE
 from keelson.sources.tables import instant, table
 
-AS_OF = "1997-01-01"
-BATCH_AS_OF = "2000-08-01"
+#: The main day: its label window of 365 days ends after the last order, so every order is read.
+AS_OF = "2000-08-02"
+#: The early day that drift reports hold the main snapshot against.
+BASELINE_AS_OF = "1997-01-01"
 MODEL_SALTS = {"alpha": ("p", 0.35), "beta": ("q", 0.25), "gamma": ("r", 0.15)}
 
 # fixed values: digit of the row digest that drives each made-up service column

@@ -57,13 +57,13 @@ def test_drift_against_a_stored_baseline_reads_the_batch_only(spark, small):
     from keelson.roles import CUSTOMER
 
     held = q.stored_baseline(spark, small)
-    old, batch = q.cleaned(spark, small), q.later(spark, small)
+    old, batch = q.early(spark, small), q.cleaned(spark, small)
     report = drift.drift_report(held, batch, CUSTOMER, "b", 6)
     plan = plan_of(report)
     # the early snapshot filters orders at its own date; only the batch's date may be in the plan
-    assert "keelson-baseline" in plan and views.AS_OF not in plan and views.BATCH_AS_OF in plan
+    assert "keelson-baseline" in plan and views.BASELINE_AS_OF not in plan and views.AS_OF in plan
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(drift.numeric_drift(held, batch, CUSTOMER.numeric, 6)) == rows(drift.numeric_drift(old, batch, CUSTOMER.numeric, 6))
     assert rows(drift.categorical_drift(held, batch, CUSTOMER.categorical, 6)) == rows(drift.categorical_drift(old, batch, CUSTOMER.categorical, 6))
-    assert {r["version"] for r in held.numeric.collect()} == {views.AS_OF}
+    assert {r["version"] for r in held.numeric.collect()} == {views.BASELINE_AS_OF}
     assert all(sum(r["counts"]) == r["n"] for r in held.numeric.where("size(edges) > 1").collect())
