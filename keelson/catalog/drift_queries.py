@@ -122,6 +122,13 @@ def stream_counters(spark, sf):
     return stream_daily_counters(spark, sf)
 
 
+@query("stream_recent_counters", COUNTERS)
+def stream_recent_counters(spark, sf):
+    from keelson.streaming.log import stream_recent_counters
+
+    return stream_recent_counters(spark, sf)
+
+
 @query(
     "counters_daily",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS requests, CAST(coalesce(sum("count"), 0) AS BIGINT) AS rows FROM plog GROUP BY ALL""",
@@ -131,14 +138,15 @@ def counters_daily(spark, sf):
 
 
 WEEK = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
-WEEKLY = f"""SELECT strftime({WEEK}, '%Y-%m-%d') AS week, count(*) AS n, round(avg(p), 6) AS mean_p, round(stddev_samp(p), 6) AS std_p,
- round(avg(CAST(p >= 0.3::DOUBLE AS DOUBLE)), 6) AS flagged_share, round(quantile_cont(p, 0.5), 6) AS median_p FROM plog GROUP BY 1"""
+WEEKLY = f"""SELECT strftime({WEEK}, '%Y-%m-%d') AS week, count(*) AS n, avg(p) AS mean_p, stddev_samp(p) AS std_p,
+ avg(CAST(p >= 0.3::DOUBLE AS DOUBLE)) AS flagged_share, quantile_cont(p, 0.5) AS median_p FROM plog GROUP BY 1"""
 
 
 @query(
     "score_drift_weekly",
-    f"""SELECT *, coalesce(sigmas > 2, false) AS alert FROM (SELECT *,
- round(abs(mean_p - lag(mean_p) OVER (ORDER BY week)) / nullif(lag(std_p) OVER (ORDER BY week) / sqrt(n), 0), 4) AS sigmas FROM ({WEEKLY}))""",
+    f"""SELECT week, n, round(mean_p, 6) AS mean_p, round(std_p, 6) AS std_p, round(flagged_share, 6) AS flagged_share,
+ round(median_p, 6) AS median_p, round(sigmas, 4) AS sigmas, coalesce(sigmas > 2, false) AS alert FROM (SELECT *,
+ abs(mean_p - lag(mean_p) OVER (ORDER BY week)) / nullif(lag(std_p) OVER (ORDER BY week) / sqrt(n), 0) AS sigmas FROM ({WEEKLY}))""",
 )
 def score_drift_weekly(spark, sf):
     return monitor.score_drift(views.prediction_log(spark, sf), 0.30)

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from keelson.catalog.registry import query
 from keelson.catalog.split_queries import parted as split_table
-from keelson.operators import explain, models, smotenc
+from keelson.operators import cleaning, explain, models, smotenc
 from keelson.operators.prep import FEATURES
 from keelson.plans import training, views
 from keelson.roles import CUSTOMER
 from keelson.session import scratch_path
+from keelson.sources.files import write_table
 
 EFFORT = training.Effort(threads=8)
 THRESHOLD = 0.10
@@ -227,6 +228,23 @@ def model_save_load(spark, sf):
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p") == F.col("again")).alias("equal_rows"))
 
 
+@query("stream_model_log", "SELECT customerID, 0.1::DOUBLE AS threshold, CAST(1 AS BIGINT) AS entries, true AS as_batch FROM snapshot")
+def stream_model_log(spark, sf):
+    """Raw rows scored by the loaded bundle in the stream: half of them arrive, the run stops, then all
+    arrive. ``entries``: log rows of the customer; ``as_batch``: the probability is that of a batch."""
+    from keelson.streaming import log
+
+    model, raw = bundle(spark, sf), views.snapshot(spark, sf)
+    arriving, out = scratch_path(spark, "arriving"), scratch_path(spark, "model-log")
+    write_table(raw.where(F.xxhash64("customerID") % 2 == 0), arriving)
+    log.stream_model_log(spark, arriving, CUSTOMER, model, raw.schema, out)
+    write_table(raw, arriving, "append")
+    logged = log.stream_model_log(spark, arriving, CUSTOMER, model, raw.schema, out)
+    found = logged.groupBy("customerID").agg(F.first("threshold").alias("threshold"), F.count(F.lit(1)).alias("entries"), F.max("probability").alias("q"))
+    batch = model.score(cleaning.clean_charges(raw, CUSTOMER)).select("customerID", "p")
+    return found.join(batch, "customerID").select("customerID", "threshold", "entries", (F.col("p") == F.col("q")).alias("as_batch"))
+
+
 @query("pipeline_run", """SELECT "partition", count(*) AS rows FROM split GROUP BY 1""")
 def pipeline_run(spark, sf):
     path = scratch_path(spark, "pipeline")
@@ -246,6 +264,25 @@ def tree_shap(spark, sf):
     return parts.join(margin, "customerID").select("customerID", (F.abs(F.round(total - F.col("margin"), 6))).alias("gap"))
 
 
+@query("forest_shap", """SELECT customerID, 0.0::DOUBLE AS gap FROM split WHERE "partition" = 'validation'""")
+def forest_shap(spark, sf):
+    """Per validation row: the probability of the full forest less base and contributions, which is nothing."""
+    with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
+        model = training._candidate("forest", EFFORT)(models.class_balanced(data.train))
+        rows = data.validation.select("customerID", FEATURES)
+        parts = explain.tree_contributions(rows, model, "customerID")
+        total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v) + F.col("base")
+        both = parts.join(models.score(model, rows).select("customerID", "p"), "customerID")
+        return _kept(both.select("customerID", F.abs(F.round(total - F.col("p"), 6)).alias("gap")))
+
+
+@query("shap_global_model")
+def shap_global_model(spark, sf):
+    """Mean absolute contribution and rank of each feature of the deployed kind of model on validation rows."""
+    model, rows, names = training.explain_frames(parted(spark, sf), CUSTOMER, EFFORT)
+    return explain.global_importance(explain.tree_contributions(rows, model, "customerID"), names)
+
+
 # a contribution table that SQL can state: z-like distances of six fields
 NAMES = ["SeniorCitizen", "tenure", "MonthlyCharges", "Contract Month-to-month", "TechSupport No", "Partner Yes"]
 CONTRIB = """SELECT customerID, p, [SeniorCitizen - 0.5::DOUBLE, (tenure - 12.0::DOUBLE) / 12.0::DOUBLE, (MonthlyCharges - 20000.0::DOUBLE) / 20000.0::DOUBLE,

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import itertools
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -24,7 +26,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators import metrics, split
@@ -281,10 +283,17 @@ class Bundle:
         )
 
     def save(self, spark: SparkSession, path: str) -> str:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """Write a new version below ``path`` and, last of all, the entry that makes it the current one.
+
+        No file of an older version is touched, so a save that fails at any point leaves the version
+        before it in force.
+        """
+        version = uuid.uuid4().hex
+        folder = f"{path}/versions/{version}"
+        self.pipeline.write().save(f"{folder}/pipeline")
         for i, (model, calibrator) in enumerate(self.model.pairs):
-            PipelineModel([model]).write().overwrite().save(f"{path}/fold-{i}/model")
-            PipelineModel([calibrator]).write().overwrite().save(f"{path}/fold-{i}/calibrator")
+            PipelineModel([model]).write().save(f"{folder}/fold-{i}/model")
+            PipelineModel([calibrator]).write().save(f"{folder}/fold-{i}/calibrator")
         note = {
             "kind": "keelson-bundle",
             "folds": len(self.model.pairs),
@@ -292,34 +301,61 @@ class Bundle:
             "threshold": self.threshold,
             "metadata": dict(self.metadata),
         }
-        spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/bundle"
-        )
+        held = bundle_versions(spark, path)
+        last = held[0]["number"] if held else 0
+        entry = [(last + 1, version, folder_digest(spark, folder), json.dumps(note))]
+        spark.createDataFrame(entry, VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/current")
         return path
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Bundle:
-        try:
-            note = json.loads(spark.read.text(f"{path}/bundle").first()[0])
-        except Exception as exc:
-            raise FileNotFoundError(f"no model bundle at {path}") from exc
+    def load(cls, spark: SparkSession, path: str, number: int | None = None) -> Bundle:
+        """The current version, or the one with ``number``; its files must have the digest noted for them."""
+        held = [r for r in bundle_versions(spark, path) if number is None or r["number"] == number]
+        if not held:
+            raise FileNotFoundError(f"no model bundle at {path}")
+        folder = f"{path}/versions/{held[0]['version']}"
+        if folder_digest(spark, folder) != held[0]["digest"]:
+            raise ValueError(f"the model files in {folder} are not those that were saved")
+        note = json.loads(held[0]["note"])
         if note.get("kind") != "keelson-bundle":
             raise TypeError(f"{path} does not hold a model bundle")
         pairs = tuple(
             (
-                PipelineModel.load(f"{path}/fold-{i}/model").stages[0],
-                PipelineModel.load(f"{path}/fold-{i}/calibrator").stages[0],
+                PipelineModel.load(f"{folder}/fold-{i}/model").stages[0],
+                PipelineModel.load(f"{folder}/fold-{i}/calibrator").stages[0],
             )
             for i in range(note["folds"])
         )
         return cls(
-            PipelineModel.load(f"{path}/pipeline"),
+            PipelineModel.load(f"{folder}/pipeline"),
             CalibratedModel(pairs, note["method"]),
             float(note["threshold"]),
             note["metadata"],
         )
 
 
+VERSION_SCHEMA = "number long, version string, digest string, note string"
+
+
+def bundle_versions(spark: SparkSession, path: str) -> list[Row]:
+    """Complete versions at ``path``, the current one first: one row per save."""
+    try:
+        found = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/current").collect()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(found, key=lambda r: (r["number"], r["version"]), reverse=True)
+
+
+def folder_digest(spark: SparkSession, folder: str) -> str:
+    """One digest of the names and contents of all files below ``folder`` (a model: few files per fold)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/"), -1)
+    entry = F.concat_ws(" ", name, F.sha2("content", 256))
+    return files.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(entry))), 256)).first()[0]
+
+
 # ------------------------------------------------------------------ comparison and search
 
 

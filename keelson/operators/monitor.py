@@ -62,8 +62,8 @@ def daily_counters(log: DataFrame) -> DataFrame:
     )
 
 
-def weekly_scores(log: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    """Mean, median, spread and flagged share of the score per 7-day window."""
+def weekly_scores(log: DataFrame, threshold: float) -> DataFrame:
+    """Mean, median, spread and flagged share of the score per 7-day window, unrounded."""
     weekly = log.withColumn("week", F.date_format(_start("7 days"), "yyyy-MM-dd")).select("week", "p")
     medians = exact_quantiles(weekly, ["week"], "p", {"median_p": 0.5}).drop("n")
     stats = weekly.groupBy("week").agg(
@@ -72,19 +72,20 @@ def weekly_scores(log: DataFrame, threshold: float, digits: int = 6) -> DataFram
         F.stddev_samp("p").alias("std_p"),
         F.avg((F.col("p") >= threshold).cast("double")).alias("flagged_share"),
     )
-    joined = stats.join(medians, "week")
-    return joined.select("week", "n", *[F.round(c, digits).alias(c) for c in ("mean_p", "std_p", "flagged_share", "median_p")])
+    return stats.join(medians, "week")
 
 
 def score_drift(log: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    """Week-over-week change of the mean score in standard errors; alert beyond 2."""
+    """Week-over-week change of the mean score in standard errors; alert beyond 2, taken before rounding."""
     order = Window.orderBy("week")  # one row per week
-    weekly = weekly_scores(log, threshold, digits)
+    weekly = weekly_scores(log, threshold)
     shift = F.abs(F.col("mean_p") - F.lag("mean_p").over(order))
     error = F.lag("std_p").over(order) / F.sqrt(F.col("n"))
-    return weekly.withColumn("sigmas", F.round(F.try_divide(shift, error), 4)).withColumn(
-        "alert", F.coalesce(F.col("sigmas") > SIGMA, F.lit(False))
-    )
+    moved = weekly.withColumn("sigmas", F.try_divide(shift, error))
+    return moved.select(
+        "week", "n", *[F.round(c, digits).alias(c) for c in ("mean_p", "std_p", "flagged_share", "median_p")],
+        F.round("sigmas", 4).alias("sigmas"), F.coalesce(F.col("sigmas") > SIGMA, F.lit(False)).alias("alert"),
+    )
 
 
 def label_rate_drift(log: DataFrame, prior: float, digits: int = 6) -> DataFrame:

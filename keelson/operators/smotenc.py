@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keelson.functions.ranked import running_totals
 from keelson.functions.scalars import hex_digest, hex_number
 from keelson.roles import RoleSpec
-from keelson.session import durable
+from keelson.session import durable, ship_package
 
 NEIGHBOURS = 5  # fixed value
 BLOCK = 256
@@ -80,6 +80,7 @@ def _closest(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: f
 
 def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -> DataFrame:
     """(id, neighbour, distance2, nearest): the k nearest other rows, exactly."""
+    ship_package(points.sparkSession)
     penalty, axis = mismatch_penalty(points, spec)
     block = F.floor((F.col("r") - 1) / BLOCK).cast("long")
     ranked = durable(

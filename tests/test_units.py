@@ -1,5 +1,6 @@
 """Small frames with known answers, brute-force twins, and the decided semantics."""
 
+import dataclasses
 import datetime as dt
 import itertools
 import json
@@ -10,11 +11,12 @@ import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from keelson.functions import scalars
 from keelson.functions.ranked import exact_quantiles, running_totals
-from keelson.operators import cleaning, combine, compat, drift, explain, metrics, policy, prep, profiling, smotenc, split
+from keelson.operators import cleaning, combine, compat, drift, explain, metrics, monitor, policy, prep, profiling, smotenc, split
 from keelson.plans import training, views
 from keelson.roles import CUSTOMER, CUSTOMER_LEVELS, INTERNET_FIELDS, RoleSpec
 from keelson.sources import files
@@ -489,6 +491,67 @@ def test_shap_is_additive_and_matches_brute_force(spark, parted):
             assert math.isclose(phi, parts.loc[key, "contributions"][f], abs_tol=1e-9)
 
 
+def test_contributions_are_those_of_all_subsets():
+    rng = np.random.default_rng(0)
+    for m in range(1, 8):
+        known, unknown = rng.integers(0, 2, (m, 9)).astype(float), rng.random(m)
+        unknown[0] = 0.0  # a child that no training row reached
+        got = explain._leaf_weights(known, unknown)
+        for f in range(m):
+            rest, want = [i for i in range(m) if i != f], np.zeros(9)
+            for k in range(m):
+                for s in itertools.combinations(rest, k):
+                    term = np.full(9, math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m))
+                    for i in rest:
+                        term = term * (known[i] if i in s else unknown[i])
+                    want += term
+            assert np.allclose(got[f], want, atol=1e-12)
+
+
+def test_deep_forest_is_explained_to_global_importance(spark, parted):
+    """Trees of depth 10, whose paths have too many features for a sum over subsets."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 14))
+    y = (x[:, :10].sum(axis=1) + rng.normal(size=900) > 0).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(900), "y": y, "a": list(x)}))
+    df = df.select("id", "y", array_to_vector("a").alias(prep.FEATURES))
+    model = training.models.fit_forest(df, trees=8, depth=10, leaf=1)
+    paths = explain.leaf_paths(explain.tree_table(spark, model).toPandas())
+    assert max(len({s.feature for s in steps}) for _, steps in paths) >= 8
+    parts = explain.tree_contributions(df, model, "id").toPandas().set_index("id")
+    p = training.models.score(model, df).toPandas().set_index("id")["p"]
+    assert np.allclose((parts["contributions"].map(sum) + parts["base"]).sort_index(), p.sort_index(), atol=1e-9)
+    names = [f"f{i:02d}" for i in range(14)]
+    importance = explain.global_importance(explain.tree_contributions(df, model, "id"), names).collect()
+    want = np.abs(np.vstack(parts["contributions"].to_numpy())).mean(axis=0)
+    assert {r["feature"]: r["mean_abs"] for r in importance} == pytest.approx(dict(zip(names, want.round(6))), abs=2e-6)
+    assert [r["feature"] for r in sorted(importance, key=lambda r: r["rank"])] == [names[i] for i in np.argsort(-want)]
+
+
+def test_tree_of_one_leaf_has_no_contributions():
+    values, base = explain.contributions(np.zeros((3, 2)), [(0.25, [])])
+    assert base == 0.25 and not values.any()
+
+
+def test_failed_save_leaves_the_version_before(spark, bundle, tmp_path, monkeypatch):
+    path = bundle.save(spark, str(tmp_path / "bundle"))
+    changed = dataclasses.replace(bundle, threshold=0.5)
+    with monkeypatch.context() as broken:
+        broken.setattr(training.models, "folder_digest", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            changed.save(spark, path)
+    assert training.models.Bundle.load(spark, path).threshold == 0.10
+    changed.save(spark, path)
+    assert training.models.Bundle.load(spark, path).threshold == 0.5
+    assert training.models.Bundle.load(spark, path, number=1).threshold == 0.10
+    with pytest.raises(FileNotFoundError):
+        training.models.Bundle.load(spark, path, number=7)
+    version = training.models.bundle_versions(spark, path)[0]["version"]
+    (tmp_path / "bundle" / "versions" / version / "pipeline" / "metadata" / "part-x").write_text("{}")
+    with pytest.raises(ValueError, match="not those that were saved"):
+        training.models.Bundle.load(spark, path)
+
+
 @pytest.mark.parametrize("block", [16, 256])
 def test_smotenc_neighbours_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(smotenc, "BLOCK", block)  # small blocks need several rounds
@@ -608,6 +671,44 @@ def test_stream_counts_days_in_any_order(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, daily(log).collect()))
 
 
+def test_recent_batches_in_any_order(spark, tmp_path):
+    """More batches than the ring holds, newest first and last, with nulls and entries that scored nothing."""
+    from keelson.streaming.log import LOG_SCHEMA, recent_counters
+
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 1, 1)
+    kinds = ["batch", "batch", "batch", "single", "error", None]
+    rows = [
+        (i, start + dt.timedelta(minutes=int(rng.integers(0, 200))), kinds[rng.integers(6)], int(rng.integers(0, 50)) if i % 11 else None, 0.5, 0)
+        for i in range(600)
+    ]
+    rows += [(None, None, "batch", 5, 0.5, 0), (7, None, "single", None, None, None)]
+    log = spark.createDataFrame(rows, LOG_SCHEMA)
+    log.repartition(5, "count").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = recent_counters(stream, str(tmp_path / "out")).first()
+    want = monitor.service_counters(log).first()
+    assert tuple(got) == tuple(want) and want["batch_requests_total"] > monitor.RECENT_BATCHES
+    # more arrives, older than all: totals grow, the mean of the newest stays
+    log.where("kind = 'batch' AND count > 0").withColumn("ts", F.lit(start) - F.expr("interval 9 days")).write.mode("append").parquet(str(tmp_path / "in"))
+    more = recent_counters(stream, str(tmp_path / "out")).first()
+    assert more["batch_requests_total"] == 2 * want["batch_requests_total"]
+    assert more["avg_recent_batch_size"] == want["avg_recent_batch_size"] and more["last_prediction_at"] == want["last_prediction_at"]
+
+
+def test_weekly_alerts_are_taken_before_rounding(spark):
+    def week(day, scores):
+        return [(dt.datetime(2024, 1, day), s, 0) for s in scores]
+
+    # the second mean is 2.00003 standard errors above the first: 2.0 when rounded
+    first, n = [0.4, 0.6], 4
+    spread = np.std(first, ddof=1)
+    mean = float(0.5 + 2.00003 * spread / math.sqrt(n))
+    log = spark.createDataFrame(week(4, first) + week(11, [mean] * n), "ts timestamp, p double, y int")
+    late = monitor.score_drift(log, 0.3).orderBy("week").collect()[-1]
+    assert late["sigmas"] == 2.0 and late["alert"]
+
+
 def test_booleans_and_dates_can_be_features(spark):
     df = spark.range(40).select(
         F.col("id").cast("string").alias("k"), (F.col("id") % 2 == 0).alias("flag"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 3).cast("int")).alias("day"), F.lit("train").alias("partition"), F.lit("Yes").alias("label")
