@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from keelson.catalog.registry import query
 from keelson.catalog.views_sql import CATEGORICAL, COLUMNS, NUMERIC, long_form, number
-from keelson.operators import cleaning, profiling
+from keelson.operators import cleaning, profiling, sketches
 from keelson.plans import views
 from keelson.roles import CUSTOMER, INTERNET_FIELDS, NO_INTERNET, NO_PHONE
+from keelson.session import scratch_path
+from keelson.sources.files import write_table
 
 
 def cleaned(spark, sf):
@@ -90,6 +94,35 @@ def profile_nunique(spark, sf):
     return profiling.distinct_counts(cleaned(spark, sf))
 
 
+LOW_HIGH = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS rows, count({c}) AS present, {f'min(CAST({c} AS DOUBLE))' if c in NUMERIC else 'NULL::DOUBLE'} AS low,"
+    f" {f'max(CAST({c} AS DOUBLE))' if c in NUMERIC else 'NULL::DOUBLE'} AS high, true AS unique_held, true AS median_held FROM cleaned"
+    for c in COLUMNS
+)
+
+
+@query("profile_sketch", LOW_HIGH)
+def profile_sketch(spark, sf):
+    """Sketches of seven parts, stored and merged; the flags hold them against exact counts and ranks."""
+    df = cleaned(spark, sf)
+    parts = df.withColumn("part", F.pmod(F.xxhash64("customerID"), F.lit(7)))
+    path = write_table(sketches.build(parts, ["part"]), scratch_path(spark, "sketches"))
+    said = sketches.read(sketches.merge(spark.read.parquet(path)))
+    exact = profiling.distinct_counts(df).select("feature", F.col("unique").alias("exact"))
+    medians = said.where("q50 IS NOT NULL").select("feature", "q50")
+    ranks = (
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in CUSTOMER.numeric])))
+        .join(medians, "feature")
+        .groupBy("feature")
+        .agg(F.avg((F.col("v") < F.col("q50")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("q50")).cast("double")).alias("upto"))
+    )
+    near = F.abs(F.col("unique") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+    middle = (F.col("below") - sketches.RANK_ERROR <= 0.5) & (F.col("upto") + sketches.RANK_ERROR >= 0.5)
+    return said.join(exact, "feature").join(ranks, "feature", "left").select(
+        "feature", "rows", "present", "low", "high", near.alias("unique_held"), F.coalesce(middle, F.col("q50").isNull()).alias("median_held")
+    )
+
+
 @query(
     "value_counts",
     "SELECT Churn, count(*) AS n, round(100 * count(*) / CAST((SELECT count(*) FROM snapshot) AS DOUBLE), 6) AS pct FROM snapshot GROUP BY 1",

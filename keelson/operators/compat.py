@@ -20,6 +20,7 @@ from keelson.functions.ranked import unpivot
 from keelson.functions.scalars import blank_of, strip, value_of
 from keelson.operators.policy import blank_or_null
 from keelson.roles import CUSTOMER, RoleSpec
+from keelson.session import ship_package
 
 # ---------------------------------------------------------------- fixed values
 # Accepted header aliases, key names, match cut-off and give-away name parts.
@@ -132,6 +133,7 @@ def suggest_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
     Known spellings are resolved where they stand. Similarity is computed once per distinct text
     of the others, a small table next to the catalogue, and joined to those rows only.
     """
+    ship_package(catalog.sparkSession)
     resolved = resolve_headers(catalog, spec)
     open_ = resolved.where(F.col("target").isNull()).select("file", "position", "header")
     texts = open_.select(F.col("header").alias("k")).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import scalars
 from keelson.functions.ranked import exact_quantiles, running_totals
-from keelson.operators import cleaning, combine, compat, drift, explain, metrics, monitor, policy, prep, profiling, smotenc, split
+from keelson.operators import cleaning, combine, compat, drift, explain, metrics, monitor, policy, prep, profiling, sketches, smotenc, split
 from keelson.plans import training, views
 from keelson.roles import CUSTOMER, CUSTOMER_LEVELS, INTERNET_FIELDS, RoleSpec
 from keelson.sources import files
@@ -617,6 +617,30 @@ def test_tenure_bands_are_right_closed(spark):
     assert got == ["0-12 mo", "0-12 mo", "13-24 mo", "13-24 mo", "25-48 mo", "49-72 mo", "49-72 mo", None]
 
 
+def test_merged_sketches_are_those_of_the_whole(spark, tmp_path):
+    """Two parts, stored and merged, against the sketch of all rows and against exact values."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") < 20_000, "a").otherwise("b").alias("part"),
+        F.when(F.col("id") % 5 != 0, F.sqrt(F.col("id").cast("double"))).otherwise(F.when(F.col("id") % 10 == 0, F.lit(float("nan")))).alias("x"),
+        F.concat(F.lit("k"), F.col("id") % 9000).alias("name"),
+        F.lit(None).cast("int").alias("nothing"),
+    )
+    sketches.build(df, ["part"]).write.parquet(str(tmp_path / "s"))
+    merged = {r["feature"]: r for r in sketches.read(sketches.merge(spark.read.parquet(str(tmp_path / "s")))).collect()}
+    whole = {r["feature"]: r for r in sketches.read(sketches.build(df.drop("part"))).collect()}
+    assert set(merged) == set(whole) == {"x", "name", "nothing"}
+    ids = np.arange(30_000)
+    values = np.sort(np.sqrt(ids[ids % 5 != 0]))
+    for found in (merged, whole):
+        x, name, nothing = found["x"], found["name"], found["nothing"]
+        assert (x["rows"], x["present"], x["low"], x["high"]) == (30_000, 27_000, values[0], values[-1])
+        for q in (25, 50, 75):
+            assert abs(np.searchsorted(values, x[f"q{q}"]) / len(values) - q / 100) <= sketches.RANK_ERROR
+        assert abs(name["unique"] - 9000) <= sketches.DISTINCT_ERROR * 9000 and name["q50"] is None
+        assert (nothing["present"], nothing["unique"], nothing["low"], nothing["q50"]) == (0, 0, None, None)
+    assert sketches.build(df.where("false")).count() == 0
+
+
 def test_upsert_replaces_by_key(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")
