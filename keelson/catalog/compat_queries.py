@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from keelson.catalog.registry import query
 from keelson.catalog.views_sql import CATEGORICAL, COLUMNS, NUMERIC, number
@@ -195,3 +196,46 @@ _MSG = " UNION ALL ".join(
 @query("compat_messages", f"WITH report AS ({_REPORT}) SELECT * FROM ({_MSG}) WHERE n > 0")
 def compat_messages(spark, sf):
     return compat.messages(compat.compatibility(views.upload(spark, sf), CUSTOMER, "customerID"))
+
+
+_ISSUES = f"""SELECT code, "column", n, '' AS detail FROM (SELECT 'duplicate_keys' AS code, 'customerID' AS "column", duplicate_members AS n FROM ({KEYS})
+ UNION ALL SELECT 'blank_keys', 'customerID', blank_keys FROM ({KEYS})
+ UNION ALL SELECT 'non_numeric', "column", non_numeric FROM ({_NUMQ}) UNION ALL SELECT 'not_binary', "column", not_binary FROM ({_NUMQ})
+ UNION ALL SELECT 'negative', "column", negative FROM ({_NUMQ})
+ UNION ALL SELECT 'blank_with_tenure', 'TotalCharges', count(*) FILTER ({BLANK_CHARGE}) FROM upload
+ UNION ALL SELECT 'blank_cells', "column", blank_cells FROM ({_CATQ}))
+UNION ALL SELECT 'invalid_cells', "column", invalid_cells, invalid_levels FROM ({_CATQ})"""
+_RULES = ", ".join(f"({i + 1}, '{c}', {str(b).lower()}, '{m}')" for i, (c, (b, m)) in enumerate(compat.COLUMN_RULES.items()))
+
+
+def renamed_upload(spark, sf):
+    """The upload as a file whose headers are not the expected ones."""
+    return views.upload(spark, sf).withColumnsRenamed({"tenure": "months", "MonthlyCharges": "monthly_charges"})
+
+
+@query(
+    "compat_column_issues",
+    f"""SELECT r.rank, i.code, "column", n, blocking, replace(replace(replace(message, '{{column}}', "column"), '{{n}}', CAST(n AS VARCHAR)), '{{detail}}', detail) AS message
+FROM ({_ISSUES}) i JOIN (VALUES {_RULES}) r(rank, code, blocking, message) ON i.code = r.code WHERE n > 0""",
+)
+def compat_column_issues(spark, sf):
+    return compat.column_issues(renamed_upload(spark, sf), CUSTOMER, "customerID", {"months": "tenure", "monthly_charges": "MonthlyCharges"})
+
+
+@query(
+    "compat_mapped_report",
+    f"""SELECT row_count, 18 AS matched_count, 'MonthlyCharges' AS missing_columns, duplicate_members AS duplicate_keys, '{{"months": "tenure"}}' AS column_mapping,
+ '{{"monthly_charges": "MonthlyCharges"}}' AS rename_suggestions, false AS is_compatible,
+ concat_ws('|', 'Column MonthlyCharges is missing; map a column of the file to it.',
+  CASE WHEN duplicate_members > 0 THEN duplicate_members || ' rows share a key in customerID; every row needs its own.' END,
+  CASE WHEN blank_keys > 0 THEN 'customerID is blank in ' || blank_keys || ' rows; fill in a key.' END) AS messages,
+ concat_ws('|', 'Map columns of the file to the 19 required ones.', 'Look up the required columns in the data dictionary.',
+  CASE WHEN duplicate_members > 0 THEN 'Remove or correct repeated keys in ''customerID''.' END,
+  CASE WHEN blank_keys > 0 THEN 'Correct the blocking issues, then check the file again.' END) AS actions
+FROM ({KEYS}), (SELECT count(*) AS row_count FROM upload)""",
+)
+def compat_mapped_report(spark, sf):
+    """A file mapped in part: what is missing, what is suggested, and what to do."""
+    report = compat.mapped_report(renamed_upload(spark, sf), CUSTOMER, "customerID", {"months": "tenure"})
+    kept = ("row_count", "matched_count", "missing_columns", "duplicate_keys", "column_mapping", "rename_suggestions", "is_compatible")
+    return report.select(*kept, *[F.array_join(c, "|").alias(c) for c in ("messages", "actions")])

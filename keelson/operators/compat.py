@@ -8,8 +8,9 @@ and are carried as literals, never joined.
 from __future__ import annotations
 
 import difflib
+import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -414,3 +415,105 @@ def messages(report: DataFrame) -> DataFrame:
         ]
     )
     return report.select(F.inline(listed)).where("n > 0")
+
+
+# ------------------------------------------------------------------ report with mapping, per column, and actions
+
+#: Issue codes in the order they are shown: does it block scoring, and what is said of the column.
+COLUMN_RULES = {
+    "missing_column": (True, "Column {column} is missing; map a column of the file to it."),
+    "key_not_found": (True, "Key column {column} is not in the mapped file; choose another one."),
+    "duplicate_keys": (True, "{n} rows share a key in {column}; every row needs its own."),
+    "blank_keys": (True, "{column} is blank in {n} rows; fill in a key."),
+    "blank_with_tenure": (True, "{column} is blank in {n} rows of customers who are not new; fill it in."),
+    "non_numeric": (True, "{column} holds no number in {n} cells; correct them."),
+    "not_binary": (True, "{column} is neither 0 nor 1 in {n} cells; correct them."),
+    "negative": (True, "{column} is negative in {n} cells; correct them."),
+    "blank_cells": (True, "{column} is blank in {n} cells; fill them in."),
+    "invalid_cells": (False, "{column} has {n} cells with levels not seen in training: {detail}"),
+}
+
+
+def mapped(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Columns renamed by ``mapping``; names it does not hold stay, two claims on one name raise."""
+    names = [mapping.get(c, c) for c in df.columns]
+    doubled = sorted({n for n in names if names.count(n) > 1})
+    if doubled:
+        raise ValueError(f"several columns mapped to one: {doubled}")
+    return df.toDF(*names)
+
+
+def column_issues(df: DataFrame, spec: RoleSpec, key: str, mapping: Mapping[str, str] | None = None, *, strict: bool = False) -> DataFrame:
+    """(rank, code, column, n, blocking, message): what is wrong with each column of the mapped file.
+
+    Cells are checked when no required column is missing. A file without a fault has no rows.
+    """
+    mapping = mapping or {}
+    working, key = mapped(df, mapping), mapping.get(key, key)
+    missing = [c for c in spec.features if c not in working.columns]
+    absent = [("missing_column", c) for c in missing] + ([] if key in working.columns else [("key_not_found", key)])
+    schema = "code string, column string, n long, detail string"
+    found = df.sparkSession.createDataFrame([(code, name, 1, "") for code, name in absent], schema)
+
+    def listed(quality: DataFrame, column: Column, counts: Mapping[str, str], detail: Mapping[str, str] | None = None) -> DataFrame:
+        rows = [
+            F.struct(F.lit(code).alias("code"), column.alias("column"), F.col(source).cast("long").alias("n"), (F.col(detail[code]) if detail and code in detail else F.lit("")).alias("detail"))
+            for code, source in counts.items()
+        ]
+        return quality.select(F.inline(F.array(*rows)))
+
+    if key in working.columns:
+        found = found.unionByName(listed(key_quality(working, key), F.lit(key), {"duplicate_keys": "duplicate_members", "blank_keys": "blank_keys"}))
+    if not missing:
+        numbers = numeric_quality(working, spec, strict=strict)
+        levels = categorical_quality(working, spec)
+        found = found.unionByName(listed(numbers, F.col("column"), {c: c for c in ("non_numeric", "not_binary", "negative")}))
+        found = found.unionByName(listed(blank_charge_quality(working, spec), F.lit(spec.charge_col), {"blank_with_tenure": "blank_with_tenure"}))
+        found = found.unionByName(listed(levels, F.col("column"), {c: c for c in ("blank_cells", "invalid_cells")}, {"invalid_cells": "invalid_levels"}))
+    rules = F.create_map(
+        *[x for i, (code, (blocking, text)) in enumerate(COLUMN_RULES.items())
+          for x in (F.lit(code), F.struct(F.lit(i + 1).alias("rank"), F.lit(blocking).alias("blocking"), F.lit(text).alias("text")))]
+    )
+    rule = F.element_at(rules, F.col("code"))
+    text = rule["text"]
+    for name in ("column", "n", "detail"):
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+    return found.where("n > 0").select(rule["rank"].alias("rank"), "code", "column", "n", rule["blocking"].alias("blocking"), text.alias("message"))
+
+
+def actions(issues: DataFrame, suggestions: Mapping[str, str], key: str, required: int, *, is_mapped: bool = False) -> DataFrame:
+    """(rank, action): what to do next about ``issues``; nothing for a file without a blocking one or a suggestion."""
+    codes = issues.agg(F.collect_set("code").alias("codes"), F.coalesce(F.max(F.col("blocking") & ~F.col("code").isin("missing_column", "duplicate_keys")), F.lit(False)).alias("blocked"))
+    pairs = "; ".join(f"'{source}' -> '{target}'" for source, target in suggestions.items())
+    missing = F.array_contains("codes", "missing_column")
+    steps = [
+        (missing, f"Map columns of the file to the {required} required ones."),
+        (missing, "Look up the required columns in the data dictionary."),
+        (F.lit(bool(pairs) and not is_mapped), f"Apply the suggested mapping: {pairs}"),
+        (F.array_contains("codes", "duplicate_keys"), f"Remove or correct repeated keys in '{key}'."),
+        (F.col("blocked"), "Correct the blocking issues, then check the file again."),
+    ]
+    listed = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(i + 1).alias("rank"), F.lit(text).alias("action"))) for i, (when, text) in enumerate(steps)]))
+    return codes.select(F.inline(listed))
+
+
+def mapped_report(df: DataFrame, spec: RoleSpec, key: str, mapping: Mapping[str, str] | None = None, *, strict: bool = False) -> DataFrame:
+    """``compatibility`` of the mapped file in one row, with the mapping, the renames still to make, messages and actions."""
+    mapping = dict(mapping or {})
+    working, target = mapped(df, mapping), mapping.get(key, key)
+    suggested = {s: t for s, t in suggest_for(df.columns, spec).items() if s not in mapping}
+    issues = column_issues(df, spec, key, mapping, strict=strict)
+    steps = actions(issues, suggested, target, len(spec.features), is_mapped=bool(mapping))
+
+    def texts(rows: DataFrame, *order: str) -> Column:
+        packed = F.array_sort(F.collect_list(F.struct(*order)))
+        return rows.agg(F.transform(packed, lambda r: r[order[-1]]).alias("texts")).scalar()
+
+    return compatibility(working, spec, target, strict=strict).withColumns(
+        {
+            "column_mapping": F.lit(json.dumps(mapping, sort_keys=True)),
+            "rename_suggestions": F.lit(json.dumps(suggested, sort_keys=True)),
+            "messages": texts(issues, "rank", "column", "message"),
+            "actions": texts(steps, "rank", "action"),
+        }
+    )

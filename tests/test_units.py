@@ -174,6 +174,29 @@ def test_missing_column_and_missing_key(table):
     assert not compat.compatibility(table(row()), CUSTOMER, "nope").first()["is_compatible"]
 
 
+def test_mapping_makes_a_file_compatible(table):
+    renamed = table(row("A1"), row("A2")).withColumnRenamed("MonthlyCharges", "monthly_charges")
+    before = compat.mapped_report(renamed, CUSTOMER, "customerID").first()
+    assert not before["is_compatible"] and json.loads(before["rename_suggestions"]) == {"monthly_charges": "MonthlyCharges"}
+    assert "'monthly_charges' -> 'MonthlyCharges'" in before["actions"][2]
+    after = compat.mapped_report(renamed, CUSTOMER, "customerID", {"monthly_charges": "MonthlyCharges"}).first()
+    assert after["is_compatible"] and after["messages"] == [] and after["actions"] == []
+    with pytest.raises(ValueError, match="mapped to one"):
+        compat.mapped(renamed, {"tenure": "customerID"})
+
+
+def test_column_issues_name_column_and_levels(table):
+    bad = table(row("A1", tenure="5", TotalCharges="", Contract="Weekly"), row("A1", gender=" ", SeniorCitizen="2"))
+    found = {r["code"]: r for r in compat.column_issues(bad, CUSTOMER, "customerID").collect()}
+    assert {c: (r["column"], r["n"]) for c, r in found.items()} == {
+        "duplicate_keys": ("customerID", 2), "blank_with_tenure": ("TotalCharges", 1), "non_numeric": ("TotalCharges", 1),
+        "not_binary": ("SeniorCitizen", 1), "blank_cells": ("gender", 1), "invalid_cells": ("Contract", 1),
+    }
+    assert found["invalid_cells"]["message"].endswith(": Weekly") and not found["invalid_cells"]["blocking"]
+    gone = compat.mapped_report(bad.drop("customerID"), CUSTOMER, "customerID").first()
+    assert not gone["key_found"] and any("Key column customerID" in m for m in gone["messages"])
+
+
 def test_doubled_headers_raise_and_exact_name_wins(spark):
     df = spark.createDataFrame([("a", "b")], "gender string, Gender2 string").toDF("gender", "GENDER")
     with pytest.raises(ValueError, match="several headers"):
