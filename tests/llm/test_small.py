@@ -382,6 +382,46 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(empty(spark), table).count() == 0
 
 
+def test_embedding_rejects_and_recalls():
+    """Items at the allowed distance are found, unrelated ones of the same length seldom share a key."""
+    rng, s = random.Random(17), decontaminate.Settings()
+    common = [1 / (k + 3) for k in range(3000)]  # frequent words, as in real texts
+
+    def words(n):
+        return [f"w{k}" for k in rng.choices(range(3000), common, k=n)]
+
+    for n, unrelated in ((15, 0.15), (30, 0.1), (60, 0.05)):
+        items = [words(n) for _ in range(120)]
+        index = decontaminate.Index([(k, " ".join(w).encode()) for k, w in enumerate(items)], s)
+        found = near = 0
+        for i, item in enumerate(items):
+            edited = list(item)
+            for _ in range(s.allowed(n)):
+                at, kind = rng.randrange(len(edited)), rng.randrange(3)
+                edited[at : at + (kind != 1)] = [] if kind == 2 else words(1)
+            text = words(40) + edited + words(40)
+            near += levenshtein_inside(item, text) <= s.allowed(n)
+            found += any(i == hit[0] for hit in index.search(" ".join(text).encode()))
+        assert near > 100 and found >= 0.99 * near
+        own = [set(k.tolist()) for k in index.lsh(index.words, decontaminate.ITEM_END)]
+        other = [set(k.tolist()) for k in index.lsh(index.words, decontaminate.WINDOW_END)]
+        met = sum(bool(own[i] & other[j]) for i in range(120) for j in range(120) if i != j)
+        assert met <= unrelated * 120 * 119
+        assert all(a & b for a, b in zip(own, other))
+
+
+def test_short_and_equal_items(spark):
+    items = [(5, "Alpha"), (7, "beta gamma"), (8, "Beta, Gamma"), (9, "x y z w v"), (3, "x y z w v"), (3, "x y z w v"), (None, "x y z w v"), (1, "!"), (None, "delta")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "an alpha, and ALPHA; alphabet", "en", "s"), (2, "beta gamma beta gamma", "en", "s"), (3, "say x y z w v here", "en", "s"), (None, "delta", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s")]
+    got = Counter(tuple(r) for r in decontaminate.find_leaks(awkward(spark, docs), table).collect())
+    want = [(1, 5, 3, 8, 0, 1.0), (1, 5, 14, 19, 0, 1.0), (None, None, 0, 5, 0, 1.0), (3, 3, 4, 13, 0, 1.0), (3, 9, 4, 13, 0, 1.0)]
+    want += [(2, k, a, a + 10, 0, 1.0) for k in (7, 8) for a in (0, 11)]
+    assert got == Counter(want)
+    left = decontaminate.keep_clean(awkward(spark, docs), table)
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 4, 5]
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for n, (_, text, _, _) in enumerate(rows):
