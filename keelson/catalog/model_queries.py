@@ -142,7 +142,29 @@ def model_comparison(spark, sf):
     return _bounded(training.model_comparison(parted(spark, sf), CUSTOMER, EFFORT))
 
 
-@query("smotenc")
+_NUM, _CAT = CUSTOMER.numeric, CUSTOMER.categorical
+_GAPS = " + ".join(f"(a.{c}::DOUBLE - b.{c}::DOUBLE) * (a.{c}::DOUBLE - b.{c}::DOUBLE)" for c in _NUM)
+_MISSES = " + ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN pen * pen ELSE 0 END" for c in _CAT)
+_MODES = ", ".join(f"(SELECT c.{c} FROM near n JOIN points c ON c.customerID = n.other WHERE n.id = d.customerID GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS {c}" for c in _CAT)
+
+
+@query(
+    "smotenc",
+    f"""WITH sizes AS MATERIALIZED (SELECT Churn, count(*) AS n FROM split WHERE "partition" = 'train' GROUP BY 1),
+rare AS MATERIALIZED (SELECT Churn, n, (SELECT max(n) FROM sizes) - n AS wanted FROM sizes ORDER BY n, Churn LIMIT 1),
+points AS MATERIALIZED (SELECT s.* FROM split s JOIN rare USING (Churn) WHERE "partition" = 'train'),
+penalty AS MATERIALIZED (SELECT median(v) AS pen FROM (SELECT unnest([{", ".join(f"(SELECT stddev_pop({c}::DOUBLE) FROM points)" for c in _NUM)}]) AS v)),
+near AS MATERIALIZED (SELECT * FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS nearest FROM (
+  SELECT a.customerID AS id, b.customerID AS other, {_GAPS} + {_MISSES} AS d2
+  FROM points a JOIN points b ON a.customerID <> b.customerID, penalty)) WHERE nearest <= 5),
+turns AS (SELECT p.*, wanted // n + CASE WHEN row_number() OVER (ORDER BY md5('smote42|' || customerID), customerID) <= wanted % n THEN 1 ELSE 0 END AS turns
+  FROM points p, rare),
+draws AS MATERIALIZED (SELECT *, md5('smote42|' || customerID || '|' || i) AS draw FROM (SELECT *, unnest(range(1, turns + 1)) AS i FROM turns)),
+picked AS (SELECT *, ('0x' || substr(draw, 1, 6))::BIGINT % 5 + 1 AS pick, ('0x' || substr(draw, 9, 8))::BIGINT / 4294967296.0::DOUBLE AS gap FROM draws)
+SELECT 'S' || i || '-' || d.customerID AS customerID,
+ {", ".join(f"d.{c}::DOUBLE + gap * (o.{c}::DOUBLE - d.{c}::DOUBLE) AS {c}" for c in _NUM)}, {_MODES}, d.Churn
+FROM picked d JOIN near m ON m.id = d.customerID AND m.nearest = d.pick JOIN points o ON o.customerID = m.other""",
+)
 def smotenc_rows(spark, sf):
     train = parted(spark, sf).where("partition = 'train'").drop("partition")
     return smotenc.synthesize(train, CUSTOMER)

@@ -1,30 +1,34 @@
 """Synthetic minority rows for mixed columns, with exact nearest neighbours.
 
 Distance: Euclidean over the numbers, plus the squared mismatch penalty for each
-differing category (the median of the minority deviations).  Any single numeric
-column bounds that distance from below, so rows are ranked along the column of
-largest spread and cut into blocks of equal size.  A block is compared with the
-blocks around it, block pair by block pair, each of them a small matrix in a
-task; a row is finished once its k-th distance is not larger than its gap to the
-ends of the blocks seen, and only unfinished rows go on with a wider window.
-Blocks are cut by rank, so copies and dense regions make no block larger.
+differing category (the median of the minority deviations).  That is a metric, so
+the distances of two rows to any third one bound their own distance from below.
+
+Pivot index: equal rows collapse to one spot; the exact distances of a spot to a few
+pivots, far from each other, are its coordinates, cut into cells of one width.  Rows
+within that width of a spot lie in its cell or in those next to it, and once k
+distances are known, cells beyond the largest of them are left out.  A spot is
+finished when its k-th distance is within the width; the others go on with wider
+cells.  Full cells are dealt in parts, so no task holds more than two of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.ranked import running_totals
 from keelson.functions.scalars import hex_digest, hex_number
 from keelson.roles import RoleSpec
 from keelson.session import durable, ship_package
 
 NEIGHBOURS = 5  # fixed value
-BLOCK = 256
-FIRST_REACH = 2  # blocks on either side
+BLOCK = 256  # spots of a part of a cell, on average
+PIVOTS = 3
+GROWTH = 4  # of the width from round to round
+HALVINGS = 12
+SLACK = 1e-6  # of the width, for rounding
 
 
 def minority(df: DataFrame, spec: RoleSpec) -> tuple[str, dict[str, int]]:
@@ -41,15 +45,61 @@ def mismatch_penalty(points: DataFrame, spec: RoleSpec) -> tuple[float, str]:
     return float(median), spreads[-1][1]
 
 
-def _ranked(points: DataFrame, spec: RoleSpec, axis: str) -> DataFrame:
-    """Add a gap-free rank along the axis, ties by key."""
-    place = F.struct(F.col(axis).cast("double").alias("v"), F.col(spec.id_col).alias("k")).alias("place")
-    keyed = points.select("*", place, F.lit(1).alias("one"))
-    return running_totals(keyed, [], "place", ["one"], prefix="rank_").withColumnRenamed("rank_one", "r").drop("one", "place")
+def _spots(points: DataFrame, spec: RoleSpec, k: int) -> DataFrame:
+    """Distinct feature rows: ``_spot`` (the smallest id) and ``_ids`` (the k + 1 smallest)."""
+    nth = F.row_number().over(Window.partitionBy(*spec.features).orderBy(spec.id_col))
+    few = points.withColumn("_nth", nth).where(F.col("_nth") <= k + 1)
+    return few.groupBy(*spec.features).agg(
+        F.min(spec.id_col).alias("_spot"), F.sort_array(F.collect_list(spec.id_col)).alias("_ids")
+    )
+
+
+def _distance_to(pivot: Row, spec: RoleSpec, penalty: float) -> Column:
+    total = F.lit(0.0)
+    for c in spec.numeric:
+        total = total + F.pow(F.col(c) - F.lit(pivot[c]), F.lit(2.0))
+    for c in spec.categorical:
+        total = total + F.when(F.col(c).eqNullSafe(F.lit(pivot[c])), 0.0).otherwise(penalty * penalty)
+    return F.sqrt(total)
+
+
+def _placed(spots: DataFrame, spec: RoleSpec, penalty: float) -> DataFrame:
+    """Spots with their distances to the pivots, each pivot the spot farthest from those before it."""
+    row = F.struct(*spec.features)
+    pivot = spots.agg(F.min_by(row, "_spot")).first()[0]
+    distances: list[Column] = []
+    while pivot is not None and len(distances) < PIVOTS:
+        distances.append(_distance_to(pivot, spec, penalty))
+        nearest = F.least(*distances) if len(distances) > 1 else distances[0]
+        pivot = spots.agg(F.max_by(row, F.struct(nearest, F.col("_spot")))).first()[0]
+    return durable(spots.withColumn("_at", F.array(*distances)))
+
+
+def _cell(width: float) -> Column:
+    return F.transform("_at", lambda d: F.floor(d / width).cast("long"))
+
+
+def _moves(j: int, width: float) -> Column:
+    """Steps along coordinate j to cells that hold a point within ``far``."""
+    inside = F.col("_at")[j] - F.col("a")[j] * F.lit(width)
+    reach = F.col("far") + F.lit(SLACK * width)
+    near = F.when(inside <= reach, F.lit(-1)), F.lit(0), F.when(F.lit(width) - inside <= reach, F.lit(1))
+    return F.array_compact(F.array(*near))
+
+
+def _first_width(placed: DataFrame, spots: int, widest: float) -> float:
+    """Width at which a spot shares its cell with a few blocks of others, on average."""
+    width = widest / max(1.0, (spots / BLOCK) ** (1 / PIVOTS))
+    for _ in range(HALVINGS):
+        counts = placed.groupBy(_cell(width).alias("cell")).count()
+        if counts.agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= 2 * BLOCK * spots:
+            break
+        width /= 2
+    return width
 
 
 def _pair_distances(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float) -> np.ndarray:
-    """Squared distances between the rows of two blocks; a row is no neighbour of itself."""
+    """Squared distances between two sets of spots; a spot is no neighbour of itself."""
     total = np.zeros((len(left), len(right)))
     for c in spec.numeric:
         gap = left[c].to_numpy(float)[:, None] - right[c].to_numpy(float)[None]
@@ -57,92 +107,115 @@ def _pair_distances(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, pen
     for c in spec.categorical:
         codes, _ = pd.factorize(pd.concat([left[c], right[c]]), use_na_sentinel=True)
         total += (codes[: len(left), None] != codes[None, len(left) :]) * (penalty * penalty)
-    total[left["r"].to_numpy()[:, None] == right["r"].to_numpy()[None]] = np.inf
+    total[left["_spot"].to_numpy()[:, None] == right["_spot"].to_numpy()[None]] = np.inf
     return total
 
 
 def _closest(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float, k: int) -> pd.DataFrame:
-    """The k nearest rows of one block for every row of another."""
+    """The k nearest spots of one set for every spot of another."""
     if left.empty or right.empty:
-        return pd.DataFrame({"r": [], "neighbour_r": [], "distance2": []})
-    right = right.sort_values("r")
+        return pd.DataFrame({"_spot": [], "_other": [], "distance2": []})
+    right = right.sort_values("_spot")
     distance = _pair_distances(left, right, spec, penalty)
     best = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(right))]
     found = pd.DataFrame(
         {
-            "r": np.repeat(left["r"].to_numpy(), best.shape[1]),
-            "neighbour_r": right["r"].to_numpy()[best.ravel()],
+            "_spot": np.repeat(left["_spot"].to_numpy(), best.shape[1]),
+            "_other": right["_spot"].to_numpy()[best.ravel()],
             "distance2": np.take_along_axis(distance, best, axis=1).ravel(),
         }
     )
     return found[np.isfinite(found["distance2"])]
 
 
-def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -> DataFrame:
-    """(id, neighbour, distance2, nearest): the k nearest other rows, exactly."""
-    ship_package(points.sparkSession)
-    penalty, axis = mismatch_penalty(points, spec)
-    block = F.floor((F.col("r") - 1) / BLOCK).cast("long")
-    ranked = durable(
-        _ranked(points.select(spec.id_col, *spec.features), spec, axis)
-        .withColumns({c: F.col(c).cast("double") for c in spec.numeric})
-        .withColumn("block", block)
-    )
-    n = ranked.count()
-    blocks = (n + BLOCK - 1) // BLOCK
-    k = min(k, n - 1)
-    edge = ranked.select("r", F.col(axis).alias("edge"))
-    sides = ranked.select("r", "block", *spec.features)
-    answer, todo, reach = None, ranked.select("r"), FIRST_REACH
+def _near_spots(placed: DataFrame, spec: RoleSpec, penalty: float, k: int) -> DataFrame:
+    """(_spot, _other, distance2): the k nearest other spots of every spot with at most k copies."""
+    spots, widest = placed.agg(F.count(F.lit(1)), F.max(F.array_max("_at"))).first()
+    width = _first_width(placed, spots, widest) if widest else 1.0
+    kind = placed.schema["_spot"].dataType.simpleString()
+    todo = placed.where(F.size("_ids") <= k).select("_spot", F.lit(float("inf")).alias("far"))
+    answer = placed.select("_spot", F.col("_spot").alias("_other"), F.lit(0.0).alias("distance2")).limit(0)
 
     def closest(both: pd.DataFrame) -> pd.DataFrame:
         asks = both["asks"].to_numpy(bool)
         return _closest(both[asks], both[~asks], spec, penalty, k)
 
-    while True:
-        around = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))
-        mine = sides.join(todo, "r", "left_semi").withColumn("a", F.col("block")).withColumn("b", F.explode(around))
-        busy = mine.select(F.col("a").alias("_a")).distinct()
-        theirs = (
-            sides.withColumn("b", F.col("block"))
-            .withColumn("a", F.explode(around))
-            .join(busy, F.col("a") == F.col("_a"), "left_semi")
+    while not todo.isEmpty():
+        last = width > widest  # every spot is in the first cell
+        celled = placed.select("_spot", "_at", *spec.features, _cell(width).alias("cell"))
+        parts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        dealt = celled.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("_spot"), "parts"))
+        # cells next to the own one that a row within ``far`` can be in
+        asking = dealt.join(todo, "_spot").withColumnsRenamed({"cell": "a", "part": "a_part"}).drop("parts")
+        for j in range(PIVOTS):
+            asking = asking.withColumn(f"_m{j}", F.explode(_moves(j, width)))
+        beside = F.array(*[F.col("a")[j] + F.col(f"_m{j}") for j in range(PIVOTS)])
+        asking = (
+            asking.withColumn("b", beside)
+            .join(parts.withColumnRenamed("cell", "b"), "b")
+            .withColumn("b_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         )
+        keys = ["a", "a_part", "b", "b_part"]
+        met = asking.select(*keys).distinct()
+        others = dealt.withColumnsRenamed({"cell": "b", "part": "b_part"}).join(met, ["b", "b_part"])
         pairs = (
-            mine.withColumn("asks", F.lit(True))
-            .unionByName(theirs.withColumn("asks", F.lit(False)))
-            .drop("block")
-            .groupBy("a", "b")  # at most two blocks of rows per group
-            .applyInPandas(closest, "r long, neighbour_r long, distance2 double")
-        )
-        order = Window.partitionBy("r").orderBy("distance2", "neighbour_r")
-        found = pairs.withColumn("nearest", F.row_number().over(order)).where(F.col("nearest") <= k)
-        kth = found.groupBy("r").agg(F.max("distance2").alias("far"), F.count(F.lit(1)).alias("got"))
-        # first and last rank that the compared blocks cover
-        first, last = (F.col("block") - reach) * BLOCK + 1, (F.col("block") + reach + 1) * BLOCK
-        own = ranked.join(todo, "r", "left_semi").select(
-            "r", F.col(axis).alias("v"), first.alias("low_r"), last.alias("high_r")
-        )
-        bounds = (
-            own.join(edge.withColumnsRenamed({"r": "low_r", "edge": "low_v"}), "low_r", "left")
-            .join(edge.withColumnsRenamed({"r": "high_r", "edge": "high_v"}), "high_r", "left")
-            .join(kth, "r")
+            asking.select(*keys, "_spot", *spec.features, F.lit(True).alias("asks"))
+            .unionByName(others.select(*keys, "_spot", *spec.features, F.lit(False).alias("asks")))
+            .groupBy(*keys)  # at most two parts of cells per group
+            .applyInPandas(closest, f"_spot {kind}, _other {kind}, distance2 double")
         )
-        # an end that lies outside the table leaves nothing unseen on that side
-        gap_low = F.when(F.col("low_r") <= 1, F.lit(float("inf"))).otherwise(F.col("v") - F.col("low_v"))
-        gap_high = F.when(F.col("high_r") >= n, F.lit(float("inf"))).otherwise(F.col("high_v") - F.col("v"))
-        margin = F.least(gap_low, gap_high)
-        done = (F.col("got") >= k) & (F.col("far") <= margin * margin)
-        round_ = durable(found.join(bounds.select("r", done.alias("done")), "r"))
-        finished = round_.where("done")
-        answer = finished if answer is None else answer.unionByName(finished)
-        todo = round_.where("NOT done AND nearest = 1").select("r")
-        if reach >= blocks or todo.isEmpty():
+        order = Window.partitionBy("_spot").orderBy("distance2", "_other")
+        found = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        whole = F.sqrt(F.max("distance2"))
+        kth = found.groupBy("_spot").agg(F.when(F.count(F.lit(1)) >= k, whole).otherwise(float("inf")).alias("far"))
+        done = F.lit(last) | (F.col("far") <= F.lit(width * (1 - SLACK)))
+        round_ = durable(found.join(kth, "_spot").withColumn("done", done))
+        answer = answer.unionByName(round_.where("done").select("_spot", "_other", "distance2"))
+        if last:
             break
-        reach *= 4
-    ids = ranked.select("r", spec.id_col)
-    named = ids.withColumnsRenamed({"r": "neighbour_r", spec.id_col: "neighbour"})
-    return answer.join(ids, "r").join(named, "neighbour_r").select(spec.id_col, "neighbour", "distance2", "nearest")
+        state = round_.where("nth = 1").select("_spot", F.col("far").alias("near_far"), "done")
+        todo = durable(
+            todo.join(state, "_spot", "left")
+            .where("done IS NULL OR NOT done")
+            .select("_spot", F.least("far", F.coalesce("near_far", "far")).alias("far"))
+        )
+        width *= GROWTH
+    return answer
+
+
+def nearest_neighbours(points: DataFrame, spec: RoleSpec, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, neighbour, distance2, nearest): the k nearest other rows, exactly; of equally near ones the smallest ids.
+
+    Ids are unique. Null categories equal each other; a null number is an error.
+    """
+    ship_package(points.sparkSession)
+    penalty, _ = mismatch_penalty(points, spec)
+    rows = points.select(
+        spec.id_col, *[F.col(c).cast("double").alias(c) for c in spec.numeric], *spec.categorical
+    )
+    holes = F.lit(False)
+    for c in spec.numeric:
+        holes = holes | F.col(c).isNull()
+    if not rows.where(holes).isEmpty():
+        raise ValueError("neighbours need numbers without nulls")
+    placed = _placed(_spots(rows, spec, k), spec, penalty)
+    # a spot's own ids are at distance 0; every other spot in reach gives at most k + 1 ids
+    other = placed.select(F.col("_spot").alias("_other"), F.explode("_ids").alias("id"))
+    around = _near_spots(placed, spec, penalty, k).join(other, "_other").select("_spot", "distance2", "id")
+    own = placed.select("_spot", F.lit(0.0).alias("distance2"), F.explode("_ids").alias("id"))
+    near = own.unionByName(around).groupBy("_spot").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("distance2", "id"))), 1, k + 1).alias("near")
+    )
+    # one struct as the key: nulls inside it equal each other, and the plan carries one condition
+    row = F.struct(*spec.features)
+    listed = placed.select("_spot", row.alias("_row")).join(near, "_spot")
+    others = F.slice(F.filter("near", lambda n: n["id"] != F.col(spec.id_col)), 1, k)
+    return (
+        rows.select(spec.id_col, row.alias("_row"))
+        .join(listed, "_row")
+        .select(spec.id_col, F.posexplode(others).alias("place", "at"))
+        .select(spec.id_col, F.col("at.id").alias("neighbour"), F.col("at.distance2").alias("distance2"), (F.col("place") + 1).alias("nearest"))
+    )
 
 
 def _mode_of_neighbours(values: DataFrame, spec: RoleSpec) -> DataFrame:

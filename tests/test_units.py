@@ -594,6 +594,29 @@ def test_smotenc_neighbours_match_brute_force(spark, monkeypatch, block):
         assert np.allclose(np.sort(group["distance2"]), expect[order[key]], atol=1e-9)
 
 
+def test_smotenc_neighbours_of_copies_and_ties(spark, monkeypatch):
+    """A third of the rows equal, categories that outweigh the numbers: neighbours by distance, then id."""
+    monkeypatch.setattr(smotenc, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    n = 240
+    pdf = pd.DataFrame({"id": rng.permutation(n), "tenure": rng.integers(0, 4, n).astype(float), "spend": rng.integers(0, 3, n) * 40.0})
+    pdf["plan"] = rng.choice(["a", "b", "c", None], n)
+    pdf.loc[: n // 3, ["tenure", "spend", "plan"]] = [1.0, 40.0, "a"]
+    df = spark.createDataFrame(pdf.astype({"plan": object}), "id long, tenure double, spend double, plan string")
+    penalty, _ = smotenc.mismatch_penalty(df, SPEC)
+    got = smotenc.nearest_neighbours(df, SPEC, 5).collect()
+    num, cat = pdf[["tenure", "spend"]].to_numpy(), pdf["plan"].fillna("-").to_numpy()
+    d2 = ((num[:, None] - num[None]) ** 2).sum(-1) + (cat[:, None] != cat[None]) * (penalty * penalty)
+    ids = pdf["id"].to_numpy()
+    want = {}
+    for i in range(n):
+        order = [j for j in np.lexsort((ids, np.round(d2[i], 9))) if j != i][:5]
+        want.update({(ids[i], place + 1): ids[j] for place, j in enumerate(order)})
+    assert {(r["id"], r["nearest"]): r["neighbour"] for r in got} == want and len(got) == 5 * n
+    with pytest.raises(ValueError, match="without nulls"):
+        smotenc.nearest_neighbours(df.withColumn("spend", F.when(F.col("id") > 3, F.col("spend"))), SPEC)
+
+
 def test_smotenc_balances_and_stays_in_range(spark):
     df = planted(spark, 300)
     grown = smotenc.oversample(df, SPEC)
