@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from keelson.functions.ranked import exact_quantiles, unpivot, value_counts
 from keelson.roles import RoleSpec
 
 FEATURES = "features"
+MAX_LEVELS = 20_000  # of one categorical column
 
 
 def medians(df: DataFrame, spec: RoleSpec) -> DataFrame:
@@ -61,6 +63,24 @@ def levels(df: DataFrame, spec: RoleSpec) -> DataFrame:
     )
 
 
+def _counted_levels(source: DataFrame, spec: RoleSpec) -> list[Row]:
+    """Levels with their counts from one grouped pass, at most ``MAX_LEVELS`` a column.
+
+    The encoder holds its levels on the driver and gives each a place in the vector; a column
+    with more of them, such as free text or an id, is an error that names it.
+    """
+    counts = value_counts(unpivot(source, [], spec.categorical, "string"), ["feature"], "value")
+    rows = counts.limit(MAX_LEVELS * len(spec.categorical) + 1).collect()
+    sizes = Counter(r["feature"] for r in rows)
+    if len(rows) > MAX_LEVELS * len(spec.categorical):
+        # the rows fetched may be cut anywhere, so the sizes are counted where the data is
+        sizes = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}
+    wide = [f"{c} ({sizes[c]})" for c in spec.categorical if sizes.get(c, 0) > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"more than {MAX_LEVELS} levels in {', '.join(wide)}: no category for one-hot columns")
+    return rows
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -124,10 +144,8 @@ def fit_preprocessor(parted: DataFrame, spec: RoleSpec, partition: str = "train"
             rows = r["rows"]
     mode, found = {}, {c: [] for c in spec.categorical}
     if spec.categorical:
-        # one grouped pass gives levels and modes; as in any one-hot encoder the
-        # levels themselves live on the driver
         counts: dict[str, list[tuple[int, str]]] = {c: [] for c in spec.categorical}
-        for r in value_counts(unpivot(source, [], spec.categorical, "string"), ["feature"], "value").collect():
+        for r in _counted_levels(source, spec):
             counts[r["feature"]].append((-r["n"], r["value"]))
         found = {c: sorted(v for _, v in pairs) for c, pairs in counts.items()}
         mode = {c: min(pairs)[1] for c, pairs in counts.items() if pairs}

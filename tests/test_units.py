@@ -617,6 +617,18 @@ def test_smotenc_neighbours_of_copies_and_ties(spark, monkeypatch):
         smotenc.nearest_neighbours(df.withColumn("spend", F.when(F.col("id") > 3, F.col("spend"))), SPEC)
 
 
+def test_too_many_levels_are_refused_by_name(spark, monkeypatch):
+    monkeypatch.setattr(prep, "MAX_LEVELS", 40)
+    df = planted(spark, 200).withColumn("plan2", F.concat(F.lit("p"), F.col("id"))).withColumn("partition", F.lit("train"))
+    spec = dataclasses.replace(SPEC, categorical=("plan", "plan2"))
+    for limit in (40, 150):  # more rows than are fetched, and fewer
+        monkeypatch.setattr(prep, "MAX_LEVELS", limit)
+        with pytest.raises(ValueError, match=rf"more than {limit} levels in plan2 \(200\)"):
+            prep.fit_preprocessor(df, spec)
+    monkeypatch.setattr(prep, "MAX_LEVELS", 200)
+    assert len(prep.fit_preprocessor(df, spec).level_lists()["plan2"]) == 200
+
+
 def test_smotenc_balances_and_stays_in_range(spark):
     df = planted(spark, 300)
     grown = smotenc.oversample(df, SPEC)
