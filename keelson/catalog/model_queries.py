@@ -54,6 +54,23 @@ def _log_loss(df: DataFrame) -> float:
     return df.agg(F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
 
 
+SOUND = ", true AS better_than_share, true AS on_level"
+
+
+def _sound(scored: DataFrame) -> list:
+    """Flags that a constant or a wrong level breaks, from rows with ``partition``, ``y`` and ``p``.
+
+    ``better_than_share``: the squared error on the training rows is below that of their share;
+    ``on_level``: the mean probability of the other rows is within 0.1 of theirs.
+    """
+    train = F.col("partition") == "train"
+    error = F.avg(F.when(train, F.pow(F.col("p") - F.col("y"), F.lit(2.0))))
+    share = F.avg(F.when(train, F.col("y")))
+    off = F.avg(F.when(~train, F.col("p") - F.col("y")))
+    better, level = scored.agg(error < share * (1 - share) - 1e-6, F.abs(off) < 0.1).first()
+    return [F.lit(better).alias("better_than_share"), F.lit(level).alias("on_level")]
+
+
 def _validated(spark, sf, name):
     """Validation rows, and whether the fit explains its training rows better than their share does."""
     with training.TrainingFrames.of(parted(spark, sf), CUSTOMER) as data:
@@ -180,16 +197,19 @@ def _calibrated(spark, sf, method):
         for _, curve in model.pairs:
             values = curve.predictions.toArray().tolist() if method == "isotonic" else [0.0, float(curve.coefficients[0])]
             rising = rising and all(a <= b for a, b in zip(values, values[1:]))
-        scored = model.score(data.validation)
-        return _kept(scored.select("customerID", F.col("y").cast("int").alias("y"), in_range(), F.lit(rising).alias("monotone")))
+        both = data.train.withColumn("partition", F.lit("train")).unionByName(data.validation.withColumn("partition", F.lit("validation")), True)
+        scored = _kept(model.score(both).select("customerID", "partition", F.col("y").cast("int").alias("y"), "p"))
+    flags = [in_range(), F.lit(rising).alias("monotone"), *_sound(scored)]
+    return scored.where("partition = 'validation'").select("customerID", "y", *flags)
 
 
-@query("calibrate_sigmoid", VALIDATED.format(""))
+@query("calibrate_sigmoid", VALIDATED.format(SOUND))
 def calibrate_sigmoid(spark, sf):
+    """No ``monotone`` flag: where the label hardly follows the features, a fold's right slope can be negative."""
     return _calibrated(spark, sf, "sigmoid").drop("monotone")
 
 
-@query("calibrate_isotonic", VALIDATED.format(", true AS monotone"))
+@query("calibrate_isotonic", VALIDATED.format(", true AS monotone" + SOUND))
 def calibrate_isotonic(spark, sf):
     return _calibrated(spark, sf, "isotonic")
 
@@ -206,15 +226,24 @@ def bundle(spark, sf) -> models.Bundle:
     return models.Bundle.load(spark, _BUNDLES[key])
 
 
-@query("train_final", VALIDATED.format(", true AS decided"))
+def _decided(spark, sf) -> DataFrame:
+    """Scores and decisions of the bundle for every row of the split table, with its part and label."""
+    rows = split_table(spark, sf)
+    model = bundle(spark, sf)
+    known = rows.select("customerID", "partition", (F.col("Churn") == "Yes").cast("int").alias("y"))
+    return _kept(model.predict(rows, "customerID").join(known, "customerID").withColumn("p", F.col("churn_probability")))
+
+
+def _follows(limit):
+    return (F.col("retention_recommended") == (F.col("p") >= limit).cast("int")).alias("decided")
+
+
+@query("train_final", VALIDATED.format(", true AS decided" + SOUND))
 def train_final(spark, sf):
     """``decided``: the decision column is the comparison with the threshold."""
-    held = split_table(spark, sf).where("partition = 'validation'")
-    model = bundle(spark, sf)
-    scored = model.predict(model.score(held), "customerID").join(held.select("customerID", (F.col("Churn") == "Yes").cast("int").alias("y")), "customerID")
-    p = F.col("churn_probability")
-    follows = F.col("retention_recommended") == (p >= THRESHOLD).cast("int")
-    return scored.select("customerID", "y", p.between(0, 1).alias("in_range"), follows.alias("decided"))
+    scored = _decided(spark, sf)
+    flags = [in_range(), _follows(THRESHOLD), *_sound(scored)]
+    return scored.where("partition = 'validation'").select("customerID", "y", *flags)
 
 
 @query(
@@ -228,16 +257,17 @@ def train_upload(spark, sf):
     return result.results.select("primary_key", "actual_churn", F.col("churn_probability").between(0, 1).alias("in_range"))
 
 
-@query("score_probability", "SELECT customerID, true AS in_range FROM cleaned")
+@query("score_probability", f"SELECT customerID, true AS in_range{SOUND} FROM cleaned")
 def score_probability(spark, sf):
-    return bundle(spark, sf).score(split_table(spark, sf)).select("customerID", in_range())
+    rows = split_table(spark, sf).withColumn("y", (F.col("Churn") == "Yes").cast("int"))
+    scored = _kept(bundle(spark, sf).score(rows).select("customerID", "partition", "y", "p"))
+    return scored.select("customerID", in_range(), *_sound(scored))
 
 
-@query("score_batch", "SELECT customerID, 0.1::DOUBLE AS decision_threshold, true AS decided FROM cleaned")
+@query("score_batch", f"SELECT customerID, 0.1::DOUBLE AS decision_threshold, true AS decided{SOUND} FROM cleaned")
 def score_batch(spark, sf):
-    scored = bundle(spark, sf).predict(split_table(spark, sf), "customerID")
-    follows = F.col("retention_recommended") == (F.col("churn_probability") >= F.col("decision_threshold")).cast("int")
-    return scored.select("customerID", "decision_threshold", follows.alias("decided"))
+    scored = _decided(spark, sf)
+    return scored.select("customerID", "decision_threshold", _follows(F.col("decision_threshold")), *_sound(scored))
 
 
 @query("model_save_load", 'SELECT count(*) AS rows, count(*) AS equal_rows FROM cleaned')
