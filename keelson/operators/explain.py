@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators.prep import FEATURES
-from keelson.session import scratch_path, ship_package
+from keelson.session import scratch_path, ship_package, spread
 
 
 Trees = GBTClassificationModel | RandomForestClassificationModel
@@ -139,24 +139,115 @@ def contributions(x: np.ndarray, paths: Sequence[tuple[float, list[Step]]]) -> t
     return out, base
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Nodes of one tree by their position; the root is the first."""
+
+    left: np.ndarray  # positions of the children, below 0 at a leaf
+    right: np.ndarray
+    feature: np.ndarray
+    cut: list[np.ndarray]
+    categorical: np.ndarray
+    cover: np.ndarray
+    value: np.ndarray  # weighted prediction
+
+
+def trees_of(nodes: pd.DataFrame) -> list[Tree]:
+    found = []
+    for _, tree in nodes.groupby("treeID"):
+        tree = tree.sort_values("id")
+        place = {int(i): at for at, i in enumerate(tree["id"])}
+        left, right = (np.array([place.get(int(c), -1) for c in tree[name]]) for name in ("leftChild", "rightChild"))
+        cuts = [np.asarray(c, dtype=float) for c in tree["cut"]]
+        value = (tree["prediction"] * tree["weight"]).to_numpy(float)
+        found.append(Tree(left, right, tree["feature"].to_numpy(int), cuts, tree["arity"].to_numpy() > 0, tree["rawCount"].to_numpy(float), value))
+    return found
+
+
+@cache
+def _members(count: int) -> np.ndarray:
+    """Which of ``count`` features each of their subsets holds."""
+    return (np.arange(1 << count)[:, None] >> np.arange(count) & 1).astype(bool)
+
+
+def _leaf_terms(pattern: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Per feature of a path and row: its contribution at a leaf of value 1.
+
+    ``pattern`` has a bit per feature, set where the row follows its splits, and rows of one pattern
+    have the same terms. So all patterns are computed when they are fewer than the rows, else the
+    pattern of each row. At a node u of the integral in :func:`_leaf_weights` a known feature's
+    factor is u + share (1 - u) and another's share (1 - u); a term is the product of all factors
+    over the own one, times 1 - share or -share.
+    """
+    m = len(shares)
+    u, weights = _nodes((m + 1) // 2)
+    miss = shares[:, None] * (1 - u)
+    hit = miss + u
+    if few := (1 << m) <= len(pattern):
+        member = _members(m)
+        product = np.ones((1, len(u)))
+        for i in range(m):
+            product = np.concatenate([product * miss[i], product * hit[i]])
+    else:
+        member = (pattern[:, None] >> np.arange(m) & 1).astype(bool)
+        product = np.ones((len(pattern), len(u)))
+        for i in range(m):
+            product *= np.where(member[:, i, None], hit[i], miss[i])
+    known = product @ (weights * (1 - shares[:, None]) / hit).T
+    unknown = product @ (-weights / (1 - u))
+    terms = np.where(member, known, unknown[:, None]).T
+    return terms[:, pattern] if few else terms
+
+
+def forest_contributions(x: np.ndarray, trees: Sequence[Tree]) -> tuple[np.ndarray, float]:
+    """What :func:`contributions` gives, walking down each tree once: a split is tried once for all leaves below it."""
+    out = np.zeros(x.shape[::-1])
+    base = 0.0
+    columns = np.ascontiguousarray(x.T)
+    for tree in trees:
+        stack = [(0, [], [], np.zeros(len(x), dtype=np.int64))]
+        while stack:
+            at, features, shares, pattern = stack.pop()
+            if tree.left[at] < 0:
+                base += tree.value[at] * math.prod(shares)
+                if features:
+                    out[features] += tree.value[at] * _leaf_terms(pattern, np.array(shares))
+                continue
+            feature, cut = int(tree.feature[at]), tree.cut[at]
+            column = columns[feature]
+            goes_left = np.isin(column, cut) if tree.categorical[at] else column <= cut[0]
+            for child, taken in ((int(tree.left[at]), goes_left), (int(tree.right[at]), ~goes_left)):
+                share = float(tree.cover[child] / tree.cover[at])
+                if feature in features:
+                    i = features.index(feature)
+                    longer, follows = features, pattern & ~((~taken).astype(np.int64) << i)
+                    covered = [*shares[:i], shares[i] * share, *shares[i + 1 :]]
+                else:
+                    longer, covered = [*features, feature], [*shares, share]
+                    follows = pattern | taken.astype(np.int64) << len(features)
+                stack.append((child, longer, covered, follows))
+    return out.T, base
+
+
 def tree_contributions(df: DataFrame, model: Trees, id_col: str) -> DataFrame:
     """(id, contributions, base): one array per row, in feature order.
 
     Contributions add up to the margin of boosted trees and to the probability of a forest, less the
-    base. The node table is bounded by trees x 2^(depth + 1) rows, so it is sent to the
-    tasks as a broadcast variable; rows stay where they are.
+    base. The node table is bounded by trees x 2^(depth + 1) rows, so it is sent to the tasks as
+    arrays in a broadcast variable. Rows are dealt evenly, ``CHUNK`` to a task: small tables lie in
+    one partition, and a row costs a walk through all trees.
     """
     spark = df.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(leaf_paths(tree_table(spark, model).toPandas()))
-    slim = df.select(id_col, vector_to_array(FEATURES).alias("x"))
+    shared = spark.sparkContext.broadcast(trees_of(tree_table(spark, model).toPandas()))
+    slim = spread(df.select(id_col, vector_to_array(FEATURES).alias("x")), CHUNK)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths = shared.value
+        trees = shared.value
         for batch in batches:
             for start in range(0, len(batch), CHUNK):
                 part = batch.iloc[start : start + CHUNK]
-                values, base = contributions(np.vstack(part["x"].to_numpy()).astype(float), paths)
+                values, base = forest_contributions(np.vstack(part["x"].to_numpy()).astype(float), trees)
                 yield pd.DataFrame({id_col: part[id_col], "contributions": list(values), "base": base})
 
     kind = dict(df.dtypes)[id_col]

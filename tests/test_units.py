@@ -556,6 +556,24 @@ def test_tree_of_one_leaf_has_no_contributions():
     assert base == 0.25 and not values.any()
 
 
+def test_contributions_by_tree_walk_are_those_by_path(spark, monkeypatch):
+    """Deep trees, few rows (their own patterns) and many (all patterns); rows of one partition go to several tasks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 9)).round(1)
+    y = (x[:, :6].sum(axis=1) + rng.normal(size=600) > 0).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "y": y, "a": list(x)})).coalesce(1)
+    df = df.select("id", "y", array_to_vector("a").alias(prep.FEATURES))
+    model = training.models.fit_forest(df, trees=4, depth=None, leaf=1)
+    nodes = explain.tree_table(spark, model).toPandas()
+    paths, trees = explain.leaf_paths(nodes), explain.trees_of(nodes)
+    for part in (x[:3], x):
+        want, base = explain.contributions(part, paths)
+        got, same = explain.forest_contributions(part, trees)
+        assert np.allclose(got, want, atol=1e-12) and same == pytest.approx(base)
+    monkeypatch.setattr(explain, "CHUNK", 100)
+    assert explain.tree_contributions(df, model, "id").rdd.getNumPartitions() == 6
+
+
 def test_failed_save_leaves_the_version_before(spark, bundle, tmp_path, monkeypatch):
     path = bundle.save(spark, str(tmp_path / "bundle"))
     changed = dataclasses.replace(bundle, threshold=0.5)
