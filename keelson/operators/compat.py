@@ -83,37 +83,38 @@ def normal_header(c: Column | str) -> Column:
 def forbidden_headers(catalog: DataFrame) -> DataFrame:
     lowered = F.lower("header")
     hits = F.concat_ws(", ", *[F.when(lowered.contains(p), p) for p in FORBIDDEN_PARTS])
-    return catalog.select("file", "header", hits.alias("patterns")).where("patterns <> ''")
+    # one search per header; the parts are listed for the few that hold one
+    found = catalog.where(lowered.rlike("|".join(map(re.escape, FORBIDDEN_PARTS))))
+    return found.select("file", "header", hits.alias("patterns"))
 
 
-def _lookup(mapping: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
+def _lookup(mapping: Mapping[str, tuple[str, int]], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, found in mapping.items() for x in (F.lit(k), _found(*found))]), key)
+
+
+def _found(target: str | Column, priority: int) -> Column:
+    return F.struct((F.lit(target) if isinstance(target, str) else target).alias("target"), F.lit(priority).alias("priority"))
 
 
 def resolve_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:
     """Add ``target`` and how it was found: 0 exact, 1 alias, 2 other case, else null."""
-    exact = F.when(strip("header").isin(*spec.columns), strip("header"))
-    known = {a: t for a, t in HEADER_ALIASES.items() if t in spec.columns}
-    alias = _lookup(known, normal_header("header"))
-    lower = {c.lower(): c for c in spec.columns}
-    cased = F.coalesce(_lookup(lower, normal_header("header")), _lookup(lower, F.lower(strip("header"))))
-    return catalog.withColumns(
-        {
-            "target": F.coalesce(exact, alias, cased),
-            "priority": F.when(exact.isNotNull(), 0).when(alias.isNotNull(), 1).when(cased.isNotNull(), 2),
-        }
+    known = {a: (t, 1) for a, t in HEADER_ALIASES.items() if t in spec.columns}
+    lower = {c.lower(): (c, 2) for c in spec.columns}
+    found = F.coalesce(
+        F.when(strip("header").isin(*spec.columns), _found(strip("header"), 0)),
+        _lookup(lower | known, normal_header("header")),
+        _lookup(lower, F.lower(strip("header"))),
     )
+    # generated columns are computed once per row, however many filters refer to them
+    return catalog.drop("target", "priority").select("*", F.inline(F.array(found)))
 
 
 def claim_headers(resolved: DataFrame) -> DataFrame:
     """One header per (file, target): the best kind of match, then the first position."""
-    best = F.min(F.struct("priority", "position", "header")).alias("best")
-    return (
-        resolved.where(F.col("target").isNotNull())
-        .groupBy("file", "target")
-        .agg(best)
-        .select("file", "best.position", "best.header", "target", "best.priority")
-    )
+    # limited before the shuffle too; a minimum of structs with text would sort through interpreted code
+    order = Window.partitionBy("file", "target").orderBy("priority", "position", "header")
+    claims = resolved.where(F.col("target").isNotNull()).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") == 1)
+    return claims.select("file", "position", "header", "target", "priority")
 
 
 def nearest(columns: Iterable[str]) -> Callable[[Column], Column]:
@@ -125,7 +126,8 @@ def nearest(columns: Iterable[str]) -> Callable[[Column], Column]:
         found = (difflib.get_close_matches(t or "", known, n=1, cutoff=MATCH_CUTOFF) for t in texts.to_pylist())
         return pa.array([f[0] if f else None for f in found], pa.string())
 
-    return closest
+    # else the null filter on its result moves below the distinct, and it runs for every row
+    return closest.asNondeterministic()
 
 
 def suggest_headers(catalog: DataFrame, spec: RoleSpec = CUSTOMER) -> DataFrame:

@@ -574,6 +574,39 @@ def test_contributions_by_tree_walk_are_those_by_path(spark, monkeypatch):
     assert explain.tree_contributions(df, model, "id").rdd.getNumPartitions() == 6
 
 
+def test_training_rows_of_one_partition_go_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(training.models, "ROWS_PER_TASK", 100)
+    df = spark.range(1000).coalesce(1).select("id", F.lit(1.0).alias("y"), array_to_vector(F.array(F.col("id").cast("double"))).alias(prep.FEATURES))
+    for _ in range(2):
+        parts = training.models.sized(df).select("id").rdd.glom().collect()
+        assert len(parts) == spark.sparkContext.defaultParallelism and max(map(len, parts)) < 200
+        assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 1000
+    assert training.models.sized(df.limit(90)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(training.models, "MOST_ROWS_PER_TASK", 20)
+    assert training.models.sized(df).rdd.getNumPartitions() == 50
+
+
+def test_headers_of_one_file_part_go_to_several_tasks(spark, small, monkeypatch):
+    from keelson.plans import views
+
+    want = sorted(map(tuple, views.headers(spark, small).collect()))
+    monkeypatch.setattr(views, "FILES_PER_TASK", 40)
+    got = views.headers(spark, small)
+    assert sorted(map(tuple, got.collect())) == want and got.rdd.getNumPartitions() == 4
+    # what a header resolves to is computed in one place and only referred to by filters
+    plan = compat.resolve_headers(got).where("target IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") == 1
+
+
+def test_header_similarity_runs_after_the_distinct(spark):
+    rows = [(f"f{i}", 0, "tenurex") for i in range(50)]
+    found = compat.suggest_headers(spark.createDataFrame(rows, "file string, position int, header string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :].splitlines()[:6] if "ArrowEvalPython" in plan else []
+    assert any("Aggregate" in line for line in below), plan
+    assert plan.count("EvalPython") == 1 and {r["target"] for r in found.collect()} == {"tenure"}
+
+
 def test_failed_save_leaves_the_version_before(spark, bundle, tmp_path, monkeypatch):
     path = bundle.save(spark, str(tmp_path / "bundle"))
     changed = dataclasses.replace(bundle, threshold=0.5)
