@@ -27,19 +27,26 @@ EFFORT = training.Effort(threads=8)
 THRESHOLD = 0.10
 
 
+#: Rows of a stored file: readers pack small files into tasks by the cores there are.
+ROWS_PER_FILE = 25_000
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written once, in files that many tasks can share: a join may end in very few partitions."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return spark.read.parquet(path)
+
+
 def parted(spark, sf):
     """The split table as Parquet in the shared folder: a fit reads it many times, few columns at a time."""
-    path = scratch_path(spark, "split")
-    split_table(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    return _stored(split_table(spark, sf), "split")
 
 
 def _kept(df: DataFrame) -> DataFrame:
     """Write the scores once; what they were computed from can then be released."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "scores")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return _stored(df, "scores")
 
 
 VALIDATED = """SELECT customerID, CAST(Churn = 'Yes' AS INTEGER) AS y, true AS in_range{} FROM split WHERE "partition" = 'validation'"""
@@ -273,7 +280,7 @@ def score_batch(spark, sf):
 @query("model_save_load", 'SELECT count(*) AS rows, count(*) AS equal_rows FROM cleaned')
 def model_save_load(spark, sf):
     """Scores before saving and after loading, counted where they agree exactly."""
-    df = split_table(spark, sf)
+    df = parted(spark, sf)
     trained = bundle(spark, sf)
     loaded = models.Bundle.load(spark, trained.save(spark, scratch_path(spark, "bundle")))
     both = loaded.score(trained.score(df, "p"), "again")

@@ -161,7 +161,7 @@ def imbalance_matrix(parted: DataFrame, spec: RoleSpec, effort: Effort = Effort(
         # resampling happens before encoding, so the encoder is refitted on the grown rows
         grown = durable(grown)
         refit = prep.fit_preprocessor(grown, spec)
-        grown_train = models.labelled(refit.transform(grown), spec)
+        grown_train = models.sized(models.labelled(refit.transform(grown), spec))
         raw_validation = parted.where("partition = 'validation'")
         grown_validation = models.labelled(refit.transform(raw_validation), spec)
         smaller = split.undersample(frames.train, spec)
