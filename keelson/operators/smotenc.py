@@ -6,16 +6,16 @@ the distances of two rows to any third one bound their own distance from below.
 
 Pivot index: equal rows collapse to one spot; the exact distances of a spot to a few
 pivots, far from each other, are its coordinates, cut into cells of one width.  Rows
-within that width of a spot lie in its cell or in those next to it, and once k
-distances are known, cells beyond the largest of them are left out.  A spot is
-finished when its k-th distance is within the width; the others go on with wider
-cells.  Full cells are dealt in parts, so no task holds more than two of them.
+within that width of a spot lie in its cell or in those next to it.  The k-th
+distance inside its part of its cell bounds that of a spot; where the bound is within
+the width, the cells it reaches hold all k neighbours.  The others go on with wider
+cells; a round that would finish less than half of them is left out.  Full cells are dealt in parts, so no task holds more than two of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ from keelson.roles import RoleSpec
 from keelson.session import durable, ship_package
 
 NEIGHBOURS = 5  # fixed value
-BLOCK = 256  # spots of a part of a cell, on average
+BLOCK = 256  # spots that share a cell in the first round, by half
+PART = 8  # blocks in a part of a cell, on average: what meets costs more than its distances do
 PIVOTS = 3
 GROWTH = 4  # of the width from round to round
 HALVINGS = 12
@@ -98,55 +99,107 @@ def _first_width(placed: DataFrame, spots: int, widest: float) -> float:
     return width
 
 
-def _pair_distances(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float) -> np.ndarray:
-    """Squared distances between two sets of spots; a spot is no neighbour of itself."""
-    total = np.zeros((len(left), len(right)))
-    for c in spec.numeric:
-        gap = left[c].to_numpy(float)[:, None] - right[c].to_numpy(float)[None]
-        total += gap * gap
-    for c in spec.categorical:
-        codes, _ = pd.factorize(pd.concat([left[c], right[c]]), use_na_sentinel=True)
-        total += (codes[: len(left), None] != codes[None, len(left) :]) * (penalty * penalty)
-    total[left["_spot"].to_numpy()[:, None] == right["_spot"].to_numpy()[None]] = np.inf
-    return total
-
-
-def _closest(left: pd.DataFrame, right: pd.DataFrame, spec: RoleSpec, penalty: float, k: int) -> pd.DataFrame:
-    """The k nearest spots of one set for every spot of another."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"_spot": [], "_other": [], "distance2": []})
-    right = right.sort_values("_spot")
-    distance = _pair_distances(left, right, spec, penalty)
-    best = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(right))]
-    found = pd.DataFrame(
-        {
-            "_spot": np.repeat(left["_spot"].to_numpy(), best.shape[1]),
-            "_other": right["_spot"].to_numpy()[best.ravel()],
-            "distance2": np.take_along_axis(distance, best, axis=1).ravel(),
-        }
-    )
-    return found[np.isfinite(found["distance2"])]
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are; nulls equal each other."""
+    return column.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _near_pairs(
+    left: np.ndarray, right: np.ndarray, spot: np.ndarray, numbers: list, categories: list, penalty: float, far2: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) that hold the k nearest, by distances from the count of differing categories."""
+    rough = np.zeros((len(left), len(right)))
+    for v in numbers:
+        gap = v[left, None] - v[None, right]
+        gap *= gap
+        rough += gap
+    misses = np.zeros(rough.shape, np.int16)
+    for v in categories:
+        misses += v[left, None] != v[None, right]
+    rough += misses * (penalty * penalty)
+    rough[(spot[left, None] == spot[None, right]) | ~np.isfinite(rough)] = np.inf
+    bound = far2[left]
+    if len(right) > k and np.isinf(bound).any():
+        bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero((rough <= bound[:, None] * (1 + SLACK)) & np.isfinite(rough))
+    return left[i], right[j]
+
+
+def _nearest(both: pa.Table, left: np.ndarray, right: np.ndarray, spec: RoleSpec, penalty: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, squared distance): the k nearest rows of right for every row of left, none beyond ``far``.
+
+    Rows lie in the order of their spots. The few pairs that can be among the nearest get their
+    distance column by column, as every group adds it.
+    """
+    spot = _codes(both["_spot"])
+    numbers = [both[c].to_numpy() for c in spec.numeric]
+    categories = [_codes(both[c]) for c in spec.categorical]
+    far2 = both["far"].to_numpy() ** 2
+    found = [_near_pairs(left[at : at + BLOCK], right, spot, numbers, categories, penalty, far2, k) for at in range(0, len(left), BLOCK)]
+    i, j = (np.concatenate([np.empty(0, np.int64), *side]) for side in zip(*found)) if found else (left, left)
+    distance2 = np.zeros(len(i))
+    for v in numbers:
+        gap = v[i] - v[j]
+        distance2 += gap * gap
+    for v in categories:
+        distance2 += (v[i] != v[j]) * (penalty * penalty)
+    order = np.lexsort((j, distance2, i))
+    i, j, distance2 = i[order], j[order], distance2[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], distance2[kept]
+
+
+def _closest(both: pa.Table, spec: RoleSpec, penalty: float, k: int) -> pa.Table:
+    """The k nearest spots of one set, none beyond ``far``, for every spot of another that asks."""
+    both = both.sort_by("_spot")
+    asks = both["asks"].to_numpy()
+    i, j, distance2 = _nearest(both, np.flatnonzero(asks), np.flatnonzero(~asks), spec, penalty, k)
+    spots = both["_spot"].combine_chunks()
+    return pa.table({"_spot": spots.take(pa.array(i)), "_other": spots.take(pa.array(j)), "distance2": distance2})
+
+
+def _bounds(part: pa.Table, spec: RoleSpec, penalty: float, k: int) -> pa.Table:
+    """For every spot that asks the k-th distance inside its part, which the k-th of all cannot exceed."""
+    part = part.sort_by("_spot")
+    asks = np.flatnonzero(part["asks"].to_numpy())
+    i, _, distance2 = _nearest(part, asks, np.arange(len(part)), spec, penalty, k)
+    far = part["far"].to_numpy().copy()
+    full = np.arange(len(i)) - np.searchsorted(i, i) == k - 1
+    far[i[full]] = np.minimum(far[i[full]], np.sqrt(distance2[full]))
+    return pa.table({"_spot": part["_spot"].combine_chunks().take(pa.array(asks)), "far": far[asks]})
 
 
 def _near_spots(placed: DataFrame, spec: RoleSpec, penalty: float, k: int) -> DataFrame:
     """(_spot, _other, distance2): the k nearest other spots of every spot with at most k copies."""
     spots, widest = placed.agg(F.count(F.lit(1)), F.max(F.array_max("_at"))).first()
     width = _first_width(placed, spots, widest) if widest else 1.0
+    tasks = 2 * placed.sparkSession.sparkContext.defaultParallelism
     kind = placed.schema["_spot"].dataType.simpleString()
     todo = placed.where(F.size("_ids") <= k).select("_spot", F.lit(float("inf")).alias("far"))
     answer = placed.select("_spot", F.col("_spot").alias("_other"), F.lit(0.0).alias("distance2")).limit(0)
 
-    def closest(both: pd.DataFrame) -> pd.DataFrame:
-        asks = both["asks"].to_numpy(bool)
-        return _closest(both[asks], both[~asks], spec, penalty, k)
+    def bounds(part: pa.Table) -> pa.Table:
+        return _bounds(part, spec, penalty, k)
+
+    def closest(both: pa.Table) -> pa.Table:
+        return _closest(both, spec, penalty, k)
 
     while not todo.isEmpty():
         last = width > widest  # every spot is in the first cell
         celled = placed.select("_spot", "_at", *spec.features, _cell(width).alias("cell"))
-        parts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        parts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (PART * BLOCK)).alias("parts"))
         dealt = celled.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("_spot"), "parts"))
+        if not last:
+            own = dealt.join(todo, "_spot", "left").withColumn("asks", F.col("far").isNotNull())
+            own = own.select("cell", "part", "_spot", *spec.features, F.coalesce("far", F.lit(0.0)).alias("far"), "asks")
+            todo = durable(own.groupBy("cell", "part").applyInArrow(bounds, f"_spot {kind}, far double"))
+        ready = F.lit(last) | (F.col("far") <= F.lit(width * (1 - SLACK)))
+        few, everyone = todo.agg(F.count_if(ready), F.count(F.lit(1))).first()
+        if 2 * few < everyone:  # the cells of a few spots would bring nearly as many others as those of all
+            width *= GROWTH
+            continue
         # cells next to the own one that a row within ``far`` can be in
-        asking = dealt.join(todo, "_spot").withColumnsRenamed({"cell": "a", "part": "a_part"}).drop("parts")
+        asking = dealt.join(todo.where(ready), "_spot").withColumnsRenamed({"cell": "a", "part": "a_part"}).drop("parts")
         for j in range(PIVOTS):
             asking = asking.withColumn(f"_m{j}", F.explode(_moves(j, width)))
         beside = F.array(*[F.col("a")[j] + F.col(f"_m{j}") for j in range(PIVOTS)])
@@ -156,29 +209,22 @@ def _near_spots(placed: DataFrame, spec: RoleSpec, penalty: float, k: int) -> Da
             .withColumn("b_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         )
         keys = ["a", "a_part", "b", "b_part"]
-        met = asking.select(*keys).distinct()
+        # few rows that each bring a whole part with them: dealt to all cores, however small they are
+        met = asking.select(*keys).distinct().repartition(tasks, *keys)
         others = dealt.withColumnsRenamed({"cell": "b", "part": "b_part"}).join(met, ["b", "b_part"])
         pairs = (
-            asking.select(*keys, "_spot", *spec.features, F.lit(True).alias("asks"))
-            .unionByName(others.select(*keys, "_spot", *spec.features, F.lit(False).alias("asks")))
+            asking.select(*keys, "_spot", *spec.features, "far", F.lit(True).alias("asks"))
+            .unionByName(others.select(*keys, "_spot", *spec.features, F.lit(0.0).alias("far"), F.lit(False).alias("asks")))
             .groupBy(*keys)  # at most two parts of cells per group
-            .applyInPandas(closest, f"_spot {kind}, _other {kind}, distance2 double")
+            .applyInArrow(closest, f"_spot {kind}, _other {kind}, distance2 double")
         )
         order = Window.partitionBy("_spot").orderBy("distance2", "_other")
         found = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-        whole = F.sqrt(F.max("distance2"))
-        kth = found.groupBy("_spot").agg(F.when(F.count(F.lit(1)) >= k, whole).otherwise(float("inf")).alias("far"))
-        done = F.lit(last) | (F.col("far") <= F.lit(width * (1 - SLACK)))
-        round_ = durable(found.join(kth, "_spot").withColumn("done", done))
-        answer = answer.unionByName(round_.where("done").select("_spot", "_other", "distance2"))
+        round_ = durable(found.select("_spot", "_other", "distance2"))
+        answer = answer.unionByName(round_)
         if last:
             break
-        state = round_.where("nth = 1").select("_spot", F.col("far").alias("near_far"), "done")
-        todo = durable(
-            todo.join(state, "_spot", "left")
-            .where("done IS NULL OR NOT done")
-            .select("_spot", F.least("far", F.coalesce("near_far", "far")).alias("far"))
-        )
+        todo = todo.where(~ready)
         width *= GROWTH
     return answer
 

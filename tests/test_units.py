@@ -668,6 +668,32 @@ def test_smotenc_neighbours_of_copies_and_ties(spark, monkeypatch):
         smotenc.nearest_neighbours(df.withColumn("spend", F.when(F.col("id") > 3, F.col("spend"))), SPEC)
 
 
+def test_smotenc_brings_few_rows_together(spark, monkeypatch):
+    """Where categories outweigh the numbers, spots wait for cells that hold their neighbours: no cell asks all 27 around it."""
+    monkeypatch.setattr(smotenc, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    n = 600
+    pdf = pd.DataFrame({"id": [f"m{i:03d}" for i in range(n)], "tenure": rng.integers(0, 60, n) * 1.0, "spend": rng.integers(0, 60, n) * 5.0})
+    pdf["plan"] = rng.choice([*"abcdefgh"], n)
+    df = spark.createDataFrame(pdf)
+    met = spark.sparkContext.accumulator(0)
+    closest = smotenc._closest
+
+    def counted(*sides):
+        met.add(sum(len(side) for side in sides if not isinstance(side, (int, float, RoleSpec))))
+        return closest(*sides)
+
+    monkeypatch.setattr(smotenc, "_closest", counted)
+    got = smotenc.nearest_neighbours(df, SPEC, 5).collect()
+    penalty, _ = smotenc.mismatch_penalty(df, SPEC)
+    num, cat = pdf[["tenure", "spend"]].to_numpy(), pdf["plan"].to_numpy()
+    d2 = ((num[:, None] - num[None]) ** 2).sum(-1) + (cat[:, None] != cat[None]) * (penalty * penalty)
+    np.fill_diagonal(d2, np.inf)
+    want = {(f"m{i:03d}", place + 1): f"m{j:03d}" for i in range(n) for place, j in enumerate(np.lexsort((np.arange(n), np.round(d2[i], 9)))[:5])}
+    assert {(r["id"], r["nearest"]): r["neighbour"] for r in got} == want
+    assert 0 < met.value <= 40 * n, met.value / n  # 87 a row when every round asked the cells around
+
+
 def test_too_many_levels_are_refused_by_name(spark, monkeypatch):
     monkeypatch.setattr(prep, "MAX_LEVELS", 40)
     df = planted(spark, 200).withColumn("plan2", F.concat(F.lit("p"), F.col("id"))).withColumn("partition", F.lit("train"))
