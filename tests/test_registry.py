@@ -1,5 +1,7 @@
 """Every query with check SQL gives the same rows as that SQL."""
 
+import time
+
 import pytest
 from harness import compare
 
@@ -56,6 +58,53 @@ def test_grid_search_equals_single_fits(spark, small):
             assert all(found[r["model"]][c] == r[c] for c in ("f1", "pr_auc", "roc_auc", "recall", "precision"))
 
 
+def test_boosted_grid_search_reads_short_points_in_threads(spark, small):
+    """The first trees of a model are taken in the thread that fitted it, and score as a fit of so many trees."""
+    grid = {"trees": (2, 4), "depth": (2, 3), "rate": (0.1,), "subsample": (0.8,), "columns": (0.8,), "weight_factor": (1.2,)}
+    with training.TrainingFrames.of(model_queries.parted(spark, small), CUSTOMER) as data:
+        found = {r["point"]: r for r in models.grid_search(data.train, data.validation, models.boosted_point, grid, 4).collect()}
+        alone = {f"{i:03d}": models.score(models.boosted_point(data.train, **p), data.validation) for i, p in enumerate(models.grid_points(grid))}
+        assert len(found) == 4
+        for r in models.compare(alone).collect():
+            assert all(found[r["model"]][c] == r[c] for c in ("f1", "pr_auc", "roc_auc", "recall", "precision"))
+
+
+def test_grid_fits_read_rows_without_history(spark, small):
+    """A fit is many short jobs, and each ships the lineage of its input: that of a checkpoint, for all points the same."""
+    seen = []
+
+    def fit(train, share):
+        seen.append((train._jdf.queryExecution().executedPlan().toString(), train.count()))
+        return models.MajorityModel(share)
+
+    with training.TrainingFrames.of(model_queries.parted(spark, small), CUSTOMER) as data:
+        found = models.grid_search(data.train, data.validation, fit, {"share": (0.0, 0.4, 1.0)}, 2).collect()
+        rows = data.train.count()
+    assert len(found) == len(seen) == 3
+    assert all("ExistingRDD" in plan and "InMemory" not in plan and "Filter" not in plan and n == rows for plan, n in seen)
+
+
+def test_deep_points_are_fitted_first():
+    """The shallow fits fill the threads up at the end; each point that needs a fit is there once."""
+    points = models.grid_points(models.BOOSTED_GRID)
+    depths = [p["depth"] for p in models.longest_points(points)]
+    assert depths == [5] * 24 + [3] * 24
+    assert [p for p in points if p["trees"] == 200] == sorted(models.longest_points(points), key=points.index)
+
+
+def test_parallel_jobs_are_handed_out_singly(spark):
+    """A thread that still works on a long job keeps no other job back."""
+    done = []
+
+    def long():
+        until = time.time() + 20
+        while len(done) < 39 and time.time() < until:
+            time.sleep(0.01)
+        return len(done)
+
+    assert models.run_parallel([long, *[lambda i=i: done.append(i) or i for i in range(39)]], 2) == [39, *range(39)]
+
+
 def test_entry_returns_rows(spark):
     df = entry.entry(spark)
     assert df.count() == 150
