@@ -100,3 +100,64 @@ def test_many_values_are_cut_at_quantiles_of_all_rows(spark):
 def test_table_without_rows_is_an_error(spark):
     with pytest.raises(ValueError, match="no training rows"):
         trees.binned(table(spark, 30).where("id < 0"))
+
+
+@pytest.mark.parametrize(("factor", "fit_rows"), [(0.0, 0), (1.2, 100_000)])
+def test_boosted_trees_are_those_of_spark(spark, monkeypatch, factor, fit_rows):
+    """Without draws of rows or features a fit beside others scores as Spark ML's."""
+    monkeypatch.setattr(trees, "FIT_ROWS", fit_rows)
+    df = table(spark, 3000)
+    point = {"trees": 12, "depth": 3, "subsample": 1.0, "columns": 1.0, "weight_factor": factor}
+    points = [point | {"rate": 0.1}, point | {"rate": 0.5}]
+    for p, model in zip(points, models.boosted_points(df, points, 2), strict=True):
+        ratio = models.scale_pos_weight(df) * factor if factor else 1.0
+        alone = models.fit_boosted(models.weighted(df, ratio), trees=12, depth=3, rate=p["rate"], subsample=1.0, columns=1.0)
+        assert [len(t.feature) for t in model.trees] == [t.numNodes for t in alone.trees]
+        assert np.allclose(scores(model, df), scores(alone, df), atol=1e-9)
+
+
+def test_boosted_fits_are_the_same_alone_and_over_any_steps(spark, monkeypatch):
+    """A task for each fit, jobs for all of them, and margins computed anew give the same trees."""
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 300)
+    df = table(spark, 1500, parts=3)
+    grid = {"trees": (3, 9), "depth": (2, 4), "rate": (0.1,), "subsample": (0.6, 1.0), "columns": (0.5, 1.0), "weight_factor": (1.0,)}
+    points = models.grid_points(grid)
+    with trees.binned(df) as rows:
+        assert rows.blocks.getNumPartitions() == 6
+        together = models.fit_points(rows, models.boosted_point, points, 2)
+        monkeypatch.setattr(trees, "FIT_ROWS", 0)
+        monkeypatch.setattr(trees, "STEPS", 2)
+        monkeypatch.setattr(trees, "CELLS", 500)
+        alone = [models.boosted_point(rows, **p) for p in points[-3:]]
+        short = models.boosted_point(rows, **points[0])
+    seen = [scores(m, df) for m in together]
+    assert [len(m.trees) for m in together] == [p["trees"] for p in points]
+    assert all(np.allclose(scores(a, df), b, atol=1e-12) for a, b in zip(alone, seen[-3:], strict=True))
+    assert np.allclose(scores(short, df), seen[0], atol=1e-12)
+    y = df.toPandas().sort_values("id")["y"].to_numpy()
+    assert all(np.corrcoef(s, y)[0, 1] > 0.5 for s in seen)
+    assert len({tuple(s) for s in seen}) == len(points)  # each setting changes the fit
+
+
+def test_boosted_points_share_their_jobs(spark, monkeypatch):
+    """A job for each level of each tree of each fit made the grid 38,400 jobs."""
+    df = table(spark, 600)
+    grid = {"trees": (5,), "depth": (2,), "rate": (0.1,), "subsample": (0.8, 1.0), "columns": (0.8, 1.0), "weight_factor": (0.0, 1.0)}
+    points = models.grid_points(grid)
+    with trees.binned(df) as rows:
+        small, found = jobs_of(spark, lambda: models.fit_points(rows, models.boosted_point, points, 4))
+        monkeypatch.setattr(trees, "FIT_ROWS", 0)
+        large, same = jobs_of(spark, lambda: models.fit_points(rows, models.boosted_point, points, 4))
+    assert len(points) == len(found) == len(same) == 8
+    assert small == 1 and 0 < large <= 5 * 2
+
+
+def test_features_of_one_value_give_the_share(spark):
+    """Nothing to split by: a tree of one leaf, and boosting that moves the level only."""
+    df = spark.createDataFrame([(i, float(i % 4 == 0), [1.0, 2.0]) for i in range(80)], "id int, y double, x array<double>")
+    df = df.select("id", "y", array_to_vector("x").alias(prep.FEATURES))
+    point = {"depth": 3, "rate": 0.1, "subsample": 1.0, "columns": 1.0, "weight_factor": 0.0}
+    boosted = models.boosted_point(df, trees=60, **point)
+    assert all(len(t.feature) == 1 for t in boosted.trees) and np.allclose(scores(boosted, df), 0.25, atol=0.01)
+    forest = models.forest_point(df, trees=30, depth=3, leaf=1, balanced=False)
+    assert all(len(t.feature) == 1 for t in forest.trees) and abs(scores(forest, df)[0] - 0.25) < 0.05
