@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators.prep import FEATURES
-from keelson.session import scratch_path, ship_package, spread
+from keelson.session import scratch_path, ship_package
 
 
 Trees = GBTClassificationModel | RandomForestClassificationModel
@@ -86,8 +86,11 @@ def leaf_paths(nodes: pd.DataFrame) -> list[tuple[float, list[Step]]]:
     return found
 
 
-#: Rows explained at a time: bounds the arrays of a task to this times features times nodes of a path.
+#: Rows of a task, at least, and rows explained at a time, at most: bounds its arrays to this times features and nodes of a path.
 CHUNK = 1024
+MOST_ROWS = 65_536
+#: Features of a path and splits below its end whose outcomes are tabulated together: a column of a table stays in cache.
+TABLE_BITS = 11
 
 
 @cache
@@ -150,6 +153,7 @@ class Tree:
     categorical: np.ndarray
     cover: np.ndarray
     value: np.ndarray  # weighted prediction
+    splits: np.ndarray  # splits at a node and below
 
 
 def trees_of(nodes: pd.DataFrame) -> list[Tree]:
@@ -160,7 +164,11 @@ def trees_of(nodes: pd.DataFrame) -> list[Tree]:
         left, right = (np.array([place.get(int(c), -1) for c in tree[name]]) for name in ("leftChild", "rightChild"))
         cuts = [np.asarray(c, dtype=float) for c in tree["cut"]]
         value = (tree["prediction"] * tree["weight"]).to_numpy(float)
-        found.append(Tree(left, right, tree["feature"].to_numpy(int), cuts, tree["arity"].to_numpy() > 0, tree["rawCount"].to_numpy(float), value))
+        splits = np.zeros(len(left), dtype=int)
+        for at in range(len(left) - 1, -1, -1):  # children have larger ids
+            if left[at] >= 0:
+                splits[at] = 1 + splits[left[at]] + splits[right[at]]
+        found.append(Tree(left, right, tree["feature"].to_numpy(int), cuts, tree["arity"].to_numpy() > 0, tree["rawCount"].to_numpy(float), value, splits))
     return found
 
 
@@ -199,56 +207,159 @@ def _leaf_terms(pattern: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return terms[:, pattern] if few else terms
 
 
+def _goes_left(tree: Tree, at: int, columns: np.ndarray) -> np.ndarray:
+    column, cut = columns[tree.feature[at]], tree.cut[at]
+    return np.isin(column, cut) if tree.categorical[at] else column <= cut[0]
+
+
+def _subtree_terms(tree: Tree, at: int, features: list[int], shares: list[float]) -> tuple[list[int], list[int], np.ndarray, float]:
+    """What the leaves below a node contribute, for any row: its splits, their features after those of the path,
+    contributions by feature and outcome, and the part of the base.
+
+    An outcome has a bit per feature of the path, set where the row follows its splits, and above them one per split,
+    set where the row goes left there. Path features that no split below tries are factors common to all
+    leaves, so the leaves are added up at each node of the integral in :func:`_leaf_weights` before those come in.
+    """
+    splits: list[int] = []
+    leaves: list[tuple[int, list[tuple[int, int, bool, float]]]] = []
+    stack: list[tuple[int, list[tuple[int, int, bool, float]]]] = [(at, [])]
+    while stack:
+        here, steps = stack.pop()
+        if tree.left[here] < 0:
+            leaves.append((here, steps))
+            continue
+        for child, left in ((int(tree.left[here]), True), (int(tree.right[here]), False)):
+            stack.append((child, [*steps, (len(splits), int(tree.feature[here]), left, float(tree.cover[child] / tree.cover[here]))]))
+        splits.append(here)
+    below = {f for _, steps in leaves for _, f, _, _ in steps}
+    inner = [f for f in features if f in below]
+    outer = [f for f in features if f not in below]
+    new = sorted(below - set(inner))
+    most = len(features) + max(len({f for _, f, _, _ in steps} - set(inner)) for _, steps in leaves)
+    u, weights = _nodes((max(most, 1) + 1) // 2)
+    missed = -1 / (1 - u)
+    tried = _members(len(inner) + len(splits))
+    path_share = dict(zip(features, shares, strict=True))
+    total, base = np.zeros((len(tried), len(u))), 0.0
+    own = {f: np.zeros_like(total) for f in (*inner, *new)}
+    for leaf, steps in leaves:
+        share = {f: path_share[f] for f in inner}
+        follows = {f: tried[:, i] for i, f in enumerate(inner)}
+        for split, f, left, part in steps:
+            taken = tried[:, len(inner) + split] == left
+            follows[f] = follows[f] & taken if f in follows else taken
+            share[f] = share.get(f, 1.0) * part
+        product, value = np.full_like(total, tree.value[leaf]), float(tree.value[leaf])
+        for f, on in follows.items():
+            product *= np.where(on[:, None], share[f] * (1 - u) + u, share[f] * (1 - u))
+            value *= share[f]
+        total += product
+        base += value
+        for f, on in follows.items():
+            own[f] += product * np.where(on[:, None], (1 - share[f]) / (share[f] * (1 - u) + u), missed)
+    factors = np.array([path_share[f] for f in outer])[:, None] * (1 - u)
+    known = _members(len(outer))
+    product = np.ones((1, len(u)))
+    for miss in factors:
+        product = np.concatenate([product * miss, product * (miss + u)])
+    terms = {f: (own[f] * weights) @ product.T for f in own}
+    for i, (f, miss) in enumerate(zip(outer, factors, strict=True)):
+        gain = (1 - path_share[f]) / (miss + u)
+        terms[f] = total @ (product * np.where(known[:, i, None], gain, missed) * weights).T
+    table = np.stack([terms[f] for f in (*features, *new)]) if terms else np.zeros((0, len(tried), 1))
+    if inner:
+        # from path features apart, those tried again below first, to the order of the path
+        bits = _members(len(features) + len(splits))
+        place = lambda chosen: sum((bits[:, i].astype(np.intp) << at for at, i in enumerate(chosen)), np.zeros(len(bits), np.intp))
+        again = [features.index(f) for f in inner] + [len(features) + i for i in range(len(splits))]
+        table = table[:, place(again), place([features.index(f) for f in outer])]
+    else:
+        table = np.ascontiguousarray(table.reshape(len(table), -1))
+    return splits, new, table, base * float(np.prod([path_share[f] for f in outer]))
+
+
 def forest_contributions(x: np.ndarray, trees: Sequence[Tree]) -> tuple[np.ndarray, float]:
-    """What :func:`contributions` gives, walking down each tree once: a split is tried once for all leaves below it."""
+    """What :func:`contributions` gives, walking down each tree once: a split is tried once for all leaves below it.
+
+    Where few features and splits are left, the outcomes of all of them have their contributions tabulated
+    once, and rows look theirs up.
+    """
     out = np.zeros(x.shape[::-1])
     base = 0.0
     columns = np.ascontiguousarray(x.T)
+    bits = min(TABLE_BITS, len(x).bit_length() - 1)
+    held = np.empty(len(x))
     for tree in trees:
-        stack = [(0, [], [], np.zeros(len(x), dtype=np.int64))]
+        stack: list[tuple[int, list[int], list[float], np.ndarray]] = [(0, [], [], np.zeros(len(x), dtype=np.intp))]
         while stack:
             at, features, shares, pattern = stack.pop()
+            if len(features) + tree.splits[at] <= bits:
+                splits, new, table, part = _subtree_terms(tree, at, features, shares)
+                base += part
+                for i, split in enumerate(splits, len(features)):
+                    pattern = pattern | _goes_left(tree, split, columns).astype(np.intp) << i
+                for f, terms in zip((*features, *new), table, strict=True):
+                    np.take(terms, pattern, out=held, mode="clip")
+                    out[f] += held
+                continue
             if tree.left[at] < 0:
                 base += tree.value[at] * math.prod(shares)
-                if features:
-                    out[features] += tree.value[at] * _leaf_terms(pattern, np.array(shares))
+                out[features] += tree.value[at] * _leaf_terms(pattern, np.array(shares))
                 continue
-            feature, cut = int(tree.feature[at]), tree.cut[at]
-            column = columns[feature]
-            goes_left = np.isin(column, cut) if tree.categorical[at] else column <= cut[0]
+            feature, goes_left = int(tree.feature[at]), _goes_left(tree, at, columns)
             for child, taken in ((int(tree.left[at]), goes_left), (int(tree.right[at]), ~goes_left)):
                 share = float(tree.cover[child] / tree.cover[at])
                 if feature in features:
                     i = features.index(feature)
-                    longer, follows = features, pattern & ~((~taken).astype(np.int64) << i)
+                    longer, follows = features, pattern & ~((~taken).astype(np.intp) << i)
                     covered = [*shares[:i], shares[i] * share, *shares[i + 1 :]]
                 else:
                     longer, covered = [*features, feature], [*shares, share]
-                    follows = pattern | taken.astype(np.int64) << len(features)
+                    follows = pattern | taken.astype(np.intp) << len(features)
                 stack.append((child, longer, covered, follows))
     return out.T, base
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows in even partitions of ``CHUNK`` or more, as many to a core: what does not depend on rows is done once a task."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(-(-rows // CHUNK), cores * -(-rows // (cores * MOST_ROWS)))
+    return df.repartition(tasks) if tasks > 1 else df.coalesce(1)
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together to ``MOST_ROWS`` rows or what there is."""
+    held, rows = [], 0
+    for batch in batches:
+        for start in range(0, len(batch), MOST_ROWS):
+            part = batch.iloc[start : start + MOST_ROWS]
+            if rows + len(part) > MOST_ROWS:
+                yield pd.concat(held)
+                held, rows = [], 0
+            held.append(part)
+            rows += len(part)
+    if held:
+        yield pd.concat(held)
+
+
 def tree_contributions(df: DataFrame, model: Trees, id_col: str) -> DataFrame:
     """(id, contributions, base): one array per row, in feature order.
 
     Contributions add up to the margin of boosted trees and to the probability of a forest, less the
     base. The node table is bounded by trees x 2^(depth + 1) rows, so it is sent to the tasks as
-    arrays in a broadcast variable. Rows are dealt evenly, ``CHUNK`` to a task: small tables lie in
-    one partition, and a row costs a walk through all trees.
+    arrays in a broadcast variable. Rows are dealt evenly: small tables lie in one partition, and a row
+    costs a walk through all trees.
     """
     spark = df.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(trees_of(tree_table(spark, model).toPandas()))
-    slim = spread(df.select(id_col, vector_to_array(FEATURES).alias("x")), CHUNK)
+    slim = _dealt(df.select(id_col, vector_to_array(FEATURES).alias("x")))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), CHUNK):
-                part = batch.iloc[start : start + CHUNK]
-                values, base = forest_contributions(np.vstack(part["x"].to_numpy()).astype(float), trees)
-                yield pd.DataFrame({id_col: part[id_col], "contributions": list(values), "base": base})
+        for part in _gathered(batches):
+            values, base = forest_contributions(np.vstack(part["x"].to_numpy()).astype(float), trees)
+            yield pd.DataFrame({id_col: part[id_col], "contributions": list(values), "base": base})
 
     kind = dict(df.dtypes)[id_col]
     return slim.mapInPandas(explain, f"`{id_col}` {kind}, contributions array<double>, base double")

@@ -574,6 +574,38 @@ def test_contributions_by_tree_walk_are_those_by_path(spark, monkeypatch):
     assert explain.tree_contributions(df, model, "id").rdd.getNumPartitions() == 6
 
 
+def test_contributions_looked_up_are_those_by_path(spark, monkeypatch):
+    """Features tried again below, children without rows, and tables of any size; the work per tree is done once for all rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 5)).round(1)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=700) > 0).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(700), "y": y, "a": list(x)})).coalesce(1)
+    df = df.select("id", "y", array_to_vector("a").alias(prep.FEATURES))
+    nodes = explain.tree_table(spark, training.models.fit_forest(df, trees=2, depth=8, leaf=1)).toPandas()
+    nodes.loc[nodes["leftChild"] < 0, "rawCount"] *= rng.integers(0, 2, (nodes["leftChild"] < 0).sum())
+    paths, trees = explain.leaf_paths(nodes), explain.trees_of(nodes)
+    assert max(len(steps) - len({s.feature for s in steps}) for _, steps in paths) >= 3
+    want, base = explain.contributions(x, paths)
+    for bits in (0, 1, 4, 9, 13):
+        monkeypatch.setattr(explain, "TABLE_BITS", bits)
+        got, same = explain.forest_contributions(np.tile(x, (4, 1)), trees)
+        assert np.allclose(got, np.tile(want, (4, 1)), atol=1e-12) and same == pytest.approx(base)
+    monkeypatch.setattr(explain, "TABLE_BITS", 9)
+    calls, whole = [], explain._subtree_terms
+    monkeypatch.setattr(explain, "_subtree_terms", lambda *a: calls.append(a) or whole(*a))
+    explain.forest_contributions(x, trees)
+    once = len(calls)
+    explain.forest_contributions(np.tile(x, (8, 1)), trees)
+    assert 0 < once and len(calls) == 2 * once
+    # rows of many batches come to a task together, and no core has more tasks than its rows need
+    monkeypatch.setattr(explain, "CHUNK", 10)
+    assert explain._dealt(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(explain, "MOST_ROWS", 300)
+    parts = [pd.DataFrame({"id": range(n)}) for n in (700, 0, 120, 90, 250)]
+    sizes = [len(p) for p in explain._gathered(iter(parts))]
+    assert sum(sizes) == 1160 and max(sizes) <= 300 and len(sizes) <= 6
+
+
 def test_training_rows_of_one_partition_go_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(training.models, "ROWS_PER_TASK", 100)
     df = spark.range(1000).coalesce(1).select("id", F.lit(1.0).alias("y"), array_to_vector(F.array(F.col("id").cast("double"))).alias(prep.FEATURES))
